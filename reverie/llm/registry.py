@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reverie.llm import bpe, langid, quality, syncmers, toxicity, wordpiece
+from reverie.llm import bpe, jaccard, langid, quality, syncmers, toxicity, wordpiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": langid.op1_language_id,
         "op2_bpe_encode_decode": bpe.op2_bpe_encode_decode,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
         "op5_fingerprints": syncmers.op5_fingerprints,
         "op6_quality": quality.op6_quality,
         "op8_token_counts": wordpiece.op8_token_counts,
