@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reverie.llm import bpe, jaccard, langid, quality, syncmers, toxicity, wordpiece
+from reverie.llm import bpe, jaccard, langid, quality, substrings, syncmers, toxicity, wordpiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
         "op5_fingerprints": syncmers.op5_fingerprints,
         "op6_quality": quality.op6_quality,
+        "op7_substring_dedup": substrings.op7_substring_dedup,
         "op8_token_counts": wordpiece.op8_token_counts,
     }
 
