@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reverie.llm import bpe, jaccard, langid, quality, substrings, syncmers, toxicity, wordpiece
+from reverie.llm import bpe, hilbert, jaccard, langid, mixing, quality, substrings, syncmers, toxicity, wordpiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality": quality.op6_quality,
         "op7_substring_dedup": substrings.op7_substring_dedup,
         "op8_token_counts": wordpiece.op8_token_counts,
+        "op9_nearest_neighbours": hilbert.op9_nearest_neighbours,
+        "op10_mixing": mixing.op10_mixing,
     }
 
 
