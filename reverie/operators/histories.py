@@ -5,6 +5,7 @@ Mutations are events with a sequence number; a current state is a fold over them
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,8 +146,6 @@ def line_diff(a: str, b: str) -> str:
 
 
 def diff_column(a: Column, b: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([line_diff(p, q) for p, q in zip(x, y, strict=True)])

@@ -19,7 +19,7 @@ _rounded = lambda df, *keep: df.select(*keep, F.round("score", 6).alias("score")
 _WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
 
 
-def _bm25(rows: str) -> str:
+def bm25_sql(rows: str) -> str:
     """Scores ``id, score`` of the query over a subquery with id and text."""
     counts = ", ".join(f"len(list_filter(w, lambda t: t = '{t}')) AS f{i}" for i, t in enumerate(_TERMS))
     stats = ", ".join(f"count(*) FILTER (f{i} > 0) AS d{i}" for i in range(len(_TERMS)))
@@ -31,23 +31,23 @@ def _bm25(rows: str) -> str:
 _QUERY_VECTOR = "[" + ", ".join(map(repr, r.hash_query(QUERY, DIM))) + "]"
 
 
-def _embedded(rows: str) -> str:
+def embedded_sql(rows: str) -> str:
     """``id, v`` with hashed unit vectors."""
     place = f"('0x' || substr(md5(t), 1, 8))::BIGINT % {DIM}"
     return f"(WITH p AS (SELECT id, list_transform(list_filter(string_split_regex(lower(text), '\\s+'), lambda t: t <> ''), lambda t: {place}) AS p FROM {rows}), c AS (SELECT id, list_transform(range({DIM}), lambda b: len(list_filter(p, lambda x: x = b))::DOUBLE) AS c FROM p) SELECT id, list_transform(c, lambda x: x / greatest(sqrt(list_dot_product(c, c)), 1e-6)) AS v FROM c)"
 
 
-def _near(rows: str) -> str:
+def near_sql(rows: str) -> str:
     q = _QUERY_VECTOR
-    return f"(SELECT id, list_dot_product(v, {q}) / greatest(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product({q}, {q})), 1.1920929e-07) AS score FROM {_embedded(rows)})"
+    return f"(SELECT id, list_dot_product(v, {q}) / greatest(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product({q}, {q})), 1.1920929e-07) AS score FROM {embedded_sql(rows)})"
 
 
-def _top(scored: str, k: int) -> str:
+def top_sql(scored: str, k: int) -> str:
     return f"(SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS r FROM {scored} ORDER BY score DESC, id LIMIT {k})"
 
 
-def _hybrid(rows: str, k: int, per: int) -> str:
-    return f"(SELECT id, sum(1.0 / (60 + r)) AS score FROM (SELECT id, r FROM {_top(_near(rows), per)} UNION ALL SELECT id, r FROM {_top(_bm25(rows), per)}) GROUP BY id ORDER BY score DESC, id LIMIT {k})"
+def hybrid_sql(rows: str, k: int, per: int) -> str:
+    return f"(SELECT id, sum(1.0 / (60 + r)) AS score FROM (SELECT id, r FROM {top_sql(near_sql(rows), per)} UNION ALL SELECT id, r FROM {top_sql(bm25_sql(rows), per)}) GROUP BY id ORDER BY score DESC, id LIMIT {k})"
 
 
 _USED = f"(SELECT m.*, u.recalls, u.last_recall, importance * pow(2, -greatest({NOW} - created_at, 0) / {HALF}) * CASE WHEN u.last_recall IS NULL THEN 1 ELSE 1 + u.recalls * pow(2, -greatest({NOW} - u.last_recall, 0) / {HALF}) END AS utility FROM {MEMORY} m LEFT JOIN (SELECT id, count(*) AS recalls, max(\"at\") AS last_recall FROM {RECALLS} GROUP BY id) u USING (id))"
@@ -121,17 +121,17 @@ QUERIES = {
 }
 
 SQL = {
-    "bm25_topk": f"SELECT id, round(score, 6) AS score FROM {_top(_bm25(MEMORY), 32)}",
+    "bm25_topk": f"SELECT id, round(score, 6) AS score FROM {top_sql(bm25_sql(MEMORY), 32)}",
     "vector_topk": f"SELECT v.id, round({_cos('v.e', 'q.e')}, 6) AS score FROM {_V} v, (SELECT e FROM {_V} WHERE id = 0) q ORDER BY {_cos('v.e', 'q.e')} DESC, v.id LIMIT 10",
     "semantic_neighbours": f"SELECT q, id, score, rank FROM (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id AS q, v.vec_id AS id, round({_cos('v.embedding::DOUBLE[]', 'q.embedding::DOUBLE[]')}, 6) AS score FROM embeddings v JOIN embeddings q ON v.label = q.label AND v.vec_id <> q.vec_id)) WHERE rank <= 3",
-    "hash_embedding": f"SELECT id, round(v[1], 6) AS v0, round(v[8], 6) AS v7, round(v[32], 6) AS v31 FROM {_embedded(MEMORY)}",
-    "rrf_fuse": f"SELECT id, round(score, 6) AS score FROM {_hybrid(MEMORY, 20, 32)}",
-    "hybrid_recall": f"SELECT h.id, m.key, m.kind, round(score, 6) AS score FROM {_hybrid(MEMORY, 10, 32)} h JOIN {MEMORY} m USING (id)",
-    "hybrid_recall_filtered": f"SELECT h.id, m.key, m.kind, round(score, 6) AS score FROM {_hybrid(_FILTERED, 5, 128)} h JOIN {MEMORY} m USING (id)",
-    "recall_by_key": f"SELECT h.id, m.key, round(score, 6) AS score FROM {_hybrid(f'(SELECT * FROM {MEMORY} WHERE key = {chr(39)}src4{chr(39)})', 5, 128)} h JOIN {MEMORY} m USING (id)",
-    "recall_live_only": f"SELECT h.id, m.key, round(score, 6) AS score FROM {_hybrid(f'(SELECT * FROM {MEMORY} WHERE id NOT IN {_GONE})', 10, 32)} h JOIN {MEMORY} m USING (id)",
-    "recall_decayed": f"SELECT id, round(score, 8) AS score FROM (SELECT h.id, h.score * m.importance * pow(2, -greatest({NOW} - m.created_at, 0) / {HALF}) AS score FROM {_hybrid(MEMORY, 10, 32)} h JOIN {MEMORY} m USING (id)) ORDER BY score DESC, id LIMIT 5",
-    "reinforcement": f"SELECT id, {float(NOW)}::DOUBLE AS \"at\" FROM {_hybrid(MEMORY, 10, 32)}",
+    "hash_embedding": f"SELECT id, round(v[1], 6) AS v0, round(v[8], 6) AS v7, round(v[32], 6) AS v31 FROM {embedded_sql(MEMORY)}",
+    "rrf_fuse": f"SELECT id, round(score, 6) AS score FROM {hybrid_sql(MEMORY, 20, 32)}",
+    "hybrid_recall": f"SELECT h.id, m.key, m.kind, round(score, 6) AS score FROM {hybrid_sql(MEMORY, 10, 32)} h JOIN {MEMORY} m USING (id)",
+    "hybrid_recall_filtered": f"SELECT h.id, m.key, m.kind, round(score, 6) AS score FROM {hybrid_sql(_FILTERED, 5, 128)} h JOIN {MEMORY} m USING (id)",
+    "recall_by_key": f"SELECT h.id, m.key, round(score, 6) AS score FROM {hybrid_sql(f'(SELECT * FROM {MEMORY} WHERE key = {chr(39)}src4{chr(39)})', 5, 128)} h JOIN {MEMORY} m USING (id)",
+    "recall_live_only": f"SELECT h.id, m.key, round(score, 6) AS score FROM {hybrid_sql(f'(SELECT * FROM {MEMORY} WHERE id NOT IN {_GONE})', 10, 32)} h JOIN {MEMORY} m USING (id)",
+    "recall_decayed": f"SELECT id, round(score, 8) AS score FROM (SELECT h.id, h.score * m.importance * pow(2, -greatest({NOW} - m.created_at, 0) / {HALF}) AS score FROM {hybrid_sql(MEMORY, 10, 32)} h JOIN {MEMORY} m USING (id)) ORDER BY score DESC, id LIMIT 5",
+    "reinforcement": f"SELECT id, {float(NOW)}::DOUBLE AS \"at\" FROM {hybrid_sql(MEMORY, 10, 32)}",
     "recall_quality": f"WITH t AS (SELECT id FROM ({_SCORED}) ORDER BY score DESC, id LIMIT 10), c AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT v.id, round({_cos('v.e[1:32]', 'q.e[1:32]')}, 9) AS score FROM {_V} v, (SELECT e FROM {_V} WHERE id = 0) q) ORDER BY score DESC, id LIMIT 10) SELECT 0 AS query_id, round(count(t.id) / 10.0, 6) AS recall, round(sum(CASE WHEN t.id IS NULL THEN 0 ELSE 1 / log2(rank + 1) END) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) x(i)), 6) AS ndcg FROM c LEFT JOIN t USING (id)",
     "memory_filter": f"SELECT id, kind, created_at FROM {_FILTERED}",
     "memory_scan": f"WITH p AS (SELECT id, key, row_number() OVER (ORDER BY id) AS n FROM {MEMORY} WHERE id > 17 ORDER BY id LIMIT 26) SELECT id, key, CASE WHEN (SELECT count(*) FROM p) > 25 THEN (SELECT id FROM p WHERE n = 25) END AS next_cursor FROM p WHERE n <= 25",
