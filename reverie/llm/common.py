@@ -62,6 +62,17 @@ def drop_table(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def map_arrow(df: DataFrame, run, schema: str, rows: int = 1000) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most ``rows`` rows, for texts of any length: it bounds a worker's memory.
+
+    The limit is the session's; it is lowered here and stays lowered.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= rows:
+        df.sparkSession.conf.set(name, rows)
+    return df.mapInArrow(run, schema)
+
+
 def crc_mod(key: Column, divisor: int) -> Column:
     """crc32 of the decimal text of ``key`` modulo ``divisor`` (null keys: null)."""
     return F.crc32(key.cast("string").cast("binary")) % divisor

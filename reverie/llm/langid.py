@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reverie.llm.common import bounded_rows, crc_mod, table
+from reverie.llm.common import bounded_rows, crc_mod, map_arrow, table
 
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -63,7 +63,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], *, buckets: int = 1 << 13, dim: int = 16, epochs: int = 6, rate: float = 2.0, batch: int = 32, seed: int = 7, reject_share: float = 0.005) -> LanguageModel | None:
+def train(texts: list[str], labels: list[str], *, buckets: int = 1 << 13, dim: int = 16, epochs: int = 6, least_steps: int = 500, rate: float = 2.0, batch: int = 32, seed: int = 7, reject_share: float = 0.005) -> LanguageModel | None:
     """Descent on four fifths of the rows, calibration on the rest. None without rows."""
     if not texts:
         return None
@@ -78,6 +78,8 @@ def train(texts: list[str], labels: list[str], *, buckets: int = 1 << 13, dim: i
     held, fit = order[: len(order) // 5], order[len(order) // 5 :]
     e = rng.normal(0, 1 / dim, (buckets, dim)).astype(np.float32)
     w, b = np.zeros((dim, len(languages)), dtype=np.float32), np.zeros(len(languages), dtype=np.float32)
+    # a small sample is gone through more often
+    epochs = max(epochs, -(-least_steps // max(1, -(-len(fit) // batch))))
     steps, done = epochs * max(1, -(-len(fit) // batch)), 0
     for _ in range(epochs):
         for rows in np.array_split(rng.permutation(fit), max(1, -(-len(fit) // batch))):
@@ -96,7 +98,11 @@ def train(texts: list[str], labels: list[str], *, buckets: int = 1 << 13, dim: i
             e[used] -= step * 20 * (x[rows][:, used].T @ back)
     rows = held if len(held) else fit
     z = x[rows] @ e @ w + b
-    loss = {t: -np.log(np.maximum(softmax(z / t)[np.arange(len(rows)), y[rows]], 1e-12)).mean() for t in np.geomspace(0.02, 20, 61)}
+    # one error more than was seen is allowed for, so that a clean calibration set does not mean certainty
+    soft = 1 / (len(rows) + 2)
+    goal = np.full(z.shape, soft / max(1, z.shape[1] - 1))
+    goal[np.arange(len(rows)), y[rows]] = 1 - soft
+    loss = {t: -(goal * np.log(np.maximum(softmax(z / t), 1e-15))).sum(1).mean() for t in np.geomspace(0.02, 20, 61)}
     temperature = float(min(loss, key=loss.get))
     p = softmax(z / temperature)
     right = p[p.argmax(1) == y[rows]].max(1) if (p.argmax(1) == y[rows]).any() else np.array([0.0])
@@ -119,7 +125,7 @@ def fit_language_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """Train on about ``per_language`` rows of each label; the bound is all that reaches the driver."""
     usable = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     rows = bounded_rows(usable, id_col, F.col(label_col), per_language).select(id_col, text_col, label_col).collect()
-    rows = sorted((r for r in rows if _LETTER.search(r[1])), key=lambda r: (r[0], r[1]))
+    rows = sorted((r for r in rows if _LETTER.search(r[1])), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     return train([r[1] for r in rows], [r[2] for r in rows], **options)
 
 
@@ -135,7 +141,7 @@ def identify_language(docs: DataFrame, model: LanguageModel | None, *, id_col: s
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(score, f"{id_col} {kind}, language string, score double, rejected boolean")
+    return map_arrow(docs.select(id_col, text_col), score, f"{id_col} {kind}, language string, score double, rejected boolean")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
