@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of ``reverie.plans``; each has QUERIES and SQL.
-PLANS: tuple[str, ...] = ("recall", "ledgers", "histories", "relational")
+PLANS: tuple[str, ...] = ("recall", "ledgers", "histories", "relational", "services")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
