@@ -17,7 +17,7 @@ have kept theirs.
 Each entry's group of sets is compared with its smallest member first, with
 exact intersections. What is linked to it needs no further comparison; the other
 pairs of a group are compared where the members are not connected yet. Before an
-exact comparison, a parity bitmap of about one bit an element rules pairs out:
+exact comparison, a parity bitmap of a few bits an element rules pairs out:
 the number of its differing bits never exceeds the number of differing elements.
 
 Equal sets are one class throughout; shingles are compared by 64-bit hashes.
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reverie.llm.common import WordHasher, cut, drop_table, mix64, table, window_hashes
+from reverie.llm.common import WordHasher, cut, drop_table, map_arrow, mix64, table, window_hashes
 from reverie.llm.components import components
 
 SIZE = 5
@@ -113,8 +113,8 @@ def allocate(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def bitmap(elements: np.ndarray) -> bytes:
-    """Parities of the elements by the low bits of their hashes: a power of two of bits, 64 at least."""
-    bits = max(64, 1 << max(0, int(len(elements) - 1).bit_length()))
+    """Parities of the elements by the low bits of their hashes: a power of two of bits, four to eight an element."""
+    bits = max(64, 4 << max(0, int(len(elements) - 1).bit_length()))
     counts = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -175,7 +175,7 @@ def describe(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n", "h", "slack", "bits"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, h long, slack long, bits binary")
+    return map_arrow(docs, run, "doc_id long, n long, h long, slack long, bits binary")
 
 
 def index(docs: DataFrame, buckets: int) -> DataFrame:
@@ -207,7 +207,7 @@ def index(docs: DataFrame, buckets: int) -> DataFrame:
                 for i in range(0, len(cuts), 2000):
                     yield pa.RecordBatch.from_arrays([pa.array(p[cuts[i : i + 2000]].astype(np.int32)), pa.array(packed[i : i + 2000], pa.binary())], names=["p", "entries"])
 
-    return docs.mapInArrow(run, "p int, entries binary")
+    return map_arrow(docs, run, "p int, entries binary")
 
 
 def groups(entries: DataFrame, dear_from: int) -> DataFrame:
@@ -254,7 +254,7 @@ def groups(entries: DataFrame, dear_from: int) -> DataFrame:
         if gid:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (gid, member, dear)], names=["gid", "doc_id", "dear"])
 
-    return entries.mapInArrow(run, "gid long, doc_id long, dear boolean")
+    return map_arrow(entries, run, "gid long, doc_id long, dear boolean")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, slots: int = 1 << 20) -> DataFrame:
@@ -277,7 +277,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, slots: int = 1 << 20) -> DataFra
                     rows = batch.take(pa.array(part))
                     yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([shingles(hasher, t).tobytes() for t in rows.column(1).to_pylist()], pa.binary())], names=["doc_id", "elements"])
 
-    return docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "doc_id long, elements binary")
+    return map_arrow(docs.select("doc_id", "text", slot.alias("slot")), run, "doc_id long, elements binary")
 
 
 def ruled_in(pairs: DataFrame, info: DataFrame) -> DataFrame:
@@ -291,7 +291,7 @@ def ruled_in(pairs: DataFrame, info: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array([may_link(*r) for r in zip(n, m, x, y, strict=True)], pa.bool_()))
 
     sized = pairs.join(one, "a").join(two, "b").where(F.least("n", "m") * DENOM >= F.greatest("n", "m") * NUMER)
-    return sized.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+    return map_arrow(sized.select("a", "b", "n", "m", "x", "y"), run, "a long, b long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -348,7 +348,7 @@ def open_pairs(members: DataFrame, info: DataFrame, chunk: int = 2048) -> DataFr
                 apart = np.bitwise_count(stacked[w][place] ^ maps[i]).sum(axis=1, dtype=np.int64)
                 found += [(min(doc[i], d), max(doc[i], d)) for d in doc[j[apart * (DENOM + NUMER) <= (n[i] + n[j]) * (DENOM - NUMER)]]]
             new = [x for x in dict.fromkeys(found) if x not in sent]
-            sent.update(new[: max(0, 1_000_000 - len(sent))])
+            sent.update(new[: max(0, 100_000 - len(sent))])
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in new], pa.int64()), pa.array([x[1] for x in new], pa.int64())], names=["a", "b"])
 
         held: list[tuple] = []
@@ -362,7 +362,7 @@ def open_pairs(members: DataFrame, info: DataFrame, chunk: int = 2048) -> DataFr
             yield block(held)
 
     dealt = rows.select("block", "doc_id", "component", "own", "alone", "n", "bits").repartition("block").sortWithinPartitions("block")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(dealt, run, "a long, b long").distinct()
 
 
 def similar_classes(docs: DataFrame, *, dear_from: int = 32) -> tuple[DataFrame, DataFrame]:
