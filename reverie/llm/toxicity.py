@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reverie.llm.common import bounded_rows, crc_mod, table
+from reverie.llm.common import bounded_rows, crc_mod, map_arrow, table
 
 #: The public core of the lexicon: beginnings of words.
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "pathetic", "worthless", "disgusting", "dumbass", "arschloch", "dummkopf", "trottel", "connard", "crétin", "imbécil", "estúpid", "gilipollas")
@@ -169,31 +169,52 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def induce_stems(toxic: list[str], other: list[str], *, shortest: int = 3, longest: int = 10, least: int = 6, odds: float = 25.0) -> dict[str, float]:
+def induce_stems(toxic: list[str], other: list[str], *, shortest: int = 3, longest: int = 10, least: int = 3, odds: float = 25.0, surprise: float = 12.0) -> dict[str, float]:
     """Beginnings of words that many toxic documents have and others hardly: stem -> log odds.
 
-    A stem must occur between many different neighbours; the words of a passage
-    that was copied into several toxic documents always have the same ones.
+    Evidence is counted in occurrences between different neighbours, as the words of a passage
+    that was copied into several toxic documents always have the same ones. A stem is
+    taken if at least ``least`` toxic documents have it and chance would put its
+    occurrences on the toxic side with a log probability below ``-surprise``.
     """
+    split = [[re.findall(r"[^\W\d_]+", t.lower()) for t in texts] for texts in (toxic, other)]
 
-    def spread(texts: list[list[str]]) -> Counter:
-        out: Counter = Counter()
+    def spread(texts: list[list[str]]) -> tuple[Counter, Counter]:
+        """Documents that have a stem at all, and that have it twice."""
+        once: Counter = Counter()
+        twice: Counter = Counter()
         for words in texts:
-            out.update({w[:n] for w in {w[:longest] for w in words} for n in range(shortest, len(w) + 1)})
-        return out
+            seen = Counter(w[:longest] for w in words)
+            stems: Counter = Counter()
+            for w, n in seen.items():
+                for k in range(shortest, len(w) + 1):
+                    stems[w[:k]] += n
+            once.update(stems.keys())
+            twice.update(k for k, n in stems.items() if n > 1)
+        return once, twice
+
+    (a, a2), (b, b2) = map(spread, split)
+    odds_of = lambda x, y: ((x + 0.5) / (len(toxic) + 1)) / ((y + 0.5) / (len(other) + 1))
+    rate = lambda s: odds_of(a[s], b[s])
+    # words that others have by chance, but hardly twice, count as well: with the lower weight of one occurrence
+    likely = {s for s, n in a.items() if n >= least and (rate(s) >= odds or (a2[s] >= least and rate(s) >= 3 and odds_of(a2[s], b2[s]) >= odds))}
+    near: tuple[dict[str, set], dict[str, set]] = ({s: set() for s in likely}, {s: set() for s in likely})
+    for side in (0, 1):
+        for words in split[side]:
+            for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+                for n in range(shortest, min(longest, len(word)) + 1):
+                    if (stem := word[:n]) in likely:
+                        near[side][stem].add((before, after))
+    share = sum(map(len, split[0])) / max(1, sum(map(len, split[0])) + sum(map(len, split[1])))
+
+    def evidence(stem: str) -> float:
+        """n * KL(observed toxic share, toxic share of all words): the negative log of a bound on the probability."""
+        x, y = len(near[0][stem]), len(near[1][stem])
+        p = x / (x + y)
+        return 0.0 if p <= share else x * math.log(p / share) + (y * math.log((1 - p) / (1 - share)) if y else 0.0)
 
-    split = [re.findall(r"[^\W\d_]+", t.lower()) for t in toxic]
-    a, b = spread(split), spread([re.findall(r"[^\W\d_]+", t.lower()) for t in other])
-    rate = lambda s: ((a[s] + 0.5) / (len(toxic) + 1)) / ((b[s] + 0.5) / (len(other) + 1))
-    likely = {s for s, n in a.items() if n >= least and n > 12 * b[s] and rate(s) >= odds}
-    near: dict[str, set[tuple[str, str]]] = {s: set() for s in likely}
-    for words in split:
-        for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-            for n in range(shortest, min(longest, len(word)) + 1):
-                if (stem := word[:n]) in near:
-                    near[stem].add((before, after))
     chosen: dict[str, float] = {}
-    for stem in sorted((s for s in likely if len(near[s]) >= max(least, 0.6 * a[s])), key=lambda s: (len(s), s)):
+    for stem in sorted((s for s in likely if len(near[0][s]) >= 0.6 * a[s] and evidence(s) >= (1 if rate(s) >= odds else 2) * surprise), key=lambda s: (len(s), s)):
         parent = next((stem[:n] for n in range(len(stem) - 1, shortest - 1, -1) if stem[:n] in chosen), None)
         if parent is not None:
             if a[stem] < 0.9 * a[parent]:
@@ -256,7 +277,7 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, *, id_col: str = "doc_id",
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, score double, n_clauses bigint")
+    return map_arrow(docs.select(id_col, text_col), run, f"{id_col} {kind}, score double, n_clauses bigint")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
