@@ -73,4 +73,4 @@ def documents_from_files(spark: SparkSession, path: str) -> DataFrame:
     """``uri, content_type, text`` of the files below a folder; bytes that are not UTF-8 are replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     kind = F.when(F.col("path").endswith(".html"), "text/html").when(F.col("path").endswith(".md"), "text/markdown").otherwise("text/plain")
-    return files.select(F.col("path").alias("uri"), kind.alias("content_type"), F.decode("content", "UTF-8").alias("text"))
+    return files.select(F.col("path").alias("uri"), kind.alias("content_type"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))

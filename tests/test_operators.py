@@ -210,3 +210,29 @@ def test_permissions(spark):
     grants = spark.createDataFrame([("a", "read"), ("b", "write")], "principal string, role string")
     needs = spark.createDataFrame([("get", "read"), ("set", "write")], "command string, needs string")
     assert values(h.authorised(calls, grants, needs), "principal", "command", "allowed") == [("a", "get", True), ("b", "drop", False), ("b", "set", True), ("x", "get", False)]
+
+
+def test_files_become_documents(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_bytes("# ñ".encode())
+    (tmp_path / "in" / "b.txt").write_bytes(b"plain \xff")
+    found = {row.uri.rsplit("/", 1)[1]: row for row in t.documents_from_files(spark, f"file://{tmp_path}/in").collect()}
+    assert found["a.md"].content_type == "text/markdown" and found["a.md"].text == "# ñ"
+    assert found["b.txt"].text.startswith("plain ") and len(found["b.txt"].text) == 7
+
+
+def test_arguments_of_filters():
+    from reverie.operators import services as v
+
+    assert v.filter_arguments('{"kind": "a", "tags_any": [], "status": "strange", "other": 1}') == {"kind": "a", "tags_any": []}
+    assert v.within({"within_secs": 10, "kind": "a"}, 100.0) == {"kind": "a", "min_created": 90.0}
+    for text in ("[1]", "{"):
+        with pytest.raises(ValueError):
+            v.filter_arguments(text)
+
+
+def test_generated_vectors_are_unit_and_repeatable(spark):
+    from reverie.operators import services as v
+
+    a, b = ([tuple(row) for row in v.clustered_vectors(spark, 40, 8).orderBy("id").collect()] for _ in range(2))
+    assert a == b and all(abs(sum(x * x for x in row[2]) - 1) < 1e-9 for row in a)
