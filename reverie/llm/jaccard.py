@@ -53,7 +53,8 @@ def shingles(hasher: WordHasher, text: str | None) -> np.ndarray:
     words = hasher.words(text, lower=True)
     if not len(words):
         return words
-    return np.unique(window_hashes(words, SIZE) if len(words) >= SIZE else window_hashes(words, len(words)))
+    found = np.sort(window_hashes(words, min(SIZE, len(words))))
+    return found[np.r_[True, found[1:] != found[:-1]]]
 
 
 @lru_cache(maxsize=1)
@@ -73,8 +74,8 @@ def bands() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(lows), np.array(segments), np.array(spare)
 
 
-def segments_of(sets: list[np.ndarray], up: int) -> tuple[np.ndarray, ...]:
-    """For the own band (up 0) or the next (1): key, owner and emptiness of each segment, and the sets' bands."""
+def segments_of(sets: list[np.ndarray], up: int, keys: bool = True) -> tuple[np.ndarray, ...]:
+    """For the own band (up 0) or the next (1): key (if asked for), owner and emptiness of each segment, and the sets' bands."""
     lows, segments, _ = bands()
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     band = np.searchsorted(lows, sizes, side="right") - 1 + up
@@ -87,29 +88,37 @@ def segments_of(sets: list[np.ndarray], up: int) -> tuple[np.ndarray, ...]:
     with np.errstate(over="ignore"):
         spread = mix64(flat ^ (np.uint64(0xA5A5) + band[of].astype(np.uint64) * np.uint64(0x1000193)))
         at = starts[of] + (((spread >> np.uint64(32)) * m[of].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        total = np.zeros(starts[-1], dtype=np.uint64)
-        np.add.at(total, at, mix64(spread))
         empty = np.ones(starts[-1], dtype=bool)
         empty[at] = False
         owner = np.repeat(np.arange(len(sets)), m)
+        if not keys:
+            return None, owner, empty, band, use
+        total = np.zeros(starts[-1], dtype=np.uint64)
+        np.add.at(total, at, mix64(spread))
         segment = (np.arange(starts[-1]) - starts[owner]).astype(np.uint64)
         key = mix64(total + segment * np.uint64(0x9E3779B97F4A7C15) + band[owner].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     return key, owner, empty, band, use
 
 
-def allocate(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and owners of the entries, and of each set how many more entries it can leave out."""
-    spare = bands()[2]
-    keys, owners, slack = [], [], np.full(len(sets), np.iinfo(np.int32).max, dtype=np.int64)
+def allocate(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and owners of the entries: all segments with elements, the empty ones of sets with too many of them."""
+    found = []
     for up in (0, 1):
-        key, owner, empty, band, use = segments_of(sets, up)
+        key, owner, empty, band, _ = segments_of(sets, up)
         without = np.bincount(owner[empty], minlength=len(sets))
-        dropped = without <= spare[band]
-        keep = ~empty | ~dropped[owner]
-        keys.append(key[keep])
-        owners.append(owner[keep])
-        slack = np.where(use, np.minimum(slack, np.where(dropped, spare[band] - without, 0)), slack)
-    return np.concatenate(keys), np.concatenate(owners), slack
+        keep = ~empty | (without > bands()[2][band])[owner]
+        found.append((key[keep], owner[keep]))
+    return np.concatenate([k for k, _ in found]), np.concatenate([o for _, o in found])
+
+
+def slack_of(sets: list[np.ndarray]) -> np.ndarray:
+    """How many more entries each set can leave out, in the band where it is fewest."""
+    spare, slack = bands()[2], np.full(len(sets), np.iinfo(np.int32).max, dtype=np.int64)
+    for up in (0, 1):
+        _, owner, empty, band, use = segments_of(sets, up, keys=False)
+        without = np.bincount(owner[empty], minlength=len(sets))
+        slack = np.where(use, np.minimum(slack, np.where(without <= spare[band], spare[band] - without, 0)), slack)
+    return slack
 
 
 def bitmap(elements: np.ndarray) -> bytes:
@@ -169,7 +178,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 sets = [shingles(hasher, t) for t in texts[a:b]]
                 with np.errstate(over="ignore"):
                     whole = [int(mix64(s + np.uint64(1)).sum(dtype=np.uint64) ^ mix64(np.array([len(s)], dtype=np.uint64))[0]) for s in sets]
-                slack = allocate(sets)[2]
+                slack = slack_of(sets)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array(whole, dtype=np.uint64).view(np.int64)), pa.array(slack), pa.array([bitmap(s) for s in sets], pa.binary())],
                     names=["doc_id", "n", "h", "slack", "bits"],
@@ -197,7 +206,7 @@ def index(docs: DataFrame, buckets: int) -> DataFrame:
                 if not first:
                     continue
                 doc = np.array([k for k, _ in first.values()], dtype=np.int64)
-                key, owner, _ = allocate([s for _, s in first.values()])
+                key, owner = allocate([s for _, s in first.values()])
                 p = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
                 order = np.argsort(p.astype(np.uint16) if buckets < 1 << 16 else p, kind="stable")
                 key, doc_of, p = key[order], doc[owner[order]], p[order]
@@ -326,9 +335,33 @@ def open_pairs(members: DataFrame, info: DataFrame, chunk: int = 2048) -> DataFr
     rows = rows.join(info.select("doc_id", "n", "bits"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[tuple[int, int]] = set()
+        tried: set[tuple[int, int]] = set()  # the same pair stands in many groups
 
-        def block(rows: list[tuple]) -> pa.RecordBatch:
+        def small_block(rows: list[tuple]) -> list[tuple[int, int]]:
+            rows = sorted(rows, key=lambda r: r[5])
+            maps = [(8 * len(r[6]), int.from_bytes(r[6], "little")) for r in rows]
+            found = []
+            for i, (_, a, comp, own, alone, n, _) in enumerate(rows):
+                for j in range(i + 1, len(rows)):
+                    _, b, other, there, _, m, _ = rows[j]
+                    if n * DENOM < m * NUMER:
+                        break
+                    if comp == other or (own == there and not alone):
+                        continue
+                    pair = (a, b) if a < b else (b, a)
+                    if pair in tried:
+                        continue
+                    if len(tried) < 200_000:
+                        tried.add(pair)
+                    (w, x), (wide, y) = maps[i], maps[j]
+                    while wide > w:
+                        wide //= 2
+                        y = (y >> wide) ^ (y & ((1 << wide) - 1))
+                    if (x ^ y).bit_count() * (DENOM + NUMER) <= (n + m) * (DENOM - NUMER):
+                        found.append(pair)
+            return found
+
+        def large_block(rows: list[tuple]) -> list[tuple[int, int]]:
             doc, comp, own, alone, n = (np.array([r[k] for r in rows]) for k in (1, 2, 3, 4, 5))
             found = []
             order = np.argsort(n, kind="stable")
@@ -347,8 +380,10 @@ def open_pairs(members: DataFrame, info: DataFrame, chunk: int = 2048) -> DataFr
                 place = np.searchsorted(offset[w], j)
                 apart = np.bitwise_count(stacked[w][place] ^ maps[i]).sum(axis=1, dtype=np.int64)
                 found += [(min(doc[i], d), max(doc[i], d)) for d in doc[j[apart * (DENOM + NUMER) <= (n[i] + n[j]) * (DENOM - NUMER)]]]
-            new = [x for x in dict.fromkeys(found) if x not in sent]
-            sent.update(new[: max(0, 100_000 - len(sent))])
+            return found
+
+        def block(rows: list[tuple]) -> pa.RecordBatch:
+            new = small_block(rows) if len(rows) <= 32 else large_block(rows)
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in new], pa.int64()), pa.array([x[1] for x in new], pa.int64())], names=["a", "b"])
 
         held: list[tuple] = []
