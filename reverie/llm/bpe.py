@@ -14,7 +14,6 @@ text; repeated rows get equal rows. Texts are never shortened.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 from collections.abc import Iterator
 from itertools import chain
@@ -23,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from reverie.llm.common import table
+from reverie.llm.common import map_arrow, table
 
 #: Splits text into the pieces within which merges happen (fixed value of the vocabulary's format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,11 +45,15 @@ class PairIndexBPE:
         symbols = byte_symbols()
         back = {c: b for b, c in symbols.items()}
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        #: pair of ids, as one number -> rank
-        self.ranks = {vocab[a] << 20 | vocab[b]: r for r, (a, b) in enumerate(merges)}
         self.made = [vocab[a + b] for a, b in merges]
         self.first = [vocab[a] for a, _ in merges]
         self.second = [vocab[b] for _, b in merges]
+        #: of each symbol: what may follow it, and what may precede it, with the pair's rank
+        self.follows: list[dict[int, int]] = [{} for _ in range(max(vocab.values()) + 1)]
+        self.precedes: list[dict[int, int]] = [{} for _ in range(max(vocab.values()) + 1)]
+        for rank, (a, b) in enumerate(zip(self.first, self.second, strict=True)):
+            self.follows[a][b] = rank
+            self.precedes[b][a] = rank
         self.byte_id = [vocab[symbols[b]] for b in range(256)]
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         size = max([*vocab.values(), *special.values()]) + 1
@@ -68,29 +71,33 @@ class PairIndexBPE:
 
     def merge(self, pieces: list[str]) -> list[tuple[int, ...]]:
         """The ids of each piece: one ascending sweep over the ranks that occur in any of them."""
-        ids = self.byte_id
-        sym: list[int] = []
+        ids, follows, precedes = self.byte_id, self.follows, self.precedes
+        sym: list[int] = [-1]
         ends: list[int] = []
         for piece in pieces:
             sym += [ids[b] for b in piece.encode("utf-8", "surrogatepass")]
             sym.append(-1)  # no pair crosses the end of a piece
             ends.append(len(sym))
-        n = len(sym)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        ranks, at = self.ranks.get, {}
-        for p in range(n - 1):
-            if sym[p] >= 0 and sym[p + 1] >= 0 and (r := ranks(sym[p] << 20 | sym[p + 1])) is not None:
-                if r in at:
-                    at[r].append(p)
+        after, before = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
+        # the index: positions of each rank's pair
+        at: list[list[int] | None] = [None] * len(self.made)
+        a = -1
+        for p, b in enumerate(sym):
+            if a >= 0 and (r := follows[a].get(b)) is not None:
+                if (places := at[r]) is None:
+                    at[r] = [p - 1]
                 else:
-                    at[r] = [p]
-        active = list(at)
-        heapq.heapify(active)
-        while active:
-            rank = heapq.heappop(active)
+                    places.append(p - 1)
+            a = b
+        for rank in range(len(at)):
+            places = at[rank]
+            if places is None:
+                continue
+            at[rank] = None
             a, b, c = self.first[rank], self.second[rank], self.made[rank]
-            places = at.pop(rank)
-            places.sort()
+            if a == b:
+                places.sort()  # only then can two places overlap
+            left, right = precedes[c].get, follows[c].get
             for p in places:
                 if sym[p] != a or sym[q := after[p]] != b:
                     continue  # a neighbour's merge has used one of the two
@@ -98,19 +105,17 @@ class PairIndexBPE:
                 after[p] = t = after[q]
                 before[t] = p
                 s = before[p]
-                if s >= 0 and sym[s] >= 0 and (r := ranks(sym[s] << 20 | c)) is not None:
-                    if r in at:
-                        at[r].append(s)
-                    else:
+                if (r := left(sym[s])) is not None:
+                    if (more := at[r]) is None:
                         at[r] = [s]
-                        heapq.heappush(active, r)
-                if sym[t] >= 0 and (r := ranks(c << 20 | sym[t])) is not None:
-                    if r in at:
-                        at[r].append(p)
                     else:
+                        more.append(s)
+                if (r := right(sym[t])) is not None:
+                    if (more := at[r]) is None:
                         at[r] = [p]
-                        heapq.heappush(active, r)
-        out, start = [], 0
+                    else:
+                        more.append(p)
+        out, start = [], 1
         for end in ends:
             out.append(tuple(x for x in sym[start : end - 1] if x >= 0))
             start = end
@@ -171,9 +176,10 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
             texts = batch.column(1).to_pylist()
             for a, b in groups(texts):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(list(bpe.encode_batch(texts[a:b])), pa.list_(pa.int32()))], names=[id_col, "ids"])
+        bpe.known.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, ids array<int>")
+    return map_arrow(docs.select(id_col, text_col), run, f"{id_col} {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -185,7 +191,7 @@ def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], names=[id_col, "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, ids_col).mapInArrow(run, f"{id_col} {kind}, text string")
+    return map_arrow(encoded.select(id_col, ids_col), run, f"{id_col} {kind}, text string")
 
 
 def digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,9 +208,10 @@ def digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
                     of_ids.append(hashlib.sha256(",".join(map(bpe.digits.__getitem__, ids)).encode()).hexdigest())
                     of_text.append(hashlib.sha256(bpe.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.known.clear()  # the worker may go on to something else
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs.select(id_col, text_col), run, f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def default_vocabulary() -> str:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reverie.llm.common import cut, table
+from reverie.llm.common import cut, map_arrow, table
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -192,7 +192,7 @@ def nearest(base: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "
                     base_rows = base_rows or (np.concatenate(ids), np.concatenate(held))
                     yield search(who[i:j], vectors)
 
-    found = dealt.mapInArrow(best, "query_id long, vec_id long, score double")
+    found = map_arrow(dealt, best, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumnRenamed("query_id", "class")
     place = F.row_number().over(Window.partitionBy("class").orderBy(F.col("score").desc(), "vec_id"))
     found = found.withColumn("_n", place).where(F.col("_n") <= k + 1).drop("_n")

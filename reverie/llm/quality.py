@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reverie.llm.common import bounded_rows, table
+from reverie.llm.common import bounded_rows, map_arrow, table
 from reverie.llm.toxicity import fit_logistic
 
 BUCKETS = 1 << 11
@@ -166,7 +166,7 @@ def classify_quality(docs: DataFrame, model: QualityModel | None, *, accept_from
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), *(pa.array(found[:, k]) for k in range(3)), pa.array(found[:, 0] >= accept_from)], names=[*out, "score", "content_score", "metadata_score", "accepted"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in out)
-    return docs.select(*columns).mapInArrow(run, f"{kinds}, score double, content_score double, metadata_score double, accepted boolean")
+    return map_arrow(docs.select(*columns), run, f"{kinds}, score double, content_score double, metadata_score double, accepted boolean")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reverie.llm.common import WordHasher, cut, drop_table, mix64, rolling_hashes, table
+from reverie.llm.common import WordHasher, cut, drop_table, map_arrow, mix64, rolling_hashes, table
 from reverie.llm.jaccard import chunks
 
 _PLACE = 24  # bits for a word's place in the packed minimum
@@ -137,7 +137,7 @@ def index_anchors(docs: DataFrame, size: int, buckets: int) -> DataFrame:
                 packed = [key[i:j].tobytes() + doc[i:j].tobytes() for i, j in zip(start, np.r_[start[1:], len(p)], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(p[start]), pa.array(packed, pa.binary())], names=["p", "entries"])
 
-    return docs.mapInArrow(run, "p int, entries binary")
+    return map_arrow(docs, run, "p int, entries binary")
 
 
 def shared_anchors(entries: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def shared_anchors(entries: DataFrame) -> DataFrame:
         for i in range(0, len(key), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(doc[i : i + 100_000]), pa.array(key[i : i + 100_000])], names=["doc_id", "anchor"])
 
-    return entries.mapInArrow(run, "doc_id long, anchor long")
+    return map_arrow(entries, run, "doc_id long, anchor long")
 
 
 def slot_of(slots: int):
@@ -186,7 +186,7 @@ def only_slots(docs: DataFrame, bits: bytes, slots: int, inside: bool) -> DataFr
         for batch in batches:
             yield batch.select([0, 1]).filter(pa.array(use[batch.column(2).to_numpy()] == inside))
 
-    return docs.select("doc_id", "text", slot_of(slots).alias("slot")).mapInArrow(run, "doc_id long, text string")
+    return map_arrow(docs.select("doc_id", "text", slot_of(slots).alias("slot")), run, "doc_id long, text string")
 
 
 def passages(docs: DataFrame, size: int) -> DataFrame:
@@ -225,7 +225,7 @@ def passages(docs: DataFrame, size: int) -> DataFrame:
                 none = pa.nulls(m, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, k)), pa.array(starts), none, none, none, pa.array([words[i:j].tobytes() for i, j in zip(starts, stops, strict=True)], pa.binary())], names=names)
 
-    return docs.select("doc_id", "text", "wanted").mapInArrow(run, "doc_id long, first long, windows long, anchor long, passage long, words binary")
+    return map_arrow(docs.select("doc_id", "text", "wanted"), run, "doc_id long, first long, windows long, anchor long, passage long, words binary")
 
 
 def matched_windows(references: DataFrame, size: int, most: int = 4096) -> DataFrame:
@@ -262,7 +262,7 @@ def matched_windows(references: DataFrame, size: int, most: int = 4096) -> DataF
                     waiting.append((doc, words))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["anchor", "passage", "shift", "count"])
 
-    return dealt.mapInArrow(run, "anchor long, passage long, shift long, count long")
+    return map_arrow(dealt, run, "anchor long, passage long, shift long, count long")
 
 
 def repeated_spans(docs: DataFrame, size: int, slots: int = 1 << 20) -> DataFrame:
@@ -320,8 +320,8 @@ def strip_repeats(docs: DataFrame, *, size: int = 50, slots: int = 1 << 20, dige
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", last])
 
     kind = f"doc_id long, n_words long, n_removed long, {last} string"
-    whole = only_slots(docs, bits, slots, False).mapInArrow(run, kind)
-    some = only_slots(docs, bits, slots, True).join(spans, "doc_id", "left").mapInArrow(run, kind)
+    whole = map_arrow(only_slots(docs, bits, slots, False), run, kind)
+    some = map_arrow(only_slots(docs, bits, slots, True).join(spans, "doc_id", "left"), run, kind)
     return whole.unionByName(some)
 
 

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from reverie.llm.bpe import byte_symbols
-from reverie.llm.common import table
+from reverie.llm.common import map_arrow, table
 
 #: The words of the vocabulary's format (fixed value): contractions, runs of letters, single digits, runs of others.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -83,7 +83,7 @@ class LongestMatch:
 
 
 class PieceCounter:
-    def __init__(self, path: str, most_cached: int = 400_000) -> None:
+    def __init__(self, path: str, most_cached: int = 250_000) -> None:
         with open(path, encoding="utf-8") as f:
             self.automaton = LongestMatch(list(json.load(f)["model"]["vocab"]))
         self.of_byte = byte_symbols()
@@ -117,9 +117,10 @@ def count_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
         counter = _loaded[path]
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([counter.text(t) for t in batch.column(1).to_pylist()], pa.int64())], names=[id_col, "n_pieces"])
+        counter.known.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_pieces bigint")
+    return map_arrow(docs.select(id_col, text_col), run, f"{id_col} {kind}, n_pieces bigint")
 
 
 def default_vocabulary() -> str:
