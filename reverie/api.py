@@ -23,7 +23,7 @@ from reverie.operators import services as v
 from reverie.sources import tables as t
 
 SCHEMAS = {
-    "memory": "id long, key string, text string, importance double, created_at double, kind string, tags array<string>",
+    "memory": "id long, key string, text string, importance double, created_at double, kind string, tags array<string>, embedding array<double>",
     "forgotten": "id long, key string",
     "id_marks": "id long",
     "recalls": "id long, at double",
@@ -101,14 +101,15 @@ class Store:
         items, tags, now = list(items), list(tags), self.clock()
         last = self._last_id()
         ids = list(range(last + 1, last + 1 + len(items)))
-        self._write("memory", [(i, k, x, importance, now, kind, tags) for i, (k, x) in zip(ids, items, strict=True)])
+        self._write("memory", [(i, k, x, float(importance), float(now), kind, tags, self._vector(x)) for i, (k, x) in zip(ids, items, strict=True)])
         self._write("changes", [("memory", k, str(i), "insert", now) for i, (k, _) in zip(ids, items, strict=True)])
         return ids
 
     def remember_frame(self, batch: DataFrame, order: str) -> None:
         """A bulk write of ``key, text`` (and importance, kind, tags) with ids in the order of a column."""
         last = self._last_id()
-        self._write("memory", m.remember(last, batch, F.col(order), self.clock()))
+        rows = m.remember(last, batch, F.col(order), self.clock())
+        self._write("memory", rows.withColumn("embedding", r.embedder(self.spec)[0](F.col("text"))))
 
     def remember_idempotent(self, idem_key: str, key: str, text: str, ttl: float = m.IDEMPOTENCY_SECONDS) -> int:
         now = self.clock()
@@ -122,13 +123,13 @@ class Store:
     def recall(self, query: str, *, k: int = 10, key: str | None = None, filter_json: str | None = None, reinforce: bool = True) -> DataFrame:
         given = v.within(v.filter_arguments(filter_json), self.clock()) if filter_json else {}
         condition = r.recall_filter(**given) if given else None
-        hits = self.spark.createDataFrame(m.recall(self.memory(), query, k=k, key=key, filtered=condition, spec=self.spec).collect(), f"{SCHEMAS['memory']}, score double")
+        hits = self.spark.createDataFrame(m.recall(self.memory(), query, k=k, key=key, filtered=condition, spec=self.spec, vec_col="embedding").collect(), f"{SCHEMAS['memory']}, score double")
         if reinforce:
             self._write("recalls", m.reinforcement(hits, self.clock()))
         return r.top(hits, k)
 
     def recall_decayed(self, query: str, half_life: float, k: int = 10) -> DataFrame:
-        return m.recall_decayed(self.memory(), query, self.clock(), half_life, k=k, spec=self.spec)
+        return m.recall_decayed(self.memory(), query, self.clock(), half_life, k=k, spec=self.spec, vec_col="embedding")
 
     def scan(self, after: int = 0, count: int = 10) -> DataFrame:
         return m.scan(self.memory(), after, count)
@@ -450,7 +451,7 @@ class Store:
         return v.recent_audit(self.read("audit"), tenant, n)
 
     def export(self, path: str) -> int:
-        return t.export_memory(self.memory().withColumn("embedding", r.embedder(self.spec)[0](F.col("text"))), path)
+        return t.export_memory(self.memory(), path)
 
     def snapshot(self, target: str) -> DataFrame:
         """Copies the store and returns the manifest of what was copied."""

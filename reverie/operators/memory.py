@@ -93,17 +93,20 @@ def tombstone_ratio(memory: DataFrame, forgotten: DataFrame) -> DataFrame:
     return out.withColumn("ratio", ratio).withColumn("compact", (F.col("ratio") >= COMPACT_RATIO) & (F.col("live") >= COMPACT_ROWS))
 
 
-def recall(memory: DataFrame, query: str, *, k: int = 10, key: str | None = None, filtered: Column | None = None, spec: str = "hash:32") -> DataFrame:
-    """``id, score`` and the memory's columns; removed rows must be left out before. ``key`` restricts to one owner."""
+def recall(memory: DataFrame, query: str, *, k: int = 10, key: str | None = None, filtered: Column | None = None, spec: str = "hash:32", vec_col: str | None = None) -> DataFrame:
+    """``id, score`` and the memory's columns; removed rows must be left out before. ``key`` restricts to one owner.
+
+    ``vec_col`` names stored vectors; without it they are computed from the texts.
+    """
     if key is not None:
         filtered = (F.col("key") == key) if filtered is None else filtered & (F.col("key") == key)
-    hits = hybrid(memory, query, k=k, filtered=filtered, spec=spec)
+    hits = hybrid(memory, query, k=k, filtered=filtered, spec=spec, vec_col=vec_col)
     return memory.join(F.broadcast(hits), "id")  # k rows
 
 
-def recall_decayed(memory: DataFrame, query: str, now: float, half_life: float, *, k: int = 10, spec: str = "hash:32") -> DataFrame:
+def recall_decayed(memory: DataFrame, query: str, now: float, half_life: float, *, k: int = 10, spec: str = "hash:32", vec_col: str | None = None) -> DataFrame:
     """2k candidates, scores times effective importance, the best k."""
-    hits = memory.join(F.broadcast(hybrid(memory, query, k=2 * k, spec=spec)), "id")
+    hits = memory.join(F.broadcast(hybrid(memory, query, k=2 * k, spec=spec, vec_col=vec_col)), "id")
     score = F.col("score") * effective_importance(F.col("importance"), F.col("created_at"), now, half_life)
     return top(hits.withColumn("score", score), k)
 

@@ -16,7 +16,7 @@ from reverie.functions.scalars import EPSILON, cosine, tokens
 
 #: Okapi parameters.
 K1, B = 1.2, 0.75
-#: Rank constant of the fusion.
+#: Rank constant of the fusion (fixed value).
 RRF_K = 60
 
 
@@ -32,24 +32,34 @@ def occurrences(words: Column, term: str) -> Column:
     return F.size(F.filter(words, lambda x: x == F.lit(term)))
 
 
+def term_counts(rows: DataFrame, terms: list[str], text: Column, *others: Column) -> DataFrame:
+    """``others``, ``_len`` and one count ``_f<i>`` for each term."""
+    split = rows.select(*others, tokens(F.coalesce(text, F.lit(""))).alias("_t"))
+    names = [c for c in split.columns if c != "_t"]
+    return split.select(*names, F.size("_t").alias("_len"), *(occurrences(F.col("_t"), t).alias(f"_f{i}") for i, t in enumerate(terms)))
+
+
+def okapi(counted: DataFrame, terms: int) -> DataFrame:
+    """Rows of ``term_counts`` with a term, with their score; the corpus figures are one aggregate."""
+    figures = counted.agg(F.count("*").alias("n"), F.avg("_len").alias("mean"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"d{i}") for i in range(terms))).first()
+    score: Column = F.lit(0.0)
+    for i in range(terms):
+        df, f = figures[f"d{i}"], F.col(f"_f{i}").cast("double")
+        idf = F.log(F.lit(1 + (figures["n"] - df + 0.5) / (df + 0.5)))
+        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_len") / F.lit(float(figures["mean"] or 1.0))))
+    return counted.where(" or ".join(f"_f{i} > 0" for i in range(terms))).withColumn("score", score)
+
+
 def bm25(docs: DataFrame, query: str, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """``id, score`` of the rows with a term of the query; an empty query finds nothing.
 
-    The corpus figures (rows, mean length, document frequencies) are one aggregate over the
-    rows; scores follow from each row's own counts, without exploding words.
+    The corpus figures (rows, mean length, document frequencies) are one pass over the
+    rows; scores follow from each row's own counts in a second, without exploding words.
     """
     terms = query_terms(query)
-    rows = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
     if not terms:
-        return rows.select("id", F.lit(0.0).alias("score")).limit(0)
-    counted = rows.select("id", F.size("_t").alias("_len"), *(occurrences(F.col("_t"), t).alias(f"_f{i}") for i, t in enumerate(terms)))
-    figures = counted.agg(F.count("*").alias("n"), F.avg("_len").alias("mean"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"d{i}") for i in range(len(terms)))).first()
-    score: Column = F.lit(0.0)
-    for i in range(len(terms)):
-        df, f = figures[f"d{i}"], F.col(f"_f{i}").cast("double")
-        idf = F.log(F.lit(1 + (figures["n"] - df + 0.5) / (df + 0.5)))
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_len") / F.lit(float(figures["mean"] or 1.0))))
-    return counted.where(" or ".join(f"_f{i} > 0" for i in range(len(terms)))).select("id", score.alias("score"))
+        return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
+    return okapi(term_counts(docs, terms, F.col(text_col), F.col(id_col).alias("id")), len(terms)).select("id", "score")
 
 
 def vector_scores(rows: DataFrame, query: list[float], *, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
@@ -65,8 +75,8 @@ def bucket(token: Column, dim: int) -> Column:
 def hash_embedding(text: Column, dim: int) -> Column:
     """Counts of hashed lower-case words, scaled to unit length; an empty text is the zero vector."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "\\s+"), lambda t: t != "")
-    places = F.array_sort(F.transform(words, lambda t: bucket(t, dim)))
-    count = lambda a, b: F.size(F.filter(a, lambda x: x == b)).cast("double")
+    places = F.transform(words, lambda t: bucket(t, dim))
+    count = lambda a, b: (F.size(a) - F.size(F.array_remove(a, b))).cast("double")
     counts = F.element_at(F.transform(F.array(places), lambda a: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: count(a, b))), 1)
     norm = lambda v: F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-6))
     scaled = lambda v: F.element_at(F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x / n)), 1)
@@ -107,16 +117,28 @@ def rrf(rankings: list[DataFrame], *, k: int = RRF_K, n: int = 10) -> DataFrame:
 def hybrid(docs: DataFrame, query: str, *, spec: str = "hash:32", k: int = 10, filtered: Column | None = None, id_col: str = "id", text_col: str = "text", vec_col: str | None = None) -> DataFrame:
     """Lexical and vector candidates fused; a predicate is applied before the candidates are chosen.
 
-    Candidates per ranking: max(3k, 32), with a predicate max(8k, 128).
+    Candidates per ranking: max(3k, 32), with a predicate max(8k, 128). The rows' texts are read
+    once: counts of the query's terms and the vector score, a few numbers a row, are
+    held while the two candidate lists are taken, which come to the driver.
     """
+    spark = docs.sparkSession
     column, of_query = embedder(spec)
     per = max(3 * k, 32) if filtered is None else max(8 * k, 128)
     rows = docs if filtered is None else docs.where(filtered)
-    words = top(bm25(rows, query, id_col=id_col, text_col=text_col), per)
     vec = F.col(vec_col) if vec_col else column(F.col(text_col))
-    vectors = rows.select(F.col(id_col).alias("id"), vec.alias("embedding"))
-    near = top(vector_scores(vectors, of_query(query)), per)
-    return rrf([near, words], n=k)
+    terms = query_terms(query)
+    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), vec.alias("_vec"))
+    counted = term_counts(rows, terms, F.col("text"), F.col("id"), F.col("_vec"))
+    near = cosine(F.col("_vec"), F.array(*map(F.lit, of_query(query)))).alias("near")
+    held = counted.select("id", near, *(c for c in counted.columns if c not in ("id", "_vec"))).persist()
+    try:
+        lists = [top(held.select("id", F.col("near").alias("score")), per).collect()]
+        if terms and lists[0]:
+            lists.append(top(okapi(held, len(terms)).select("id", "score"), per).collect())
+    finally:
+        held.unpersist()
+    kind = docs.schema[id_col].dataType.simpleString()
+    return rrf([spark.createDataFrame([tuple(x) for x in found], f"id {kind}, score double") for found in lists], n=k)
 
 
 def recall_filter(*, kind: str | None = None, tags_any: list[str] | None = None, min_created: float | None = None, max_created: float | None = None) -> Column:

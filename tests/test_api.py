@@ -29,6 +29,14 @@ def test_memory(store):
     assert store.remember("c", "new") == 4
 
 
+def test_bulk_writes(store, spark):
+    store.remember("k", "first")
+    store.remember_frame(spark.createDataFrame([("a", "refund of an order", 2), ("b", "weather", 1)], "key string, text string, n int"), "n")
+    assert [(x["id"], x["key"]) for x in store.memory().orderBy("id").collect()] == [(1, "k"), (2, "b"), (3, "a")]
+    assert store.recall("refund of an order", k=1).first()["id"] == 3
+    assert store.recall_decayed("refund of an order", 60.0, k=1).first()["id"] == 3
+
+
 def test_sessions_and_cache(store):
     store.session_set("s", "data", ttl=10)
     store.now[0] += 9
