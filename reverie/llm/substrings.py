@@ -192,13 +192,14 @@ def only_slots(docs: DataFrame, bits: bytes, slots: int, inside: bool) -> DataFr
 def passages(docs: DataFrame, size: int) -> DataFrame:
     """From doc_id, text and the anchors to follow up: a row for each passage, and rows with the words.
 
-    Passage rows: ``doc_id, first, windows, anchor, passage`` (hash of its words).
-    Word rows: ``doc_id, first, words`` (packed hashes of the words from ``first`` on), anchor null.
+    Passage rows: ``doc_id, firsts, windows, anchor, passage`` (hash of its words), one for each
+    passage of a document, with all its places. Word rows: ``doc_id, firsts, words`` (packed
+    hashes of the words from the one place on), anchor null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        names = ["doc_id", "first", "windows", "anchor", "passage", "words"]
+        names = ["doc_id", "firsts", "windows", "anchor", "passage", "words"]
         for batch in batches:
             for k, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = hasher.words(text or "", lower=False)
@@ -216,16 +217,20 @@ def passages(docs: DataFrame, size: int) -> DataFrame:
                     sums = np.concatenate([[np.uint64(0)], np.cumsum(words * power[:-1], dtype=np.uint64)])
                     name = mix64((sums[end] - sums[first]) * inverse[first] + windows.astype(np.uint64)).view(np.int64)
                 n = len(first)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k)), pa.array(first), pa.array(windows), pa.array(anchor), pa.array(name), pa.nulls(n, pa.binary())], names=names)
+                order = np.lexsort((first, name, anchor))
+                heads = np.flatnonzero(np.r_[True, (anchor[order][1:] != anchor[order][:-1]) | (name[order][1:] != name[order][:-1])])
+                places = pa.ListArray.from_arrays(pa.array(np.r_[heads, n].astype(np.int32)), pa.array(first[order]))
+                at = order[heads]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), places, pa.array(windows[at]), pa.array(anchor[at]), pa.array(name[at]), pa.nulls(len(at), pa.binary())], names=names)
                 # the covered stretches of words
                 opens = np.flatnonzero(np.r_[True, first[1:] > np.maximum.accumulate(end)[:-1]])
                 closes = np.r_[opens[1:], n] - 1
                 starts, stops = first[opens], np.maximum.accumulate(end)[closes]
                 m = len(opens)
                 none = pa.nulls(m, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, k)), pa.array(starts), none, none, none, pa.array([words[i:j].tobytes() for i, j in zip(starts, stops, strict=True)], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, k)), pa.array([[i] for i in starts.tolist()], pa.list_(pa.int64())), none, none, none, pa.array([words[i:j].tobytes() for i, j in zip(starts, stops, strict=True)], pa.binary())], names=names)
 
-    return map_arrow(docs.select("doc_id", "text", "wanted"), run, "doc_id long, first long, windows long, anchor long, passage long, words binary")
+    return map_arrow(docs.select("doc_id", "text", "wanted"), run, "doc_id long, firsts array<long>, windows long, anchor long, passage long, words binary")
 
 
 def matched_windows(references: DataFrame, size: int, most: int = 4096) -> DataFrame:
@@ -266,25 +271,25 @@ def matched_windows(references: DataFrame, size: int, most: int = 4096) -> DataF
 
 
 def repeated_spans(docs: DataFrame, size: int, slots: int = 1 << 20) -> DataFrame:
-    """``doc_id, spans``: [first word, end) of the repeated words of each document that has any."""
+    """``doc_id, spans`` of each document with repeated words: ``length`` words from each of ``firsts``, ``shift`` words on."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     follow = cut(shared_anchors(index_anchors(docs, size, 4 * partitions).repartition(partitions, "p")))
     bits = slots_used(follow, slots)
     wanted = follow.groupBy("doc_id").agg(F.collect_set("anchor").alias("wanted"))
     found = cut(passages(only_slots(docs, bits, slots, True).join(wanted, "doc_id"), size))
-    occurs = found.where("anchor is not null").select("doc_id", "first", "windows", "anchor", "passage")
-    kinds = cut(occurs.groupBy("anchor", "passage").agg(F.min(F.struct("doc_id", "first")).alias("at"), F.max("windows").alias("windows")).select("anchor", "passage", F.col("at.doc_id").alias("least"), F.col("at.first").alias("first"), "windows"))
+    occurs = found.where("anchor is not null").select("doc_id", "firsts", "windows", "anchor", "passage")
+    kinds = cut(occurs.groupBy("anchor", "passage").agg(F.min(F.struct("doc_id", F.element_at("firsts", 1).alias("first"))).alias("at"), F.max("windows").alias("windows")).select("anchor", "passage", F.col("at.doc_id").alias("least"), F.col("at.first").alias("first"), "windows"))
     several = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    texts = found.where("anchor is null").select(F.col("doc_id").alias("least"), F.col("first").alias("from"), "words")
+    texts = found.where("anchor is null").select(F.col("doc_id").alias("least"), F.element_at("firsts", 1).alias("from"), "words")
     placed = kinds.join(several, "anchor").join(texts, "least").where("first >= `from` and first < `from` + length(words) / 8")
     references = placed.select("anchor", "passage", F.col("least").alias("doc_id"), F.substring(F.col("words"), ((F.col("first") - F.col("from")) * 8 + 1).cast("int"), ((F.col("windows") + size - 1) * 8).cast("int")).alias("words"))
     matched = matched_windows(references, size).withColumnRenamed("anchor", "a").withColumnRenamed("passage", "p")
     named = occurs.join(kinds.select("anchor", "passage", "least"), ["anchor", "passage"])
-    copies = named.where("doc_id > least").select("doc_id", "first", "windows")
+    copies = named.where("doc_id > least").select("doc_id", "firsts", F.lit(0).cast("long").alias("shift"), "windows")
     own = named.where("doc_id = least").join(matched, (F.col("anchor") == F.col("a")) & (F.col("passage") == F.col("p")))
-    spans = copies.unionByName(own.select("doc_id", (F.col("first") + F.col("shift")).alias("first"), F.col("count").alias("windows")))
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("windows") + size - 1).alias("b"))).alias("spans"))
+    spans = copies.unionByName(own.select("doc_id", "firsts", "shift", F.col("count").alias("windows")))
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("firsts", "shift", (F.col("windows") + size - 1).alias("length"))).alias("spans"))
 
 
 def cut_words(text: str | None, spans: list[dict] | None) -> tuple[list[bytes], int]:
@@ -293,8 +298,10 @@ def cut_words(text: str | None, spans: list[dict] | None) -> tuple[list[bytes],
     if not spans:
         return words, len(words)
     change = np.zeros(len(words) + 1, dtype=np.int64)
-    np.add.at(change, [s["a"] for s in spans], 1)
-    np.add.at(change, [s["b"] for s in spans], -1)
+    for s in spans:
+        starts = np.array(s["firsts"]) + s["shift"]
+        np.add.at(change, starts, 1)
+        np.add.at(change, starts + s["length"], -1)
     gone = np.cumsum(change)[:-1] > 0
     return [words[i] for i in np.flatnonzero(~gone)], len(words)
 
