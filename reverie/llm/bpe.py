@@ -38,7 +38,7 @@ def byte_symbols() -> dict[int, str]:
 class PairIndexBPE:
     """Encoder and decoder over a ``tokenizers`` JSON file."""
 
-    def __init__(self, path: str, most_cached: int = 250_000) -> None:
+    def __init__(self, path: str, most_cached: int = 150_000) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -155,7 +155,7 @@ def encoder(path: str) -> PairIndexBPE:
     return _loaded[path]
 
 
-def groups(texts: list[str | None], most_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def groups(texts: list[str | None], most_chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Cuts a batch where its texts exceed ``most_chars``, to bound a worker's memory; texts stay whole."""
     start = total = 0
     for i, t in enumerate(texts):

@@ -7,10 +7,14 @@ executor costs a recomputation and never a result.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,15 +66,31 @@ def drop_table(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def give_back() -> None:
+    """Returns freed memory of this process to the system, where the platform can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
 def map_arrow(df: DataFrame, run, schema: str, rows: int = 1000) -> DataFrame:
     """``df.mapInArrow`` with batches of at most ``rows`` rows, for texts of any length: it bounds a worker's memory.
 
-    The limit is the session's; it is lowered here and stays lowered.
+    The limit is the session's; it is lowered here and stays lowered. After a partition, a
+    worker gives back what it no longer uses, as it lives on for other stages.
     """
+
+    def bounded(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(name)) <= rows:
         df.sparkSession.conf.set(name, rows)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(bounded, schema)
 
 
 def crc_mod(key: Column, divisor: int) -> Column:

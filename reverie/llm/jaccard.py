@@ -317,7 +317,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     sets = cut(sets)
     with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
     both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a")
-    found = cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    found = cut(map_arrow(both.select("a", "b", "x", "y"), run, "a long, b long"))
     drop_table(sets)
     return found
 
