@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reverie.functions.scalars import EPSILON, cosine, tokens
+from reverie.functions.scalars import EPSILON, cosine, dot, tokens
 
 #: Okapi parameters.
 K1, B = 1.2, 0.75
@@ -67,6 +67,38 @@ def vector_scores(rows: DataFrame, query: list[float], *, id_col: str = "id", ve
     return rows.select(F.col(id_col).alias("id"), cosine(F.col(vec_col), F.array(*map(F.lit, map(float, query)))).alias("score"))
 
 
+def hyperplanes(dim: int, bits: int = 8, tables: int = 6, seed: int = 7) -> list[list[list[float]]]:
+    """Random directions: ``bits`` for each of ``tables`` hash tables."""
+    import random
+
+    rng = random.Random(seed)
+    return [[[rng.gauss(0, 1) for _ in range(dim)] for _ in range(bits)] for _ in range(tables)]
+
+
+def sign_buckets(vec: Column, planes: list[list[list[float]]]) -> Column:
+    """A vector's bucket in each table, as an array: the signs of its products with the table's directions."""
+    out = []
+    for t, table in enumerate(planes):
+        place: Column = F.lit(t << len(table))
+        for i, plane in enumerate(table):
+            place = place + F.when(dot(vec, F.array(*map(F.lit, plane))) > 0, 1 << i).otherwise(0)
+        out.append(place)
+    return F.array(*out)
+
+
+def approximate_top(indexed: DataFrame, query: list[float], planes: list[list[list[float]]], k: int, *, vec_col: str = "embedding", bucket_col: str = "buckets") -> DataFrame:
+    """Top k by cosine among the rows that share a bucket with the query, or one that differs in one sign.
+
+    ``indexed`` holds ``sign_buckets`` of its vectors, computed once when rows are written.
+    """
+    probes = []
+    for t, table in enumerate(planes):
+        own = (t << len(table)) + sum((sum(a * b for a, b in zip(query, plane, strict=False)) > 0) << i for i, plane in enumerate(table))
+        probes += [own, *(own ^ (1 << i) for i in range(len(table)))]
+    near = indexed.where(F.arrays_overlap(F.col(bucket_col), F.array(*map(F.lit, probes))))
+    return top(vector_scores(near, query, vec_col=vec_col), k)
+
+
 def bucket(token: Column, dim: int) -> Column:
     """A word's place in a hashed vector: the first 32 bits of its md5 modulo ``dim``."""
     return F.pmod(F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
@@ -165,4 +197,4 @@ def recall_at_k(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return sizes.join(sums, "query_id", "left").select("query_id", (F.coalesce("hits", F.lit(0)) / F.least("n", F.lit(k))).alias("recall"), (F.coalesce("gain", F.lit(0.0)) / ideal).alias("ndcg"))
 
 
-__all__ = ["EPSILON", "bm25", "bucket", "embedder", "hash_embedding", "hash_query", "hybrid", "query_terms", "recall_at_k", "recall_filter", "rrf", "top", "vector_scores"]
+__all__ = ["EPSILON", "approximate_top", "bm25", "bucket", "embedder", "hash_embedding", "hash_query", "hybrid", "hyperplanes", "query_terms", "recall_at_k", "recall_filter", "rrf", "sign_buckets", "top", "vector_scores"]

@@ -95,7 +95,15 @@ def _cos(a: str, b: str) -> str:
 _V = "(SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings)"
 _SCORED = f"SELECT v.id, round({_cos('v.e', 'q.e')}, 9) AS score FROM {_V} v, (SELECT e FROM {_V} WHERE id = 0) q"
 
+def vector_topk_ann(s, d):
+    """The ten nearest of vector 0 by hashed signs: exact scores of the rows in its buckets."""
+    planes = r.hyperplanes(64)
+    rows = _vectors(s, d).withColumn("buckets", r.sign_buckets(F.col("embedding"), planes))
+    return _rounded(r.approximate_top(rows, [float(x) for x in _first(s, d)], planes, 10), "id")
+
+
 QUERIES = {
+    "vector_topk_ann": vector_topk_ann,
     "bm25_topk": lambda s, d: _rounded(r.top(r.bm25(memory(s, d), QUERY), 32), "id"),
     "vector_topk": lambda s, d: _rounded(r.top(r.vector_scores(_vectors(s, d), _first(s, d)), 10), "id"),
     "semantic_neighbours": semantic_neighbours,

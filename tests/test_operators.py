@@ -45,6 +45,20 @@ def test_hash_embedding_is_unit_or_zero(spark):
     assert not any(rows[1].v) and not any(rows[2].v)
 
 
+def test_hashed_signs_find_clustered_neighbours(spark):
+    from reverie.operators import services as v
+
+    rows = v.clustered_vectors(spark, 1500, 16, deviation=0.15).cache()
+    planes = r.hyperplanes(16)
+    indexed = rows.withColumn("buckets", r.sign_buckets(F.col("embedding"), planes)).cache()
+    hits = 0
+    for q in (0, 3, 5):
+        query = rows.where(F.col("id") == q).first().embedding
+        exact = {row.id for row in r.top(r.vector_scores(rows, query), 10).collect()}
+        hits += len(exact & {row.id for row in r.approximate_top(indexed, query, planes, 10).collect()})
+    assert hits >= 27
+
+
 def test_unknown_embedders_are_refused():
     for spec in ("hash:2", "hash:x", "other:8"):
         with pytest.raises(ValueError):
