@@ -18,6 +18,7 @@ import json
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,7 @@ def byte_symbols() -> dict[int, str]:
 class PairIndexBPE:
     """Encoder and decoder over a ``tokenizers`` JSON file."""
 
-    def __init__(self, path: str, most_cached: int = 150_000) -> None:
+    def __init__(self, path: str, most_cached: int = 250_000) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -55,6 +56,9 @@ class PairIndexBPE:
             self.follows[a][b] = rank
             self.precedes[b][a] = rank
         self.byte_id = [vocab[symbols[b]] for b in range(256)]
+        self.byte_ids = np.array(self.byte_id, dtype=np.int64)
+        #: rank of each pair of bytes, or -1
+        self.byte_pairs = np.array([[self.follows[a].get(b, -1) for b in self.byte_id] for a in self.byte_id], dtype=np.int32)
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         size = max([*vocab.values(), *special.values()]) + 1
         self.token = [b""] * size
@@ -71,24 +75,26 @@ class PairIndexBPE:
 
     def merge(self, pieces: list[str]) -> list[tuple[int, ...]]:
         """The ids of each piece: one ascending sweep over the ranks that occur in any of them."""
-        ids, follows, precedes = self.byte_id, self.follows, self.precedes
-        sym: list[int] = [-1]
-        ends: list[int] = []
-        for piece in pieces:
-            sym += [ids[b] for b in piece.encode("utf-8", "surrogatepass")]
-            sym.append(-1)  # no pair crosses the end of a piece
-            ends.append(len(sym))
-        after, before = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
+        if not pieces:
+            return []
+        encoded = [piece.encode("utf-8", "surrogatepass") for piece in pieces]
+        ends = np.cumsum([len(e) + 1 for e in encoded])
+        data = np.frombuffer(b"\0" + b"\0".join(encoded) + b"\0", dtype=np.uint8)
+        symbols = self.byte_ids[data]
+        symbols[0] = -1
+        symbols[ends] = -1  # no pair crosses the end of a piece
         # the index: positions of each rank's pair
         at: list[list[int] | None] = [None] * len(self.made)
-        a = -1
-        for p, b in enumerate(sym):
-            if a >= 0 and (r := follows[a].get(b)) is not None:
-                if (places := at[r]) is None:
-                    at[r] = [p - 1]
-                else:
-                    places.append(p - 1)
-            a = b
+        ranks = np.where((symbols[:-1] >= 0) & (symbols[1:] >= 0), self.byte_pairs[data[:-1], data[1:]], -1)
+        places = np.flatnonzero(ranks >= 0)
+        places = places[np.argsort(ranks[places], kind="stable")]
+        starts = np.flatnonzero(np.r_[True, np.diff(ranks[places]) > 0]) if len(places) else places
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(places)], strict=False):
+            at[ranks[places[i]]] = places[i:j].tolist()
+        sym: list[int] = symbols.tolist()
+        ends = (ends + 1).tolist()
+        after, before = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
+        follows, precedes = self.follows, self.precedes
         for rank in range(len(at)):
             places = at[rank]
             if places is None:
