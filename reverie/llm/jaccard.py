@@ -122,8 +122,8 @@ def slack_of(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def bitmap(elements: np.ndarray) -> bytes:
-    """Parities of the elements by the low bits of their hashes: a power of two of bits, four to eight an element."""
-    bits = max(64, 4 << max(0, int(len(elements) - 1).bit_length()))
+    """Parities of the elements by the low bits of their hashes: a power of two of bits, two to four an element."""
+    bits = max(64, 2 << max(0, int(len(elements) - 1).bit_length()))
     counts = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -428,6 +428,8 @@ def similar_classes(docs: DataFrame, *, dear_from: int = 32) -> tuple[DataFrame,
     mixed = labelled.groupBy("gid").agg(F.min("component").alias("u"), F.max("component").alias("v")).where("u <> v").select("gid")
     rest = cut(open_pairs(labelled.join(mixed, "gid", "left_semi"), info).join(star, ["a", "b"], "left_anti"))
     more = verify(rest, docs)
+    for done in (info, found, members, star, rest):
+        drop_table(done)
     return classes.select("doc_id", "n", "rep"), links.unionByName(more)
 
 
