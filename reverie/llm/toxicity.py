@@ -257,7 +257,7 @@ def fit_grammar(texts: list[str], labels: list[int]) -> Grammar:
     return Grammar(core | induce_stems(toxic, other), threats, layer)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500) -> Grammar:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1000) -> Grammar:
     """Fit on about ``per_class`` labelled rows of each class; only those texts reach the driver."""
     chosen = bounded_rows(labels.where(F.col(label_col).isin(0, 1)), id_col, F.col(label_col), per_class).select(id_col, label_col).dropDuplicates([id_col])
     rows = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col).join(F.broadcast(chosen), id_col).collect()
