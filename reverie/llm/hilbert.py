@@ -6,6 +6,11 @@ range-partitioned into blocks of about ``block_rows`` vectors; a query looks at
 its own block and ``reach`` neighbours on either side, and the blocks' best
 candidates are merged over all curves and ranked by the exact inner product.
 
+Where the windows are a small share of the table, the recall of ``check_queries`` queries
+(a bounded sample by hash) is measured against brute force, and ``reach`` grows until it is
+``target``. Windows that would cost as much as brute force give way to it: each query then
+looks at all rows, once, in blocks dealt by a hash of the id.
+
 The largest inner product becomes a nearest direction by one more coordinate:
 a vector x is placed as (x, sqrt(M**2 - |x|**2)) / M with M the largest norm, a
 query as (q, 0) / |q|.
@@ -32,7 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reverie.llm.common import cut, map_arrow, table
+from reverie.llm.common import cut, map_arrow, mix64, table
+
+#: Bytes of the vectors of a block where every query looks at all blocks.
+WHOLE_BYTES = 32 << 20
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -111,7 +119,52 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def nearest(base: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = 6, axes: int = 8, bits: int = 7, block_rows: int = 8192, reach: int = 1, fit_rows: int = 20_000, seed: int = 3) -> DataFrame:
+def reach_needed(rows: DataFrame, asked: DataFrame, model: Curves, bounds: list[np.ndarray], dim: int, k: int, count: int, seed: int) -> np.ndarray:
+    """For each true neighbour of about ``count`` sampled queries, the least reach at which a curve's window has it.
+
+    ``rows`` (vec_id, v) are read once by brute force; a partition gives each query's k + 1 best.
+    """
+    total = asked.count()
+    drawn = F.pmod(F.xxhash64("query_id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, count / max(1, total)))
+    sample = asked.where(drawn).select("query_id", "v").limit(2 * count).collect() or asked.select("query_id", "v").limit(count).collect()
+    if not sample:
+        return np.empty(0, dtype=np.int64)
+    who = np.array([r[0] for r in sample])
+    q = matrix(pa.array([r[1] for r in sample]), dim)
+    own = np.stack([np.searchsorted(b, x, side="right") for b, x in zip(bounds, model.keys(q, True), strict=True)], axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(q)
+        scores, ids, apart = np.empty((n, 0)), np.empty((n, 0), dtype=np.int64), np.empty((n, 0), dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, x_ids = matrix(batch.column(1), dim), batch.column(0).to_numpy()
+            at = np.stack([np.searchsorted(b, keys, side="right") for b, keys in zip(bounds, model.keys(x, False), strict=True)], axis=1)
+            more = np.where(who[:, None] == x_ids, -np.inf, q @ x.T)
+            scores = np.hstack([scores, more])
+            ids = np.hstack([ids, np.broadcast_to(x_ids, more.shape)])
+            apart = np.hstack([apart, np.stack([np.abs(at - o).min(axis=1) for o in own])])
+            best = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
+            scores, ids, apart = (np.take_along_axis(y, best, axis=1) for y in (scores, ids, apart))
+        i, j = np.nonzero(np.isfinite(scores))
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(ids[i, j]), pa.array(scores[i, j]), pa.array(apart[i, j])], names=["q", "vec_id", "score", "apart"])
+
+    found = map_arrow(rows, run, "q long, vec_id long, score double, apart long")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id"))
+    return np.array([r[0] for r in found.withColumn("_n", place).where(F.col("_n") <= k).select("apart").collect()], dtype=np.int64)
+
+
+def least_reach(needed: np.ndarray, curves: int, blocks: int, reach: int, target: float) -> int | None:
+    """The least ``reach`` that finds ``target`` of the neighbours and costs less than all blocks once, if there is one."""
+    while curves * (2 * reach + 1) < blocks:
+        if not len(needed) or (needed <= reach).mean() >= target:
+            return reach
+        reach += 1
+    return None
+
+
+def nearest(base: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = 6, axes: int = 8, bits: int = 7, block_rows: int = 8192, reach: int = 1, fit_rows: int = 20_000, target: float = 0.95, check_queries: int = 256, seed: int = 3) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` best candidates found for each query."""
     spark = base.sparkSession
     name = [F.xxhash64("v"), F.hash("v")]
@@ -131,6 +184,15 @@ def nearest(base: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "
     model.scale(sample)
     blocks = max(1, round(shape[2] / block_rows))
     bounds = [np.quantile(x, np.arange(1, blocks) / blocks, method="lower") if blocks > 1 else np.empty(0, dtype=np.int64) for x in model.keys(sample, False)]
+    if curves * (2 * reach + 1) < blocks:
+        found = least_reach(reach_needed(rows.select("vec_id", "v"), asked, model, bounds, dim, k, check_queries, seed), curves, blocks, reach, target)
+    else:
+        found = None
+    if whole := found is None:
+        # more than 24 blocks only where they would be too large: each costs a copy of the queries
+        blocks = max(min(blocks, 24), -(-shape[2] * dim * 8 // WHOLE_BYTES))
+    else:
+        reach = found
 
     def deal(query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,6 +201,12 @@ def nearest(base: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "
                     continue
                 vectors = matrix(batch.column(1), dim)
                 packed = pa.array([v.tobytes() for v in vectors], pa.binary())
+                if whole:
+                    ids = batch.column(0).to_numpy()
+                    own = (mix64(ids.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+                    for at in [np.full(len(ids), b) for b in range(blocks)] if query else [own]:
+                        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), query)), batch.column(0), packed], names=["block", "query", "id", "vector"])
+                    continue
                 for c, keys in enumerate(model.keys(vectors, query)):
                     own = np.searchsorted(bounds[c], keys, side="right")
                     for off in range(-reach, reach + 1) if query else (0,):
@@ -164,12 +232,12 @@ def nearest(base: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "
         def search(q_ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
             out_q, out_v, out_s = [], [], []
             x_ids, x = base_rows
-            keep = min(k + 1, len(x))
-            for i in range(0, len(q), 256):
-                scores = q[i : i + 256] @ x.T
+            keep, step = min(k + 1, len(x)), max(1, (1 << 21) // len(x))
+            for i in range(0, len(q), step):
+                scores = q[i : i + step] @ x.T
                 cutoff = np.partition(scores, len(x) - keep, axis=1)[:, len(x) - keep]
-                slack = 1e-9 * (np.abs(cutoff) + np.linalg.norm(q[i : i + 256], axis=1) * model.largest)
-                for row, least, who, vec in zip(scores, cutoff - slack, q_ids[i : i + 256], q[i : i + 256], strict=True):
+                slack = 1e-9 * (np.abs(cutoff) + np.linalg.norm(q[i : i + step], axis=1) * model.largest)
+                for row, least, who, vec in zip(scores, cutoff - slack, q_ids[i : i + step], q[i : i + step], strict=True):
                     at = np.flatnonzero(row >= least)
                     exact = (x[at] * vec).sum(axis=1)
                     order = np.lexsort((x_ids[at], -exact))[:keep]

@@ -414,6 +414,29 @@ def test_recall_with_many_blocks(spark):
     assert sum(len(found[q] & {i for i, _ in e}) for q, e in expected.items()) >= 0.9 * 10 * len(expected)
 
 
+@pytest.mark.parametrize("blocks", [12, 30])
+def test_recall_on_uniform_vectors_of_many_blocks(spark, blocks):
+    x = np.random.default_rng(5).normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    hits, found = 0, defaultdict(set)
+    for row in hilbert.nearest(df, df.where("vec_id % 100 = 0"), k=20, block_rows=6000 // blocks).collect():
+        found[row.query_id].add(row.vec_id)
+    for q in range(0, 6000, 100):
+        s = x @ x[q]
+        s[q] = -2
+        hits += len(found[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 60
+
+
+def test_reach_grows_with_what_is_missed():
+    needed = np.array([0] * 90 + [2] * 8 + [30] * 2)
+    assert hilbert.least_reach(needed, 6, 100, 1, 0.9) == 1
+    assert hilbert.least_reach(needed, 6, 100, 1, 0.95) == 2
+    assert hilbert.least_reach(needed, 6, 100, 1, 0.99) is None
+    assert hilbert.least_reach(needed, 6, 18, 1, 0.5) is None
+
+
 def test_hilbert_order_steps_by_one_cell():
     cells = np.array([[i, j] for i in range(16) for j in range(16)])
     walk = cells[np.argsort(hilbert.hilbert_keys(cells, 4))]
