@@ -12,6 +12,7 @@ from reverie.operators import memory as m
 from reverie.operators import retrieval as r
 from reverie.sources import tables as t
 from reverie.streaming import changes as c
+from tests.conftest import SF
 
 
 def values(df, *names):
@@ -59,6 +60,18 @@ def test_hashed_signs_find_clustered_neighbours(spark):
     assert hits >= 27
 
 
+def test_hashed_signs_find_neighbours_in_the_sample_table(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    planes = r.hyperplanes(64)
+    indexed = rows.withColumn("buckets", r.sign_buckets(F.col("embedding"), planes)).cache()
+    hits = 0
+    for q in range(0, 500, 50):
+        query = [float(x) for x in rows.where(F.col("id") == q).first().embedding]
+        exact = {row.id for row in r.top(r.vector_scores(rows, query), 10).collect()}
+        hits += len(exact & {row.id for row in r.approximate_top(indexed, query, planes, 10).collect()})
+    assert hits >= 90
+
+
 def test_unknown_embedders_are_refused():
     for spec in ("hash:2", "hash:x", "other:8"):
         with pytest.raises(ValueError):
