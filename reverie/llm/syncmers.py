@@ -1,7 +1,8 @@
 """Document fingerprints from closed syncmers, in DataFrame functions alone.
 
-A text is a sequence of units: words, or characters where words are few or very
-long. A run of ``k`` units is a closed syncmer when its smallest inner run of ``s``
+A text is a sequence of units: words, and the characters of very long words. A text
+of few units has anchors over its characters as well; two texts are compared by
+anchors of the same kind. A run of ``k`` units is a closed syncmer when its smallest inner run of ``s``
 units stands first or last in it. That depends on the run alone, so an anchor
 chosen in one text is chosen in every text that has it, whatever surrounds it.
 The fingerprint lists the ``size`` anchors with the smallest hashes, in the
@@ -42,16 +43,15 @@ def _pairwise(a: Column, n: int, f) -> Column:
     return F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - n, F.lit(0))), _tail(a, n), f)
 
 
-def units(text: Column, fewest_words: int = 16, longest_mean: int = 40) -> Column:
-    """Words, or characters where there are fewer than ``fewest_words`` or they are long."""
-    return _let(
-        F.split(text, "[\\x20\\x09-\\x0D]+"),
-        lambda words: F.when((F.size(words) >= fewest_words) & (F.length(text) <= longest_mean * F.size(words)), words).otherwise(F.split(text, "")),
-    )
+def units(text: Column, longest: int = 40) -> Column:
+    """Words; a word of more than ``longest`` characters counts as its characters."""
+    words = F.split(text, "[\\x20\\x09-\\x0D]+")
+    apart = lambda w: F.when(F.length(w) > longest, F.split(w, "")).otherwise(F.array(w))
+    return F.when(text.rlike("[^\\x20\\x09-\\x0D]{%d}" % (longest + 1)), F.flatten(F.transform(words, apart))).otherwise(words)
 
 
-def anchors(text: Column, k: int = 5, s: int = 2) -> Column:
-    """Hashes of the closed syncmers of ``text`` in their order, each once."""
+def anchors(text: Column, k: int = 5, s: int = 2, of: Column | None = None) -> Column:
+    """Hashes of the closed syncmers of ``text`` (of its units, or the array ``of``) in their order, each once."""
     if k - s != 3:
         raise ValueError("the window minimum is built for k - s = 3")
 
@@ -68,23 +68,37 @@ def anchors(text: Column, k: int = 5, s: int = 2) -> Column:
         found = F.zip_with(F.zip_with(least, edge, lambda a, b: a == b), kmer, lambda yes, x: F.when(yes, x))
         return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
 
-    return _let(F.transform(units(text), lambda u: F.xxhash64(u)), lambda h: _let(chosen(h), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.xxhash64(text)))))
+    return _let(F.transform(units(text) if of is None else of, lambda u: F.xxhash64(u)), lambda h: _let(chosen(h), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.xxhash64(text)))))
 
 
-def sketch(text: Column, size: int = 64) -> Column:
-    """The ``size`` smallest anchors, in the order of the text, as hexadecimal strings."""
+def sketch(text: Column, size: int = 64, few_words: int = 32) -> Column:
+    """The ``size`` smallest anchors, in the order of the text, as hexadecimal strings.
+
+    With fewer than ``few_words`` units, the anchors over characters follow. The first
+    digit tells them apart: below 8 for units, 8 and more for characters.
+    """
 
     def smallest(found: Column) -> Column:
         least = F.element_at(F.slice(F.array_sort(found), size, 1), 1)
         return F.when(F.size(found) <= size, found).otherwise(_let(least, lambda top: F.filter(found, lambda x: x <= top)))
 
-    # shifted so that the order of numbers is the order of their hexadecimal strings
+    # negative for units; shifted so that the order of numbers is the order of their hexadecimal strings
+    kind = lambda found, chars: F.array_distinct(F.transform(found, lambda x: x.bitwiseAND(F.lit(2**63 - 1)) if chars else x.bitwiseOR(F.lit(-(2**63)))))
     number = lambda x: F.lpad(F.lower(F.hex(F.shiftrightunsigned(x.bitwiseXOR(F.lit(-(2**63))), 64 - 4 * HEX))), HEX, "0")
-    return F.transform(_let(anchors(text), smallest), number)
+
+    def both(parts: Column) -> Column:
+        whole = _let(kind(anchors(text, of=parts), False), smallest)
+        single = _let(kind(anchors(text, of=F.split(text, "")), True), smallest)
+        return F.transform(F.when(F.size(parts) < few_words, F.concat(whole, single)).otherwise(whole), number)
+
+    return _let(units(text), both)
 
 
 def likeness(a: Column, b: Column, size: int = 64) -> Column:
-    """Share of the union of two fingerprints (arrays) that is matched by position, 0 to 1."""
+    """Share of the union of two fingerprints (arrays) that is matched by position, 0 to 1.
+
+    Where both have anchors over characters, these are compared, else those over units.
+    """
 
     def below(x: Column, top: Column) -> Column:
         return F.filter(x, lambda v: v <= top)
@@ -97,7 +111,16 @@ def likeness(a: Column, b: Column, size: int = 64) -> Column:
 
     # a full list says nothing of anchors beyond its largest hash
     last = lambda x: F.when(F.size(x) >= size, F.array_max(x)).otherwise(F.lit("g"))
-    return _let(F.least(last(a), last(b)), lambda top: _let(F.struct(below(a, top).alias("x"), below(b, top).alias("y")), lambda c: matched(c["x"], c["y"]))).cast("double")
+
+    def compared(x: Column, y: Column) -> Column:
+        return _let(F.least(last(x), last(y)), lambda top: _let(F.struct(below(x, top).alias("x"), below(y, top).alias("y")), lambda c: matched(c["x"], c["y"])))
+
+    chars = lambda x: F.filter(x, lambda v: v >= "8")
+    other = lambda x: F.filter(x, lambda v: v < "8")
+    kinds = F.struct(chars(a).alias("a"), chars(b).alias("b"))
+    alike = lambda c: (F.size(c["a"]) > 0) & (F.size(c["b"]) > 0)
+    pair = lambda c: F.when(alike(c), F.struct(c["a"].alias("x"), c["b"].alias("y"))).otherwise(F.struct(other(a).alias("x"), other(b).alias("y")))
+    return _let(_let(kinds, pair), lambda c: compared(c["x"], c["y"])).cast("double")
 
 
 def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 64) -> DataFrame:

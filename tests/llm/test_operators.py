@@ -248,6 +248,15 @@ def test_syncmers_do_not_depend_on_context(spark):
     assert a <= b and len(a) > 15
 
 
+def test_likeness_does_not_jump_with_the_number_of_words(spark):
+    words = [f"word{i * i}" for i in range(40)]
+    pairs = [(" ".join(words[:n]), " ".join(words[: n + 1])) for n in (14, 15, 16, 30, 31, 32)]
+    pairs += [(" ".join(words[:15]), " ".join(words[:33])), ("".join(words) * 4, "".join(words) * 4 + " " + " ".join(words))]
+    near = syncmers.likeness(syncmers.sketch(F.col("a")), syncmers.sketch(F.col("b")))
+    found = [r.near for r in spark.createDataFrame(pairs, "a string, b string").select(near.alias("near")).collect()]
+    assert min(found[:6]) > 0.7 and found[6] > 0.2 and found[7] > 0.5
+
+
 def test_neighbour_by_key_over_many_ranges(spark):
     rows = [(i * 3 % 1000 - 200, f"t{i}") for i in range(300)] + [(None, "last"), (-200, "t0")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
