@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from reverie.llm.common import WordHasher, cut, drop_table, map_arrow, mix64, rolling_hashes, table
 from reverie.llm.jaccard import chunks
 
-_PLACE = 24  # bits for a word's place in the packed minimum
+_PLACE = 24  # bits for a word's place in the packed minimum; longer texts hold hash and place apart
 
 
 def anchored(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,16 +47,31 @@ def anchored(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.n
     if len(words) < size:
         empty = np.empty(0, dtype=np.int64)
         return empty, empty, np.empty(0, dtype=np.uint64)
-    if len(words) >= 1 << _PLACE:
-        raise ValueError("a text has more words than a place can hold")
     h = rolling_hashes(words, short)
+    if len(words) >= 1 << _PLACE:
+        return runs_of(first_least(h, size - short + 1), h)
     least = (h >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(len(h), dtype=np.uint64)
     reach, span = size - short + 1, 1
     while span < reach:
         step = min(span, reach - span)
         least = np.minimum(least[:-step], least[step:])
         span += step
-    place = (least & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+    return runs_of((least & np.uint64((1 << _PLACE) - 1)).astype(np.int64), h)
+
+
+def first_least(h: np.ndarray, reach: int) -> np.ndarray:
+    """For each ``reach`` consecutive hashes, the first place of the least, compared as in the packed minimum."""
+    value, place, span = h >> np.uint64(_PLACE), np.arange(len(h)), 1
+    while span < reach:
+        step = min(span, reach - span)
+        place = np.where(value[:-step] <= value[step:], place[:-step], place[step:])
+        value = np.minimum(value[:-step], value[step:])
+        span += step
+    return place
+
+
+def runs_of(place: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and anchor hash of each run of windows with one anchor place."""
     first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     return first, np.diff(np.r_[first, len(place)]), h[place[first]]
 

@@ -327,6 +327,16 @@ def test_shards_of_a_frequent_anchor(spark):
     assert windows(1000) == windows(6) == expected
 
 
+def test_anchors_of_a_text_too_long_for_packed_places():
+    words = np.random.default_rng(9).integers(0, 2**63, 5000, dtype=np.uint64)
+    words[1000:1400] = words[1000]
+    whole = substrings.anchored(np.resize(words, (1 << 24) + 100), 50)
+    part = substrings.anchored(words, 50)
+    n = len(part[0]) - 1  # the last run goes on in the longer text
+    assert all((a[:n] == b[:n]).all() for a, b in zip(whole, part, strict=True))
+    assert whole[1].sum() == (1 << 24) + 51 and set(part[2]) <= set(whole[2])
+
+
 def test_automaton_statistics():
     r = random.Random(9)
     for _ in range(60):
