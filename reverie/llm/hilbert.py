@@ -2,14 +2,15 @@
 
 Vectors are projected to a few dimensions and ordered along several Hilbert
 curves, each with a projection and a shift of its own. Each curve's order is
-range-partitioned into blocks of about ``block_rows`` vectors; a query looks at
+cut into blocks at quantiles; a query looks at
 its own block and ``reach`` neighbours on either side, and the blocks' best
 candidates are merged over all curves and ranked by the exact inner product.
 
-Where the windows are a small share of the table, the recall of ``check_queries`` queries
-(a bounded sample by hash) is measured against brute force, and ``reach`` grows until it is
-``target``. Windows that would cost as much as brute force give way to it: each query then
-looks at all rows, once, in blocks dealt by a hash of the id.
+How many curves there are and how wide the windows are follows from a measurement, at every size: the true
+neighbours of ``check_queries`` queries (a bounded sample by hash) are found by one pass over the table,
+and their places along ``curves[-1]`` curves show which share of the order a window must
+cover so that ``target`` of them are seen. Of the numbers in ``curves``, the one with the least
+work (vectors dealt and pairs scored) is taken. The windows alone give the result.
 
 The largest inner product becomes a nearest direction by one more coordinate:
 a vector x is placed as (x, sqrt(M**2 - |x|**2)) / M with M the largest norm, a
@@ -17,7 +18,9 @@ query as (q, 0) / |q|.
 
 Of equal vectors, only the k + 1 with the smallest ids can be among a query's k best, and
 equal queries have equal answers (but for themselves), so that both are reduced
-to those first: a vector that a third of the rows share costs no more than others.
+to those first: a vector that a third of the rows share costs no more than others. Different
+vectors of one cell are spread along the curve by a hash of their id, so that a cell that many
+share is cut into blocks like any other stretch.
 
 ``fit_rows`` vectors (a bounded sample by hash of the id) fix the block bounds
 and scales; every vector is indexed. Measured recall is in the README.
@@ -25,7 +28,8 @@ and scales; every vector is indexed. Measured recall is in the README.
 Defined results: vectors that are null, zero, empty, or hold null or non-finite
 components take no part; a shorter vector counts as filled up with zeros; of
 rows with one id and different vectors each is a candidate and the best counts; rows
-with a null id take no part.
+with a null id take no part. An empty table gives no rows; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -39,8 +43,8 @@ from pyspark.sql import functions as F
 
 from reverie.llm.common import cut, map_arrow, mix64, table
 
-#: Bytes of the vectors of a block where every query looks at all blocks.
-WHOLE_BYTES = 32 << 20
+#: Bits of a place that tell the vectors of one cell apart.
+SPREAD_BITS = 15
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -75,6 +79,8 @@ class Curves:
     """Projections, shifts and scales of the curves."""
 
     def __init__(self, dim: int, largest: float, count: int, axes: int, bits: int, seed: int) -> None:
+        if axes * bits + SPREAD_BITS > 63:
+            raise ValueError("a place must fit into 63 bits")
         rng = np.random.default_rng(seed)
         self.largest, self.bits, self.dim = largest, bits, dim
         self.axes = [np.linalg.qr(rng.normal(size=(dim + 1, min(axes, dim + 1))))[0] for _ in range(count)]
@@ -94,105 +100,132 @@ class Curves:
         self.low = [np.quantile(s, 0.005, axis=0) for s in spread]
         self.width = [np.maximum(1e-9, np.quantile(s, 0.995, axis=0) - low) for s, low in zip(spread, self.low, strict=True)]
 
-    def keys(self, vectors: np.ndarray, query: bool) -> list[np.ndarray]:
+    def first(self, count: int) -> Curves:
+        """The first ``count`` curves alone."""
+        self.axes, self.shifts, self.low, self.width = (x[:count] for x in (self.axes, self.shifts, self.low, self.width))
+        return self
+
+    def places(self, ids: np.ndarray, vectors: np.ndarray, query: bool) -> list[np.ndarray]:
+        """Places along each curve, ascending with the curve and within a cell by a hash of the id."""
         placed, top = self.place(vectors, query), 1 << self.bits
+        spread = (mix64(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - SPREAD_BITS)).view(np.int64)
         out = []
         for a, shift, low, width in zip(self.axes, self.shifts, self.low, self.width, strict=True):
             unit = ((placed @ a - low) / width + shift) / 1.5
-            out.append(hilbert_keys(np.clip((unit * top).astype(np.int64), 0, top - 1), self.bits))
+            cells = np.clip((unit * top).astype(np.int64), 0, top - 1)
+            out.append((hilbert_keys(cells, self.bits) << SPREAD_BITS) | spread)
         return out
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``vec_id, v`` (array<double>) of the rows that take part."""
+    """``vec_id, v`` of the rows that take part; components as double, or as float where they are given so."""
     v = F.col("v")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    kind = "array<float>" if dict(vectors.dtypes)[vec_col] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("v"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     return rows.where(F.col("vec_id").isNotNull() & v.isNotNull()).where(F.coalesce(fine, F.lit(False)))
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    rows = column.to_pylist()
-    out = np.zeros((len(rows), dim))
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+    """Rows of doubles, shorter ones filled up with zeros."""
+    lengths = column.value_lengths().to_numpy()
+    flat = column.flatten().to_numpy().astype(np.float64)
+    if (lengths == dim).all():
+        return flat.reshape(-1, dim)
+    out = np.zeros((len(lengths), dim))
+    out[np.arange(dim) < lengths[:, None]] = flat
     return out
 
 
-def reach_needed(rows: DataFrame, asked: DataFrame, model: Curves, bounds: list[np.ndarray], dim: int, k: int, count: int, seed: int) -> np.ndarray:
-    """For each true neighbour of about ``count`` sampled queries, the least reach at which a curve's window has it.
-
-    ``rows`` (vec_id, v) are read once by brute force; a partition gives each query's k + 1 best.
-    """
-    total = asked.count()
-    drawn = F.pmod(F.xxhash64("query_id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, count / max(1, total)))
-    sample = asked.where(drawn).select("query_id", "v").limit(2 * count).collect() or asked.select("query_id", "v").limit(count).collect()
-    if not sample:
-        return np.empty(0, dtype=np.int64)
-    who = np.array([r[0] for r in sample])
-    q = matrix(pa.array([r[1] for r in sample]), dim)
-    own = np.stack([np.searchsorted(b, x, side="right") for b, x in zip(bounds, model.keys(q, True), strict=True)], axis=1)
+def true_neighbours(rows: DataFrame, who: np.ndarray, q: np.ndarray, dim: int, k: int) -> list[tuple[int, int]]:
+    """(place in ``who``, vec_id) of each query's ``k`` best: one pass by brute force; a partition gives k + 1 a query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(q)
-        scores, ids, apart = np.empty((n, 0)), np.empty((n, 0), dtype=np.int64), np.empty((n, 0), dtype=np.int64)
+        scores, ids = np.empty((len(q), 0)), np.empty((len(q), 0), dtype=np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, x_ids = matrix(batch.column(1), dim), batch.column(0).to_numpy()
-            at = np.stack([np.searchsorted(b, keys, side="right") for b, keys in zip(bounds, model.keys(x, False), strict=True)], axis=1)
-            more = np.where(who[:, None] == x_ids, -np.inf, q @ x.T)
-            scores = np.hstack([scores, more])
-            ids = np.hstack([ids, np.broadcast_to(x_ids, more.shape)])
-            apart = np.hstack([apart, np.stack([np.abs(at - o).min(axis=1) for o in own])])
+            x_ids = batch.column(0).to_numpy()
+            more = np.where(who[:, None] == x_ids, -np.inf, q @ matrix(batch.column(1), dim).T)
+            scores, ids = np.hstack([scores, more]), np.hstack([ids, np.broadcast_to(x_ids, more.shape)])
             best = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
-            scores, ids, apart = (np.take_along_axis(y, best, axis=1) for y in (scores, ids, apart))
+            scores, ids = np.take_along_axis(scores, best, axis=1), np.take_along_axis(ids, best, axis=1)
         i, j = np.nonzero(np.isfinite(scores))
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(ids[i, j]), pa.array(scores[i, j]), pa.array(apart[i, j])], names=["q", "vec_id", "score", "apart"])
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(ids[i, j]), pa.array(scores[i, j])], names=["q", "vec_id", "score"])
 
-    found = map_arrow(rows, run, "q long, vec_id long, score double, apart long")
+    found = map_arrow(rows, run, "q long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id"))
-    return np.array([r[0] for r in found.withColumn("_n", place).where(F.col("_n") <= k).select("apart").collect()], dtype=np.int64)
+    return [(r[0], r[1]) for r in found.withColumn("_n", place).where(F.col("_n") <= k).select("q", "vec_id").collect()]
+
 
+def cheapest(apart: np.ndarray, counts: tuple[int, ...], rows: int, queries: int, target: float, *, deal: float = 100.0) -> tuple[int, float]:
+    """Number of curves and half a window's share of the order: the least work by which ``target`` of the neighbours are seen.
+
+    ``apart[c, i]`` is the share of curve c between a query and its neighbour i. Dealing a vector to a
+    curve costs as much as scoring it ``deal`` times.
+    """
+    best = None
+    for count in counts:
+        need = np.sort(apart[:count].min(axis=0)) if apart.shape[1] else np.zeros(1)
+        half = float(need[min(len(need) - 1, int(np.ceil(target * len(need))))])
+        work = count * rows * (deal + queries * min(1.0, 2.5 * half))
+        if best is None or work < best[0]:
+            best = (work, count, half)
+    return best[1], best[2]
 
-def least_reach(needed: np.ndarray, curves: int, blocks: int, reach: int, target: float) -> int | None:
-    """The least ``reach`` that finds ``target`` of the neighbours and costs less than all blocks once, if there is one."""
-    while curves * (2 * reach + 1) < blocks:
-        if not len(needed) or (needed <= reach).mean() >= target:
-            return reach
-        reach += 1
-    return None
 
+def nearest(base: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", curves: tuple[int, ...] = (4, 8, 16), axes: int = 12, bits: int = 4, least_rows: int = 512, most_rows: int = 16_384, reach: int = 2, fit_rows: int = 20_000, target: float = 0.95, check_queries: int = 256, seed: int = 3) -> DataFrame:
+    """``query_id, rank, vec_id, score`` of the ``k`` best candidates found for each query.
 
-def nearest(base: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", curves: int = 6, axes: int = 8, bits: int = 7, block_rows: int = 8192, reach: int = 1, fit_rows: int = 20_000, target: float = 0.95, check_queries: int = 256, seed: int = 3) -> DataFrame:
-    """``query_id, rank, vec_id, score`` of the ``k`` best candidates found for each query."""
+    A window is made of ``reach`` blocks on either side and the query's own; a block has ``least_rows``
+    at least (a smaller table is one block) and ``most_rows`` at most, where the reach grows instead.
+    """
     spark = base.sparkSession
     name = [F.xxhash64("v"), F.hash("v")]
     rows = usable(base, id_col, vec_col)
     rank = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))
     rows = cut(rows.select("vec_id", "v", name[0].alias("h1"), name[1].alias("h2")).withColumn("_n", rank).where(F.col("_n") <= k + 1).drop("_n"))
     asked = usable(queries, id_col, vec_col).select(F.col("vec_id").alias("query_id"), "v", name[0].alias("h1"), name[1].alias("h2"))
-    shape = rows.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), F.count("*")).first()
+    total, longest, largest = rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()
+    n_asked, longest_asked = asked.agg(F.count("*"), F.max(F.size("v"))).first()
     schema = "query_id long, rank int, vec_id long, score double"
-    if not shape[2]:
+    if not total or not n_asked:
         return spark.createDataFrame([], schema)
-    dim = max(shape[0], asked.agg(F.max(F.size("v"))).first()[0] or 0)
-    model = Curves(dim, float(np.sqrt(shape[1])), curves, axes, bits, seed)
-    part = min(1.0, fit_rows / shape[2])
-    sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * part)).select("v").collect() or rows.select("v").limit(100).collect()
-    sample = matrix(pa.array([r[0] for r in sample]), dim)
-    model.scale(sample)
-    blocks = max(1, round(shape[2] / block_rows))
-    bounds = [np.quantile(x, np.arange(1, blocks) / blocks, method="lower") if blocks > 1 else np.empty(0, dtype=np.int64) for x in model.keys(sample, False)]
-    if curves * (2 * reach + 1) < blocks:
-        found = least_reach(reach_needed(rows.select("vec_id", "v"), asked, model, bounds, dim, k, check_queries, seed), curves, blocks, reach, target)
-    else:
-        found = None
-    if whole := found is None:
-        # more than 24 blocks only where they would be too large: each costs a copy of the queries
-        blocks = max(min(blocks, 24), -(-shape[2] * dim * 8 // WHOLE_BYTES))
-    else:
-        reach = found
+    dim = max(longest, longest_asked)
+
+    def drawn(frame: DataFrame, key: str, count: int, of: int) -> DataFrame:
+        share = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, count / of))
+        return frame.where(share).select(key, "v").limit(2 * count)
+
+    def fetched(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        found = frame.collect()
+        return np.array([r[0] for r in found], dtype=np.int64), matrix(pa.array([r[1] for r in found], pa.list_(pa.float64())), dim) if found else np.empty((0, dim))
+
+    model = Curves(dim, float(np.sqrt(largest)), max(curves), axes, bits, seed)
+    s_ids, s = fetched(drawn(rows, "vec_id", fit_rows, total))
+    if not len(s):
+        s_ids, s = fetched(rows.select("vec_id", "v").limit(100))
+    model.scale(s)
+    orders = [np.sort(x) for x in model.places(s_ids, s, False)]
+    count, half = 1, 0.0
+    if total > least_rows:
+        who, q = fetched(drawn(asked, "query_id", check_queries, n_asked))
+        if not len(who):
+            who, q = fetched(asked.select("query_id", "v").limit(check_queries))
+        pairs = true_neighbours(rows.select("vec_id", "v"), who, q, dim, k)
+        wanted = spark.createDataFrame([(i,) for i in sorted({v for _, v in pairs})], "vec_id long")
+        n_ids, n = fetched(rows.select("vec_id", "v").join(F.broadcast(wanted), "vec_id"))  # k rows a sampled query
+        row_of = {int(i): j for j, i in enumerate(n_ids)}
+        share = lambda ids, x, query: np.array([np.searchsorted(o, p) / len(o) for o, p in zip(orders, model.places(ids, x, query), strict=True)])
+        left, right = share(who, q, True), share(n_ids, n, False)
+        a, b = np.array([i for i, _ in pairs], dtype=np.int64), np.array([row_of[v] for _, v in pairs], dtype=np.int64)
+        count, half = cheapest(np.abs(left[:, a] - right[:, b]), curves, total, n_asked, target)
+    model.first(count)
+    of_block = min(max(half / reach, least_rows / total), max(least_rows, most_rows) / total, 1.0)
+    blocks = max(1, round(1 / of_block))
+    reach = int(np.ceil(half * blocks)) if blocks > 1 else 0
+    bounds = [o[np.minimum(len(o) - 1, (np.arange(1, blocks) * len(o)) // blocks)] for o in orders[:count]]
+    packing = np.float32 if dict(rows.dtypes)["v"] == "array<float>" and dict(asked.dtypes)["v"] == "array<float>" else np.float64
 
     def deal(query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,15 +233,9 @@ def nearest(base: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "
                 if not batch.num_rows:
                     continue
                 vectors = matrix(batch.column(1), dim)
-                packed = pa.array([v.tobytes() for v in vectors], pa.binary())
-                if whole:
-                    ids = batch.column(0).to_numpy()
-                    own = (mix64(ids.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
-                    for at in [np.full(len(ids), b) for b in range(blocks)] if query else [own]:
-                        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), query)), batch.column(0), packed], names=["block", "query", "id", "vector"])
-                    continue
-                for c, keys in enumerate(model.keys(vectors, query)):
-                    own = np.searchsorted(bounds[c], keys, side="right")
+                packed = pa.array([v.tobytes() for v in vectors.astype(packing)], pa.binary())
+                for c, places in enumerate(model.places(batch.column(0).to_numpy(), vectors, query)):
+                    own = np.searchsorted(bounds[c], places, side="right")
                     for off in range(-reach, reach + 1) if query else (0,):
                         at = np.flatnonzero((own + off >= 0) & (own + off < blocks))
                         yield pa.RecordBatch.from_arrays(
@@ -223,7 +250,7 @@ def nearest(base: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "
     classes = asked.groupBy("h1", "h2").agg(F.min("query_id").alias("class"))
     first = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("query_id"))
     ask = asked.withColumn("_n", first).where("_n = 1").select("query_id", "v")
-    dealt = rows.select("vec_id", "v").mapInArrow(deal(False), kind).unionByName(ask.mapInArrow(deal(True), kind))
+    dealt = map_arrow(rows.select("vec_id", "v"), deal(False), kind).unionByName(map_arrow(ask, deal(True), kind))
     dealt = dealt.repartition("block").sortWithinPartitions("block", "query")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +266,7 @@ def nearest(base: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "
                 slack = 1e-9 * (np.abs(cutoff) + np.linalg.norm(q[i : i + step], axis=1) * model.largest)
                 for row, least, who, vec in zip(scores, cutoff - slack, q_ids[i : i + step], q[i : i + step], strict=True):
                     at = np.flatnonzero(row >= least)
-                    exact = (x[at] * vec).sum(axis=1)
+                    exact = np.cumsum(x[at] * vec, axis=1)[:, -1]  # summed from the first component on
                     order = np.lexsort((x_ids[at], -exact))[:keep]
                     out_q.append(np.full(len(order), who))
                     out_v.append(x_ids[at[order]])
@@ -252,7 +279,7 @@ def nearest(base: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "
             for i, j in zip(edges, np.r_[edges[1:], len(of)], strict=True):
                 if of[i] != block:
                     block, ids, held, base_rows = of[i], [], [], None
-                vectors = np.frombuffer(b"".join(batch.column(3).slice(i, j - i).to_pylist()), dtype=np.float64).reshape(-1, dim)
+                vectors = np.frombuffer(b"".join(batch.column(3).slice(i, j - i).to_pylist()), dtype=packing).reshape(-1, dim).astype(np.float64)
                 if not is_query[i]:
                     ids.append(who[i:j])
                     held.append(vectors)
