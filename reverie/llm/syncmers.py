@@ -9,17 +9,22 @@ The fingerprint lists the ``size`` anchors with the smallest hashes, in the
 order of the text.
 
 Two fingerprints are compared by position: the anchors that both have are
-written down in either order, and an anchor matches where both lists agree. The
+written down in either order, and an anchor matches where it follows the same one (or is the
+first) in both, so that a moved block costs only its edges. The
 likeness is matches over the size of the union, where only hashes up to the smaller of the two
 largest listed ones count if a list is full; equal texts have likeness 1.
 
 Defined results: a null text counts as empty; a text too short for an anchor is
 its own anchor, so that two empty texts have likeness 1. Among rows with one doc_id
-the order is by text.
+the order is by a hash of the text; repeated rows follow each other; rows with a null doc_id come
+last; the only row of a table follows itself. An empty table gives no rows; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,9 +109,10 @@ def likeness(a: Column, b: Column, size: int = 64) -> Column:
         return F.filter(x, lambda v: v <= top)
 
     def matched(x: Column, y: Column) -> Column:
+        steps = lambda a: F.zip_with(F.slice(F.concat(F.array(F.lit("-")), a), 1, F.size(a)), a, lambda u, v: F.concat(u, v))
         return _let(
             F.struct(F.array_intersect(x, y).alias("p"), F.array_intersect(y, x).alias("q"), F.size(x).alias("n"), F.size(y).alias("m")),
-            lambda c: F.size(F.filter(F.zip_with(c["p"], c["q"], lambda u, v: u == v), lambda same: same)) / (c["n"] + c["m"] - F.size(c["p"])),
+            lambda c: F.size(F.array_intersect(steps(c["p"]), steps(c["q"]))) / (c["n"] + c["m"] - F.size(c["p"])),
         )
 
     # a full list says nothing of anchors beyond its largest hash
@@ -128,31 +134,41 @@ def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return docs.select(id_col, F.concat_ws("", sketch(F.coalesce(F.col(text_col), F.lit("")), size)).alias("fingerprint"))
 
 
-def with_next(rows: DataFrame, key: str, tie: Column, fields: list[str], *, slices: int | None = None) -> DataFrame:
-    """Adds struct ``next``: ``fields`` of the row with the next smaller ``key`` (after the last: the largest).
+def range_of(key: Column, cuts: list) -> Column:
+    """How many of the ascending ``cuts`` are not above ``key``: a binary search in a constant array, one step for each doubling of them."""
+    if not cuts:
+        return F.lit(0)
+    steps = len(cuts).bit_length()
+    listed = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    # at: cuts known to be not above the key; a step is taken where the cut at its end exists and is not above either
+    step = lambda at, width: F.when(F.coalesce(F.try_element_at(listed, at + width) <= key, F.lit(False)), at + width).otherwise(at)
+    return F.aggregate(F.array(*(F.lit(1 << i) for i in range(steps - 1, -1, -1))), F.lit(0), step)
+
+
+def with_next(rows: DataFrame, key: str, tie: Column, fields: list[str], *, slices: int | None = None, slice_rows: int = 20_000, most_slices: int = 16_384) -> DataFrame:
+    """Adds struct ``next``: ``fields`` of the row with the next smaller ``key`` (a whole number; after the last: the largest).
 
-    The keys are cut into ranges at approximate quantiles; each range is sorted
-    apart, and the largest row of a range is also sent to the range above,
-    where it follows the smallest. Null keys come last. Without ``slices``, twice
-    the session's shuffle partitions (64 at least) are cut.
+    The keys are cut into ranges of about ``slice_rows`` rows at approximate quantiles; each range is
+    sorted apart, and the largest row of a range is also sent to the range above,
+    where it follows the smallest. Null keys come last. Without ``slices``, there are
+    64 ranges at least and twice the session's shuffle partitions, but no more than ``most_slices``, as
+    their bounds are on the driver; beyond that, ranges grow and are sorted with spilling.
     """
     spark = rows.sparkSession
-    slices = slices or max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted({x for x in rows.select(F.percentile_approx(key, [i / slices for i in range(1, slices)], 10 * slices)).first()[0] or []})
-    place = F.lit(0)
-    for x in cuts:
-        place = place + (F.col(key) >= F.lit(x)).cast("int")
-    rows = rows.withColumn("_range", F.when(F.col(key).isNull(), -1).otherwise(place))
+    if slices is None:
+        wanted = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.select(key).count() // slice_rows))
+        slices = min(wanted, most_slices)
+    shares = F.expr("array(" + ",".join(f"{i / slices!r}D" for i in range(1, slices)) + ")") if slices > 1 else F.array(F.lit(0.5))
+    cuts = sorted({x for x in rows.select(F.percentile_approx(key, shares, 10 * slices)).first()[0] or []}) if slices > 1 else []
+    rows = rows.withColumn("_range", F.when(F.col(key).isNull(), -1).otherwise(range_of(F.col(key), cuts)))
     # of each range, the row that comes first: at most slices + 1 rows of key and tie reach the driver
     order = [F.col(key).desc_nulls_last(), F.col("_tie").desc()]
     heads = rows.groupBy("_range").agg(F.max(F.struct(F.col(key), tie.alias("_tie"))).alias("h")).collect()
     heads = sorted(heads, key=lambda r: -r["_range"])
-    above = [(h["_range"], h["h"][key], h["h"]["_tie"], heads[i - 1]["_range"]) for i, h in enumerate(heads)]
+    above = [{"_r": h["_range"], "_k": h["h"][key], "_t": h["h"]["_tie"], "_to": heads[i - 1]["_range"]} for i, h in enumerate(heads)]
     if not above:
         return rows.select("*", F.struct(*fields).alias("next")).drop("_range")
-    kind = rows.schema[key].dataType
-    listed = [F.struct(F.lit(r).alias("_r"), F.lit(k).cast(kind).alias("_k"), F.lit(t).cast("long").alias("_t"), F.lit(to).alias("_to")) for r, k, t, to in above]
-    extra = F.broadcast(spark.range(1).select(F.inline(F.array(*listed))))
+    extra = F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(above)), "array<struct<_r:int,_k:bigint,_t:bigint,_to:int>>"))))
     rows = rows.withColumn("_tie", tie)
     sent = rows.join(extra, (rows["_range"] == extra["_r"]) & rows[key].eqNullSafe(extra["_k"]) & (rows["_tie"] == extra["_t"]), "left")
     sent = sent.withColumn("_copy", F.explode(F.when(F.col("_to").isNotNull(), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
