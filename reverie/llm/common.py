@@ -12,6 +12,7 @@ import gc
 import sys
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +33,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _local_root(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="reverie-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, removed when the JVM ends.
 
-    Only where the setting is absent (tests on one machine) a temporary folder
-    takes its place.
+    Only a local master (tests on one machine) may do without the setting: a temporary
+    folder takes its place. On a cluster each executor would write to its own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="reverie-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _local_root(spark.sparkContext.applicationId)
     path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -98,21 +105,24 @@ def crc_mod(key: Column, divisor: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % divisor
 
 
-def bounded_rows(df: DataFrame, key: str, stratum: Column, most: int, seed: int = 17) -> DataFrame:
-    """About ``most`` rows of each stratum, chosen by a seeded hash of ``key``.
+def bounded_rows(df: DataFrame, keys: list[str], stratum: Column, most: int, *, most_rows: int | None = None, only: Column | None = None, seed: int = 17) -> DataFrame:
+    """About ``most`` distinct rows of each stratum (fewer with many: ``most_rows`` in all), chosen by a seeded hash of ``keys``.
 
     One counting pass gives each stratum's share; the choice itself is a filter
-    inside the scan, so nothing is sorted and the texts of other rows are not
-    moved. Strata are classes of a label: their number must be small.
+    inside the scan, so that only chosen rows are moved. ``only`` is a further condition on those.
+    Strata are classes of a label: their number must be small. Many rows with one hash (repeated
+    ids, nulls) cannot exceed the bound: what is left is cut at twice ``most`` for each stratum.
     """
     counted = df.groupBy(stratum.alias("s")).count().where("s is not null").collect()
     if not counted:
         return df.limit(0)
-    drawn = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000))
+    if most_rows is not None:
+        most = max(1, min(most, most_rows // len(counted)))
+    drawn = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000))
     keep = F.lit(False)
     for row in counted:
         keep = keep | ((stratum == F.lit(row["s"])) & (drawn < int(1_000_000 * min(1.0, most / row["count"]))))
-    return df.where(keep)
+    return df.where(keep if only is None else keep & only).distinct().limit(2 * most * len(counted))
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

@@ -7,8 +7,11 @@ sample (``per_language`` documents of each label). Temperature scaling on rows
 kept out of the descent makes the scores probabilities, and the same rows set
 the score below which a prediction is flagged as rejected.
 
-Defined results: a null text or one without a letter is ``und`` with score 0;
-without any training row every text is ``und``. Repeated rows get equal rows.
+Defined results: a null text or one without a letter (Unicode category L; numerals such
+as a fraction or a Roman one are none) is ``und`` with score 0; without any training row
+every text is ``und``. Repeated rows get equal rows; rows with a null id are scored and may be
+learnt from; an empty table gives no rows; other columns are not read, whatever their names;
+texts of any length are scored whole, those above ``longest_fit`` characters are not learnt from.
 """
 
 from __future__ import annotations
@@ -19,13 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reverie.llm.common import bounded_rows, crc_mod, map_arrow, table
 
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -58,6 +62,13 @@ def bucket_counts(text: str, buckets: int) -> np.ndarray:
     return out
 
 
+def sparse_shares(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that a text hits and their shares."""
+    counts = bucket_counts(text, buckets)
+    at = np.flatnonzero(counts)
+    return at.astype(np.int32), (counts[at] / max(1, counts.sum())).astype(np.float32)
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -70,10 +81,15 @@ def train(texts: list[str], labels: list[str], *, buckets: int = 1 << 13, dim: i
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)
     y = np.array([languages.index(x) for x in labels])
-    x = np.empty((len(texts), buckets), dtype=np.float32)
-    for i, text in enumerate(texts):
-        counts = bucket_counts(text, buckets)
-        x[i] = counts / max(1, counts.sum())
+    shares = [sparse_shares(text, buckets) for text in texts]
+
+    def dense(rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), buckets), dtype=np.float32)
+        for i, row in enumerate(rows):
+            at, share = shares[row]
+            out[i, at] = share
+        return out
+
     order = rng.permutation(len(texts))
     held, fit = order[: len(order) // 5], order[len(order) // 5 :]
     e = rng.normal(0, 1 / dim, (buckets, dim)).astype(np.float32)
@@ -87,17 +103,18 @@ def train(texts: list[str], labels: list[str], *, buckets: int = 1 << 13, dim: i
                 continue
             step = rate * (1 - done / steps)
             done += 1
-            hidden = x[rows] @ e
+            x = dense(rows)
+            hidden = x @ e
             slope = softmax(hidden @ w + b)
             slope[np.arange(len(rows)), y[rows]] -= 1
             slope /= len(rows)
             back = slope @ w.T
             w -= step * (hidden.T @ slope)
             b -= step * slope.sum(0)
-            used = np.flatnonzero(x[rows].any(axis=0))
-            e[used] -= step * 20 * (x[rows][:, used].T @ back)
+            used = np.flatnonzero(x.any(axis=0))
+            e[used] -= step * 20 * (x[:, used].T @ back)
     rows = held if len(held) else fit
-    z = x[rows] @ e @ w + b
+    z = np.concatenate([dense(part) @ e @ w + b for part in np.array_split(rows, -(-len(rows) // 256))])
     # one error more than was seen is allowed for, so that a clean calibration set does not mean certainty
     soft = 1 / (len(rows) + 2)
     goal = np.full(z.shape, soft / max(1, z.shape[1] - 1))
@@ -121,11 +138,14 @@ def predict(model: LanguageModel | None, text: str | None) -> tuple[str, float,
     return model.languages[k], float(p[k]), bool(p[k] < model.reject_below)
 
 
-def fit_language_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 700, **options) -> LanguageModel | None:
-    """Train on about ``per_language`` rows of each label; the bound is all that reaches the driver."""
-    usable = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = bounded_rows(usable, id_col, F.col(label_col), per_language).select(id_col, text_col, label_col).collect()
-    rows = sorted((r for r in rows if _LETTER.search(r[1])), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+def fit_language_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 700, most_rows: int = 20_000, longest_fit: int = 100_000, **options) -> LanguageModel | None:
+    """Train on about ``per_language`` rows of each label (fewer with many labels: ``most_rows`` in all), texts of up to ``longest_fit`` characters.
+
+    These bounds are all that reaches the driver.
+    """
+    usable = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col, label_col)
+    rows = bounded_rows(usable, [id_col, text_col], F.col(label_col), per_language, most_rows=most_rows, only=F.char_length(text_col) <= longest_fit).collect()
+    rows = sorted((r for r in rows if _LETTER.search(r[1])), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
     return train([r[1] for r in rows], [r[2] for r in rows], **options)
 
 

@@ -1,17 +1,23 @@
 """Quality by co-training of two views.
 
-The content view sees hashed character n-grams of the text; the metadata view
-sees the page's source, language, length and layout figures. Each is a logistic
-classifier. Over some rounds, each labels the unlabelled documents of which it
-is surest for the other to learn from. Both are then calibrated on labelled rows
-kept apart, and a last logistic layer over the calibrated views scores every document.
+The content view sees the text alone: hashed character n-grams and figures of its layout; the metadata
+view sees the record's language, source and stated length, and no text. Each is a logistic
+classifier, fitted on a bounded sample of labelled rows. In each round all documents are read: where
+one view is sure of a document (calibrated score of ``sure`` and more, or 1 - ``sure`` and
+less), the other learns from that pseudo-label. Every partition descends on its own
+documents from the round's weights, held back by a pull to the weights of
+the labelled rows, and the partitions' weights are averaged by the number of documents
+they learnt from. Both views are calibrated on labelled rows, by classifiers that have not seen the row, and a last logistic layer
+over the calibrated views scores every document.
 
-Bounds: ``per_class`` labelled rows of each class and ``pool`` unlabelled ones
-are read for fitting; every row is scored.
+Bounds: about ``per_class`` labelled rows of each class; their features, not their texts, reach the
+driver, and so do the averaged weights. There is no bound on the documents that give pseudo-labels.
 
 Defined results: null columns count as empty or as their own category; without
-labelled rows of both classes every document has score 1 and is accepted.
-Repeated rows get equal rows; texts are never shortened.
+labelled rows of both classes every document has score 1 and is accepted. Of a document with labels
+that contradict each other, the higher one counts; labels that are null or neither 0 nor 1 and
+labels with a null id teach nothing. Repeated rows get equal rows; an empty table gives no rows;
+columns other than those named are not read; texts are never shortened.
 """
 
 from __future__ import annotations
@@ -25,15 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reverie.llm.common import bounded_rows, map_arrow, table
-from reverie.llm.toxicity import fit_logistic
+from reverie.llm.common import map_arrow, table
+from reverie.llm.toxicity import fit_logistic, labelled_texts
 
 BUCKETS = 1 << 11
 CATEGORIES = 32
+#: Doublings of the stated length, and one place for none.
+LENGTHS = 33
 
 
 def content_view(text: str | None) -> np.ndarray:
-    """Square roots of the shares of hashed 1- to 3-grams of characters, case and marks as they are."""
+    """Square roots of the shares of hashed 1- to 3-grams of characters, case and marks as they are, then the layout's figures."""
     points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     out = np.zeros(BUCKETS, dtype=np.int64)
     shift = np.uint32(32 - (BUCKETS.bit_length() - 1))
@@ -45,12 +53,11 @@ def content_view(text: str | None) -> np.ndarray:
             if not len(h):
                 break
             out += np.bincount((h * np.uint32(0x27D4EB2F)) >> shift, minlength=BUCKETS)
-    return np.sqrt(out / max(1, out.sum())).astype(np.float32)
+    return np.concatenate([np.sqrt(out / max(1, out.sum())), layout(text or "")]).astype(np.float32)
 
 
-def metadata_view(text: str | None, lang: str | None, source: str | None) -> np.ndarray:
-    """Layout figures, then one place for the language and one for the source (hashed)."""
-    text = text or ""
+def layout(text: str) -> list[float]:
+    """Figures of a text: its size and lines, shares of kinds of characters, and how many of its lines differ."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
     kinds = np.bincount(data, minlength=256)
     n = max(1, len(data))
@@ -58,11 +65,16 @@ def metadata_view(text: str | None, lang: str | None, source: str | None) -> np.
     upper, digits = kinds[65:91].sum() / n, kinds[48:58].sum() / n
     marks = (kinds[33:48].sum() + kinds[58:65].sum() + kinds[91:97].sum() + kinds[123:127].sum()) / n
     distinct = len(set(text.split("\n"))) / lines
-    figures = [np.log1p(len(data)), np.log1p(lines), np.log1p(len(data) / lines), len(data) / (spaces + 1) / 10, 4 * upper, 4 * digits, 4 * marks, spaces / n, distinct, min(1.0, 10 * marks), min(1.0, 3 * upper)]
-    place = np.zeros(2 * CATEGORIES)
-    place[zlib.crc32(str(lang).encode()) % CATEGORIES] = 0.3
-    place[CATEGORIES + zlib.crc32(str(source).encode()) % CATEGORIES] = 0.3
-    return np.concatenate([figures, place]).astype(np.float32)
+    return [np.log1p(len(data)), np.log1p(lines), np.log1p(len(data) / lines), len(data) / (spaces + 1) / 10, 4 * upper, 4 * digits, 4 * marks, spaces / n, distinct, min(1.0, 10 * marks), min(1.0, 3 * upper)]
+
+
+def metadata_view(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    """One place each for the language, the source (both hashed) and the doubling of the stated length."""
+    out = np.zeros(2 * CATEGORIES + LENGTHS, dtype=np.float32)
+    out[zlib.crc32(str(lang).encode()) % CATEGORIES] = 1
+    out[CATEGORIES + zlib.crc32(str(source).encode()) % CATEGORIES] = 1
+    out[2 * CATEGORIES + (LENGTHS - 1 if n_chars is None else min(LENGTHS - 2, max(0, int(n_chars)).bit_length()))] = 1
+    return out
 
 
 def logistic_descent(x: np.ndarray, y: np.ndarray, *, ridge: float = 1e-4, steps: int = 300) -> np.ndarray:
@@ -78,90 +90,177 @@ def logistic_descent(x: np.ndarray, y: np.ndarray, *, ridge: float = 1e-4, steps
     return v
 
 
-def margin(w: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return np.clip(x @ w[:-1] + w[-1], -30, 30)
+@dataclass
+class View:
+    """A classifier over raw features: weights with the intercept last, then slope and intercept of its calibration."""
+
+    weights: np.ndarray
+    calibration: np.ndarray
+
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)
+
+    def calibrated(self, x: np.ndarray) -> np.ndarray:
+        """Log odds after calibration."""
+        return self.calibration[0] * self.margin(x) + self.calibration[1]
+
+
+def chance(z) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 @dataclass
 class QualityModel:
-    """Classifier and scaling (mean, deviation) of each view, their calibration, and the layer that joins them."""
+    """Both views and the layer that joins their calibrated log odds."""
 
-    content: np.ndarray
-    metadata: np.ndarray
-    scale: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
-    calibration: np.ndarray
+    content: View
+    metadata: View
     joint: np.ndarray
 
-    def views(self, text, lang, source) -> tuple[np.ndarray, np.ndarray]:
-        c, m = content_view(text), metadata_view(text, lang, source)
-        return (c - self.scale[0]) / self.scale[1], (m - self.scale[2]) / self.scale[3]
-
-    def score(self, text, lang, source) -> tuple[float, float, float]:
+    def score(self, text, lang, source, n_chars) -> tuple[float, float, float]:
         """Joint score, then each view's calibrated one."""
-        c, m = self.views(text, lang, source)
-        z = np.array([margin(self.content, c), margin(self.metadata, m)])
-        own = self.calibration[:, 0] * z + self.calibration[:, 1]
-        p = 1 / (1 + np.exp(-np.clip([*own, own @ self.joint[:-1] + self.joint[-1]], -30, 30)))
-        return float(p[2]), float(p[0]), float(p[1])
+        own = np.array([self.content.calibrated(content_view(text)), self.metadata.calibrated(metadata_view(lang, source, n_chars))])
+        p = chance(np.array([own @ self.joint[:-1] + self.joint[-1], *own]))
+        return float(p[0]), float(p[1]), float(p[2])
+
+
+class LabelledRows:
+    """Features of both views and labels. Calibration sees margins of classifiers that were not fitted on the row."""
+
+    def __init__(self, content: np.ndarray, metadata: np.ndarray, y: np.ndarray, *, folds: int = 4, seed: int = 5) -> None:
+        self.views, self.y = (content, metadata), y
+        spread = content.std(0) + 0.05
+        spread[:BUCKETS] = max(1e-6, float(content[:, :BUCKETS].std()))
+        # one of the few layout figures tells more than one of the many buckets
+        spread[BUCKETS:] /= 4
+        self.scale = ((content.mean(0), spread), (metadata.mean(0), metadata.std(0) + 0.2))
+        everything = np.arange(len(y))
+        #: weights from all labelled rows
+        self.anchors = (self._fit(0, everything), self._fit(1, everything))
+        self.folds = []
+        # each class is dealt to the folds in turn
+        order = np.random.default_rng(seed).permutation(len(y))
+        place = np.empty(len(y), dtype=np.int64)
+        for label in (0, 1):
+            place[order[y[order] == label]] = np.arange((y == label).sum()) % folds
+        for k in range(folds):
+            held, rest = np.flatnonzero(place == k), np.flatnonzero(place != k)
+            fits = len(set(y[rest].tolist())) == 2
+            self.folds.append((held, tuple(self._fit(v, rest) if fits else self.anchors[v] for v in (0, 1))))
+
+    def _fit(self, v: int, rows: np.ndarray) -> np.ndarray:
+        """Weights for raw features."""
+        mean, spread = self.scale[v]
+        w = logistic_descent(((self.views[v][rows] - mean) / spread).astype(np.float32), self.y[rows].astype(np.float32))
+        raw = w[:-1] / spread
+        return np.append(raw, w[-1] - mean @ raw).astype(np.float64)
+
+    def margins(self, v: int, weights: np.ndarray) -> np.ndarray:
+        """What ``weights`` learnt beyond the labelled rows is added to each fold's classifier."""
+        out = np.zeros(len(self.y))
+        for held, fitted in self.folds:
+            out[held] = View(fitted[v] + (weights - self.anchors[v]), np.array([1.0, 0.0])).margin(self.views[v][held])
+        return out
+
+    def calibrate(self, v: int, weights: np.ndarray) -> View:
+        return View(weights, fit_logistic(self.margins(v, weights)[:, None], self.y.astype(float), ridge=1.0))
+
+    def join(self, content: View, metadata: View) -> QualityModel:
+        z = np.array([x.calibration[0] * self.margins(v, x.weights) + x.calibration[1] for v, x in enumerate((content, metadata))]).T
+        return QualityModel(content, metadata, fit_logistic(z, self.y.astype(float), ridge=1.0))
 
 
-def co_train(labelled: list[tuple], y: np.ndarray, pool: list[tuple], *, rounds: int = 3, share: float = 0.08, seed: int = 5) -> QualityModel | None:
-    """``labelled`` and ``pool`` hold (text, lang, source). None unless both classes are there."""
+class LocalDescent:
+    """Descent of one view on the pseudo-labelled rows of a partition, in batches."""
+
+    def __init__(self, weights: np.ndarray, anchor: np.ndarray, positive: float, *, batch: int = 128, pull: float = 0.5) -> None:
+        self.w, self.anchor, self.pull = weights.astype(np.float64), anchor.astype(np.float64), pull
+        self.weight = (0.5 / max(1e-3, 1 - positive), 0.5 / max(1e-3, positive))
+        self.batch, self.x, self.y, self.seen = batch, [], [], 0
+
+    def add(self, x: np.ndarray, label: int) -> None:
+        self.x.append(x)
+        self.y.append(label)
+        if len(self.x) >= self.batch:
+            self.step()
+
+    def step(self) -> None:
+        if not self.x:
+            return
+        x = np.hstack([np.array(self.x), np.ones((len(self.x), 1))])
+        y = np.array(self.y)
+        share = np.where(y > 0, self.weight[1], self.weight[0]) / len(y)
+        rate = 1.0 / (0.25 * float((share[:, None] * x * x).sum()) + self.pull)
+        slope = x.T @ (share * (chance(x @ self.w) - y)) + self.pull * (self.w - self.anchor)
+        self.w -= rate * slope
+        self.seen += len(y)
+        self.x, self.y = [], []
+
+
+def learn_from_all(docs: DataFrame, columns: list[str], views: tuple[View, View], anchors: tuple[np.ndarray, np.ndarray], positive: float, sure: float) -> list[np.ndarray]:
+    """One round over all documents: each view's weights after learning from what the other is sure of.
+
+    A partition gives its weights times the number of rows it learnt from, a number a
+    row; these are summed on the executors, so that the driver gets one vector a view.
+    """
+    edge = float(np.log(sure / (1 - sure)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learners = [LocalDescent(v.weights, a, positive) for v, a in zip(views, anchors, strict=True)]
+        for batch in batches:
+            for text, lang, source, n_chars in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = (content_view(text), metadata_view(lang, source, n_chars))
+                for v in (0, 1):
+                    z = views[v].calibrated(x[v])
+                    if abs(z) >= edge:
+                        learners[1 - v].add(x[1 - v], int(z > 0))
+        for v, learner in enumerate(learners):
+            learner.step()
+            if learner.seen:
+                n = len(learner.w)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v, dtype=np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(learner.w * learner.seen), pa.array(np.full(n, learner.seen, dtype=np.int64))], names=["v", "at", "total", "seen"])
+
+    parts = map_arrow(docs.select(*columns), run, "v int, at int, total double, seen long")
+    out = [view.weights.copy() for view in views]
+    for r in parts.groupBy("v", "at").agg((F.sum("total") / F.sum("seen")).alias("w")).collect():
+        out[r["v"]][r["at"]] = round(r["w"], 9)  # the order of a sum must not show
+    return out
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars", label_col: str = "quality", per_class: int = 900, longest_fit: int = 100_000, rounds: int = 2, sure: float = 0.97) -> QualityModel | None:
+    """Co-training of both views. None unless both classes are among the labelled rows."""
+    columns = [text_col, lang_col, source_col, chars_col]
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, lang, source, n_chars = (batch.column(i).to_pylist() for i in range(4))
+            c = [content_view(t).tobytes() for t in text]
+            m = [metadata_view(*r).tobytes() for r in zip(lang, source, n_chars, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()), pa.array(m, pa.binary()), batch.column(4).cast(pa.int32())], names=["c", "m", "y"])
+
+    marked = labelled_texts(docs, labels, id_col, columns, label_col, per_class, longest_fit)
+    rows = sorted(map(tuple, map_arrow(marked.select(*columns, "_y"), features, "c binary, m binary, y int").collect()))
+    y = np.array([r[2] for r in rows], dtype=np.int64)
     if len(set(y.tolist())) < 2:
         return None
-    rows = [*labelled, *pool]
-    c = np.array([content_view(r[0]) for r in rows])
-    m = np.array([metadata_view(*r) for r in rows])
-    scale = (c.mean(0), np.full(BUCKETS, max(1e-6, float(c.std()))), m.mean(0), m.std(0) + 0.05)
-    c, m = (c - scale[0]) / scale[1], (m - scale[2]) / scale[3]
-    n = len(labelled)
-    order = np.random.default_rng(seed).permutation(n)
-    held, fit = order[: n // 4], order[n // 4 :]
-    if len(set(y[held].tolist())) < 2 or len(set(y[fit].tolist())) < 2:
-        held = fit = order
-    # what each view learns from: labelled rows, then pseudo-labels that the other gave
-    given: tuple[dict[int, int], dict[int, int]] = ({int(i): int(y[i]) for i in fit}, {int(i): int(y[i]) for i in fit})
-    views, models = (c, m), [None, None]
-    positive = float(y[fit].mean())
-    for turn in range(rounds + 1):
-        for v in (0, 1):
-            at = np.fromiter(given[v], dtype=np.int64)
-            models[v] = logistic_descent(views[v][at], np.array([given[v][int(i)] for i in at], dtype=np.float32))
-        if turn == rounds or not pool:
-            break
-        for v in (0, 1):
-            z, other = margin(models[v], views[v][n:]), given[1 - v]
-            ranked = np.argsort(z, kind="stable")
-            most = max(1, int(share * len(pool)))
-            low, high = ranked[: max(1, int(most * (1 - positive)))], ranked[-max(1, int(most * positive)) :]
-            other.update({n + int(i): 0 for i in low if z[i] < -1})
-            other.update({n + int(i): 1 for i in high if z[i] > 1})
-    z = np.array([margin(models[v], views[v][held]) for v in (0, 1)])
-    calibration = np.array([fit_logistic(z[v][:, None], y[held].astype(float), ridge=1.0) for v in (0, 1)])
-    joint = fit_logistic((calibration[:, :1] * z + calibration[:, 1:]).T, y[held].astype(float), ridge=1.0)
-    return QualityModel(models[0], models[1], scale, calibration, joint)
-
-
-def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", per_class: int = 900, pool: int = 1500, **options) -> QualityModel | None:
-    marked = labels.where(F.col(label_col).isin(0, 1))
-    chosen = bounded_rows(marked, id_col, F.col(label_col), per_class).select(id_col, F.col(label_col).alias("_y")).dropDuplicates([id_col])
-    unmarked = bounded_rows(docs, id_col, F.lit("all"), pool, seed=71).select(id_col, F.lit(None).cast("int").alias("_y")).dropDuplicates([id_col])
-    wanted = chosen.unionByName(unmarked.join(F.broadcast(chosen), id_col, "left_anti"))
-    rows = docs.select(id_col, text_col, lang_col, source_col).join(F.broadcast(wanted), id_col).collect()
-    rows = sorted(rows, key=lambda r: (r[0], r[1] or ""))
-    labelled = [r for r in rows if r[4] is not None]
-    return co_train([tuple(r[1:4]) for r in labelled], np.array([r[4] for r in labelled], dtype=np.int64), [tuple(r[1:4]) for r in rows if r[4] is None], **options)
-
-
-def classify_quality(docs: DataFrame, model: QualityModel | None, *, accept_from: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    known = LabelledRows(*(np.array([np.frombuffer(r[v], dtype=np.float32) for r in rows]) for v in (0, 1)), y)
+    views = tuple(known.calibrate(v, known.anchors[v]) for v in (0, 1))
+    for _ in range(rounds):
+        learnt = learn_from_all(docs, columns, views, known.anchors, float(y.mean()), sure)
+        views = tuple(known.calibrate(v, learnt[v]) for v in (0, 1))
+    return known.join(*views)
+
+
+def classify_quality(docs: DataFrame, model: QualityModel | None, *, accept_from: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars", keep: tuple[str, ...] = ()) -> DataFrame:
     """Every row with ``score, content_score, metadata_score, accepted``; ``keep`` names columns passed through."""
-    columns = list(dict.fromkeys([id_col, text_col, lang_col, source_col, *keep]))
+    read = [text_col, lang_col, source_col, chars_col]
+    columns = list(dict.fromkeys([id_col, *read, *keep]))
     out = list(dict.fromkeys([id_col, *keep]))
     places = [columns.index(c) for c in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in (columns.index(text_col), columns.index(lang_col), columns.index(source_col))), strict=True)
+            rows = zip(*(batch.column(columns.index(c)).to_pylist() for c in read), strict=True)
             found = np.array([model.score(*r) if model else (1.0, 1.0, 1.0) for r in rows]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), *(pa.array(found[:, k]) for k in range(3)), pa.array(found[:, 0] >= accept_from)], names=[*out, "score", "content_score", "metadata_score", "accepted"])
 

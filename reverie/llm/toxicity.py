@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Four transducers are composed. The lexical one maps words to weighted symbols
-(insult, threat, target, negation, report, quote); the negation transducer
-weakens what follows a negation within a few words; the reported-speech one
-weakens what a report or a quotation introduces; the target one strengthens
-insults and threats near a person addressed. A clause's score is the weight of
-its path, and a document's features are sums over its matched clauses, which a
+The lexical machine is the union of five tries that read the letters of a word: insults
+and threats (beginnings of words, with weights), targets, negations and reports (whole
+words). It maps each word of a clause to a symbol. Three transducers over symbols are
+composed into one: negation weakens what follows within a few words; reported speech weakens what a
+report or a quotation introduces; the target strengthens insults and threats near a
+person addressed. A target may also follow: a transducer that reads the clause
+backwards marks such insults and threats first. A clause's score is the
+weight of its path; a document's features are sums over its matched clauses, which a
 logistic layer turns into a probability.
 
 The insult lexicon has a small public core and stems induced from labelled
@@ -14,16 +16,22 @@ word beginnings that toxic documents have and others don't.
 
 Defined results: a null or empty text scores like a text without a match;
 without labelled rows of both classes the core lexicon and fixed weights are
-used. Repeated rows get equal rows; texts are never shortened.
+used. Of a document with labels that contradict each other, the higher one counts;
+labels that are null or neither 0 nor 1 and labels with a null id teach nothing. Repeated rows get
+equal rows; an empty table gives no rows; other columns are not read, whatever their names; texts
+are scored whole, in time that grows with their length; those above ``longest_fit`` characters are
+not learnt from.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,122 +47,201 @@ TARGETS = frozenset("you your yours yourself u he him she her they them thou du
 NEGATIONS = frozenset("not no never neither nor none cannot isn't aren't don't doesn't didn't wasn't nicht kein keine nie niemals ne pas jamais aucun ni nunca jamás tampoco".split())
 REPORTS = frozenset("said says say called calls quoted quotes wrote writes reported reports alleged allegedly claimed sagte sagt nannte schrieb dit disait écrit appelé dijo dice llamó escribió".split())
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER = range(7)
+#: AIMED symbols are insults and threats that a target follows closely.
+INSULT, THREAT, AIMED_INSULT, AIMED_THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER = SYMBOLS = range(9)
+HITS = (INSULT, THREAT, AIMED_INSULT, AIMED_THREAT)
+AIMED = {INSULT: AIMED_INSULT, THREAT: AIMED_THREAT}
 FEATURES = ("direct", "targeted", "negated", "reported", "threat", "strongest", "clauses")
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[\"“”«»„]")
-_CLAUSE_END = ".!?;\n"
+_CLAUSE_END = re.compile(r"[.!?;\n]")
+_QUOTES = frozenset("\"“”«»„")
+_END = "\0"  # after the last letter of a word
+
+
+class Lexicon:
+    """A deterministic machine over the letters of a word and its end; an accepting state has a symbol and a weight."""
+
+    def __init__(self) -> None:
+        self.arcs: list[dict[str, int]] = [{}]
+        self.accepts: list[tuple[int, float] | None] = [None]
+
+    @classmethod
+    def trie(cls, symbol: int, weights: dict[str, float], whole: bool) -> Lexicon:
+        """Accepts each key as a whole word, or as a word's beginning."""
+        out = cls()
+        for word, weight in weights.items():
+            state = 0
+            for c in word + _END if whole else word:
+                if c not in out.arcs[state]:
+                    out.arcs[state][c] = len(out.arcs)
+                    out.arcs.append({})
+                    out.accepts.append(None)
+                state = out.arcs[state][c]
+            out.accepts[state] = (symbol, weight)
+        return out
 
+    def __or__(self, other: Lexicon) -> Lexicon:
+        """The union, by the product of both machines (a state of -1 is a machine that has stopped); this one's symbols come first."""
+        out, names, queue = Lexicon(), {(0, 0): 0}, [(0, 0)]
+        for a, b in queue:  # grows while states are found
+            here = names[a, b]
+            out.accepts[here] = (self.accepts[a] if a >= 0 else None) or (other.accepts[b] if b >= 0 else None)
+            left, right = self.arcs[a] if a >= 0 else {}, other.arcs[b] if b >= 0 else {}
+            for c in sorted({*left, *right}):
+                to = (left.get(c, -1), right.get(c, -1))
+                if to not in names:
+                    names[to] = len(names)
+                    out.arcs.append({})
+                    out.accepts.append(None)
+                    queue.append(to)
+                out.arcs[here][c] = names[to]
+        return out
 
-@dataclass(frozen=True)
-class Transducer:
-    """``arcs[state, symbol]`` is (next state, factor on the symbol's weight, tag); without an arc a symbol passes unchanged."""
+    def read(self, word: str) -> tuple[int, float]:
+        """Symbol and weight of the longest accepted beginning, a whole word before all."""
+        state, found, arcs = 0, None, self.arcs
+        for c in word + _END:
+            if (state := arcs[state].get(c, -1)) < 0:
+                break
+            found = self.accepts[state] or found
+        return found or (OTHER, 0.0)
 
-    arcs: dict[tuple[int, int], tuple[int, float, str]]
-    states: int
-    decays: bool = False
 
-    def run(self, tape: list[tuple[int, float, tuple[str, ...]]]) -> list[tuple[int, float, tuple[str, ...]]]:
+@dataclass(frozen=True)
+class Transducer:
+    """``arcs[state][symbol]`` is (next state, symbol written, factor on the weight, tags), for every state and symbol."""
+
+    arcs: tuple[tuple[tuple[int, int, float, frozenset[str]], ...], ...]
+
+    @classmethod
+    def of(cls, states: int, arc) -> Transducer:
+        """From ``arc(state, symbol)``: next state and, where they are not as usual, symbol, factor and tag."""
+
+        def whole(state: int, symbol: int, to: int, written: int | None = None, factor: float = 1.0, tag: str = ""):
+            return to, symbol if written is None else written, factor, frozenset([tag] if tag else [])
+
+        return cls(tuple(tuple(whole(s, x, *arc(s, x)) for x in SYMBOLS) for s in range(states)))
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: ``other`` reads what this one writes."""
+        names, queue, arcs = {(0, 0): 0}, [(0, 0)], []
+        for a, b in queue:
+            row = []
+            for symbol in SYMBOLS:
+                to, written, factor, tags = self.arcs[a][symbol]
+                to2, last, factor2, tags2 = other.arcs[b][written]
+                if (to, to2) not in names:
+                    names[to, to2] = len(names)
+                    queue.append((to, to2))
+                row.append((names[to, to2], last, factor * factor2, tags | tags2))
+            arcs.append(tuple(row))
+        return Transducer(tuple(arcs))
+
+    def run(self, tape: Iterable[tuple[int, float]]) -> list[tuple[int, float, frozenset[str]]]:
         state, out = 0, []
-        for symbol, weight, tags in tape:
-            step = self.arcs.get((state, symbol))
-            if step is None:
-                out.append((symbol, weight, tags))
-                state = max(0, state - 1) if self.decays else state
-            else:
-                state, factor, tag = step
-                out.append((symbol, weight * factor, (*tags, tag) if tag else tags))
+        for symbol, weight in tape:
+            state, written, factor, tags = self.arcs[state][symbol]
+            out.append((written, weight * factor, tags))
         return out
 
 
 def negation(reach: int = 3, factor: float = 0.25) -> Transducer:
     """States count down the words that a negation still reaches."""
-    arcs = {(s, NEGATION): (reach, 1.0, "") for s in range(reach + 1)}
-    arcs |= {(s, k): (s - 1, factor, "negated") for s in range(1, reach + 1) for k in (INSULT, THREAT)}
-    return Transducer(arcs, reach + 1, decays=True)
+
+    def arc(state: int, symbol: int):
+        if symbol == NEGATION:
+            return (reach,)
+        if symbol in HITS and state:
+            return state - 1, symbol, factor, "negated"
+        return (max(0, state - 1),)
+
+    return Transducer.of(reach + 1, arc)
 
 
 def reported_speech(factor: float = 0.4) -> Transducer:
     """State 1: after a verb of report, to the clause's end; state 2: within quotation marks."""
-    arcs = {(0, REPORT): (1, 1.0, ""), (0, QUOTE): (2, 1.0, ""), (1, QUOTE): (2, 1.0, ""), (2, QUOTE): (0, 1.0, "")}
-    arcs |= {(s, k): (s, factor, "reported") for s in (1, 2) for k in (INSULT, THREAT)}
-    return Transducer(arcs, 3)
+
+    def arc(state: int, symbol: int):
+        if symbol == QUOTE:
+            return (0 if state == 2 else 2,)
+        if symbol == REPORT:
+            return (max(1, state),)
+        return (state, symbol, factor, "reported") if symbol in HITS and state else (state,)
+
+    return Transducer.of(3, arc)
 
 
 def target(reach: int = 6, factor: float = 1.5) -> Transducer:
     """States count down the words in which an insult or threat still falls on the person addressed."""
-    arcs = {(s, TARGET): (reach, 1.0, "") for s in range(reach + 1)}
-    arcs |= {(s, k): (s - 1, factor, "targeted") for s in range(1, reach + 1) for k in (INSULT, THREAT)}
-    return Transducer(arcs, reach + 1, decays=True)
 
+    def arc(state: int, symbol: int):
+        if symbol == TARGET:
+            return (reach,)
+        if symbol in (AIMED_INSULT, AIMED_THREAT):
+            return reach - 1, symbol, factor, "targeted"
+        if symbol in HITS and state:
+            return state - 1, symbol, factor, "targeted"
+        return (max(0, state - 1),)
 
-@dataclass
-class Grammar:
-    """The composed transducers with a lexicon (beginning of a word -> weight) and a logistic layer."""
+    return Transducer.of(reach + 1, arc)
+
+
+def target_behind(reach: int = 3) -> Transducer:
+    """Reads backwards: insults and threats with a target among the next words become aimed ones."""
+
+    def arc(state: int, symbol: int):
+        if symbol == TARGET:
+            return (reach,)
+        return (max(0, state - 1), AIMED[symbol]) if state and symbol in AIMED else (max(0, state - 1),)
+
+    return Transducer.of(reach + 1, arc)
 
-    insults: dict[str, float]
-    threats: dict[str, float]
-    layer: np.ndarray | None = None
-    chain: tuple[Transducer, ...] = field(default_factory=lambda: (negation(), reported_speech(), target()))
 
-    def __post_init__(self) -> None:
+class Grammar:
+    """The composed machines with their lexicon (beginning of a word -> weight) and a logistic layer."""
+
+    def __init__(self, insults: dict[str, float], threats: dict[str, float], layer: np.ndarray | None = None) -> None:
+        self.insults, self.threats, self.layer = insults, threats, layer
+        self._build()
+
+    def _build(self) -> None:
+        whole = ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (QUOTE, _QUOTES))
+        parts = [Lexicon.trie(INSULT, self.insults, False), Lexicon.trie(THREAT, self.threats, False), *(Lexicon.trie(k, dict.fromkeys(sorted(w), 0.0), True) for k, w in whole)]
+        self.lexicon = reduce(Lexicon.__or__, parts)
+        self.behind = target_behind()
+        self.forward = reduce(Transducer.then, (negation(), reported_speech(), target()))
         stems = sorted({*self.insults, *self.threats}, key=len, reverse=True)
         self.find = re.compile(r"(?<![^\W\d_])(?:" + "|".join(map(re.escape, stems)) + ")").finditer if stems else lambda _: iter(())
-        self.lengths = sorted({len(s) for s in stems}, reverse=True)
 
     def __getstate__(self):
-        return {"insults": self.insults, "threats": self.threats, "layer": self.layer, "chain": self.chain}
+        return self.insults, self.threats, self.layer
 
     def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.__post_init__()
-
-    def symbol(self, word: str) -> tuple[int, float]:
-        if word in NEGATIONS:
-            return NEGATION, 0.0
-        if word in TARGETS:
-            return TARGET, 0.0
-        if word in REPORTS:
-            return REPORT, 0.0
-        if word in "\"“”«»„":
-            return QUOTE, 0.0
-        for n in self.lengths:
-            if (stem := word[:n]) in self.insults:
-                return INSULT, self.insults[stem]
-            if stem in self.threats:
-                return THREAT, self.threats[stem]
-        return OTHER, 0.0
-
-    def clause(self, text: str) -> list[tuple[int, float, tuple[str, ...]]]:
+        self.insults, self.threats, self.layer = state
+        self._build()
+
+    def clause(self, text: str) -> list[tuple[int, float, frozenset[str]]]:
         """The matched symbols of one clause with their weights along the composed path."""
-        tape = [(*self.symbol(w), ()) for w in _WORD.findall(text)]
-        tape = self._addressed(tape)
-        for machine in self.chain:
-            tape = machine.run(tape)
-        return [x for x in tape if x[0] in (INSULT, THREAT)]
-
-    def _addressed(self, tape, reach: int = 3):
-        """Puts a target that follows an insult closely before it as well."""
-        out = []
-        for i, x in enumerate(tape):
-            if x[0] in (INSULT, THREAT) and any(y[0] == TARGET for y in tape[i + 1 : i + 1 + reach]):
-                out.append((TARGET, 0.0, ()))
-            out.append(x)
-        return out
+        tape = [self.lexicon.read(w) for w in _WORD.findall(text)]
+        aimed = [x[0] for x in reversed(self.behind.run(reversed(tape)))]
+        return [x for x in self.forward.run(zip(aimed, (w for _, w in tape), strict=True)) if x[0] in HITS]
 
     def features(self, text: str | None) -> np.ndarray:
-        """Sums over the clauses in which the lexicon has a match; other clauses score nothing."""
+        """Sums over the clauses in which the lexicon has a match; other clauses score nothing. One pass over the text."""
         sums = dict.fromkeys(FEATURES, 0.0)
         if text:
-            low, done = text.lower(), 0
+            low, done, ends = text.lower(), 0, None
             for hit in self.find(low):
                 if hit.start() < done:
                     continue
-                start = max(low.rfind(c, 0, hit.start()) for c in _CLAUSE_END) + 1
-                done = min((e for c in _CLAUSE_END if (e := low.find(c, hit.end())) >= 0), default=len(low))
-                path = self.clause(low[max(start, 0) : done])
+                if ends is None:
+                    ends = [-1, *(m.start() for m in _CLAUSE_END.finditer(low)), len(low)]
+                i = bisect_left(ends, hit.start())
+                done = ends[i]
+                path = self.clause(low[ends[i - 1] + 1 : done])
                 for kind, weight, tags in path:
-                    name = "threat" if kind == THREAT else next((t for t in ("negated", "reported", "targeted") if t in tags), "direct")
+                    name = "threat" if kind in (THREAT, AIMED_THREAT) else next((t for t in ("negated", "reported", "targeted") if t in tags), "direct")
                     sums[name] += weight
                 if path:
                     sums["strongest"] = max(sums["strongest"], sum(w for _, w, _ in path))
@@ -257,11 +344,18 @@ def fit_grammar(texts: list[str], labels: list[int]) -> Grammar:
     return Grammar(core | induce_stems(toxic, other), threats, layer)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1000) -> Grammar:
-    """Fit on about ``per_class`` labelled rows of each class; only those texts reach the driver."""
-    chosen = bounded_rows(labels.where(F.col(label_col).isin(0, 1)), id_col, F.col(label_col), per_class).select(id_col, label_col).dropDuplicates([id_col])
-    rows = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col).join(F.broadcast(chosen), id_col).collect()
-    rows = sorted(rows, key=lambda r: (r[0], r[1]))
+def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, columns: list[str], label_col: str, per_class: int, longest: int) -> DataFrame:
+    """About ``per_class`` rows of ``columns`` for each label 0 and 1, one row for each id, and ``_y``; bounded before anything is collected."""
+    marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_y"))
+    chosen = bounded_rows(marked, [id_col], F.col("_y"), per_class)
+    found = docs.select(id_col, *columns).join(F.broadcast(chosen), id_col).where(F.char_length(columns[0]) <= longest)
+    # of rows with one id, the least stands for all
+    return found.groupBy(id_col, "_y").agg(F.min(F.struct(*columns)).alias("s")).select(id_col, "s.*", "_y")
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1000, longest_fit: int = 100_000) -> Grammar:
+    """Fit on about ``per_class`` labelled rows of each class with up to ``longest_fit`` characters; only those texts reach the driver."""
+    rows = sorted(labelled_texts(docs, labels, id_col, [text_col], label_col, per_class, longest_fit).collect(), key=lambda r: (r[0], r[1]))
     return fit_grammar([r[1] for r in rows], [int(r[2]) for r in rows])
 
 
