@@ -7,22 +7,24 @@ covers is removed. Windows are judged on the texts as they came in.
 Where to look. Of the 25-word runs in a window, the one with the least hash is the
 window's anchor; equal windows have equal anchors. Anchors are indexed with their
 documents, and only those that two documents have are followed up. The
-windows of one anchor occurrence are neighbours; their words are its passage (75 words at most).
-
-Which windows are repeated. Of documents with one and the same passage, the smallest keeps
-it and the others' windows are repeated. Where an anchor has
-several passages, these are the reference of its shard: one suffix automaton per
-shard takes in the passages in the order of doc_id, and each passage, before it
-goes in, is streamed through for its matching statistics; a window that ends
-where the longest match has ``size`` words or more is repeated. The passages of a very frequent
-anchor are cut into several reference shards, and every shard's automaton is
-streamed by all of that anchor's passages. A shard goes only to the passages that have its
-anchor, not to all documents, so that the work follows the repeated text and
-not the corpus times the number of shards.
+windows of one anchor occurrence are neighbours; their words are its passage (75 words at most),
+and documents with one and the same passage share what is found for it.
+
+Which windows are repeated. The distinct passages of an anchor are the reference of its shard. One
+suffix automaton per shard takes them in by the smallest document that has them; each passage, before it
+goes in, is streamed through for its matching statistics. A window that ends
+where the longest match has ``size`` words or more stands in a smaller document than any that has this passage; the
+passage's other windows are repeated in all its documents but the smallest. An anchor with
+more than ``most`` passages has several shards: its passages are cut into windows, dealt to the shards by a
+hash of their words, so that the work stays in proportion to the windows.
+
+A shard is not broadcast past all documents, which would make the work grow with the square of the corpus:
+it goes where its anchor's passages are.
 
 Words are compared by 64-bit hashes. Defined results: a null text has no words; rows with a
-null doc_id are left out; equal doc_ids do not repeat each other; repeated rows
-get equal rows; a document with fewer words than a window keeps them all.
+null doc_id are left out; equal doc_ids do not repeat each other, whatever their texts; repeated rows
+get equal rows; a document with fewer words than a window keeps them all; an empty table gives no
+rows; other columns are not read unless they are to be kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -194,29 +196,31 @@ def slots_used(ids: DataFrame, slots: int) -> bytes:
 
 
 def only_slots(docs: DataFrame, bits: bytes, slots: int, inside: bool) -> DataFrame:
-    """The rows (doc_id, text) whose slot is used, or not used."""
+    """The rows whose doc_id's slot is used, or not used."""
+    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).view(bool)
         for batch in batches:
-            yield batch.select([0, 1]).filter(pa.array(use[batch.column(2).to_numpy()] == inside))
+            yield batch.select(list(range(len(columns)))).filter(pa.array(use[batch.column(len(columns)).to_numpy()] == inside))
 
-    return map_arrow(docs.select("doc_id", "text", slot_of(slots).alias("slot")), run, "doc_id long, text string")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    return map_arrow(docs.select(*columns, slot_of(slots).alias("_slot")), run, kinds)
 
 
 def passages(docs: DataFrame, size: int) -> DataFrame:
-    """From doc_id, text and the anchors to follow up: a row for each passage, and rows with the words.
+    """From doc_id, tid (the text's hash), text and the anchors to follow up: a row for each passage, and rows with the words.
 
-    Passage rows: ``doc_id, firsts, windows, anchor, passage`` (hash of its words), one for each
-    passage of a document, with all its places. Word rows: ``doc_id, firsts, words`` (packed
+    Passage rows: ``doc_id, tid, firsts, windows, anchor, passage`` (hash of its words), one for each
+    passage of a document, with all its places. Word rows: ``doc_id, tid, firsts, words`` (packed
     hashes of the words from the one place on), anchor null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        names = ["doc_id", "firsts", "windows", "anchor", "passage", "words"]
+        names = ["doc_id", "tid", "firsts", "windows", "anchor", "passage", "words"]
         for batch in batches:
-            for k, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, tid, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = hasher.words(text or "", lower=False)
                 first, windows, anchor = anchored(words, size)
                 use = np.isin(anchor.view(np.int64), np.array(wanted, dtype=np.int64))
@@ -236,75 +240,86 @@ def passages(docs: DataFrame, size: int) -> DataFrame:
                 heads = np.flatnonzero(np.r_[True, (anchor[order][1:] != anchor[order][:-1]) | (name[order][1:] != name[order][:-1])])
                 places = pa.ListArray.from_arrays(pa.array(np.r_[heads, n].astype(np.int32)), pa.array(first[order]))
                 at = order[heads]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), places, pa.array(windows[at]), pa.array(anchor[at]), pa.array(name[at]), pa.nulls(len(at), pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(np.full(len(at), tid)), places, pa.array(windows[at]), pa.array(anchor[at]), pa.array(name[at]), pa.nulls(len(at), pa.binary())], names=names)
                 # the covered stretches of words
                 opens = np.flatnonzero(np.r_[True, first[1:] > np.maximum.accumulate(end)[:-1]])
                 closes = np.r_[opens[1:], n] - 1
                 starts, stops = first[opens], np.maximum.accumulate(end)[closes]
                 m = len(opens)
                 none = pa.nulls(m, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, k)), pa.array([[i] for i in starts.tolist()], pa.list_(pa.int64())), none, none, none, pa.array([words[i:j].tobytes() for i, j in zip(starts, stops, strict=True)], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, k)), pa.array(np.full(m, tid)), pa.array([[i] for i in starts.tolist()], pa.list_(pa.int64())), none, none, none, pa.array([words[i:j].tobytes() for i, j in zip(starts, stops, strict=True)], pa.binary())], names=names)
+
+    return map_arrow(docs.select("doc_id", "tid", "text", "wanted"), run, "doc_id long, tid long, firsts array<long>, windows long, anchor long, passage long, words binary")
 
-    return map_arrow(docs.select("doc_id", "text", "wanted"), run, "doc_id long, firsts array<long>, windows long, anchor long, passage long, words binary")
+
+def shards(references: DataFrame, size: int, most: int) -> DataFrame:
+    """``shard, anchor, passage, shift, doc_id, copies, words``: passages or, of anchors with more than ``most``, their windows."""
+    parts = references.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > most).select("anchor", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    rows = references.join(parts, "anchor", "left")
+    few = rows.where("parts is null").select(F.xxhash64("anchor").alias("shard"), "anchor", "passage", F.lit(0).cast("long").alias("shift"), "doc_id", "copies", "words")
+    windows = (F.length("words") / 8).cast("long") - size
+    many = rows.where("parts is not null").withColumn("shift", F.explode(F.sequence(F.lit(0).cast("long"), windows)))
+    many = many.withColumn("words", F.substring("words", (F.col("shift") * 8 + 1).cast("int"), F.lit(8 * size)))
+    many = many.select(F.xxhash64("anchor", F.pmod(F.xxhash64("words"), F.col("parts"))).alias("shard"), "anchor", "passage", "shift", "doc_id", "copies", "words")
+    return few.unionByName(many)
 
 
 def matched_windows(references: DataFrame, size: int, most: int = 4096) -> DataFrame:
-    """``anchor, passage, shift, count``: runs of windows repeated from a smaller document.
+    """``anchor, passage, shift, count, least``: runs of windows; with a ``least``, they are repeated in documents beyond it only, else in all.
 
-    ``references`` has ``anchor, passage, doc_id, words``; an anchor with more than ``most``
-    passages has several shards, each streamed by all of its passages.
+    ``references`` has ``anchor, passage, doc_id`` (the smallest that has it), ``copies`` (whether others have it) and ``words``.
     """
-    parts = references.groupBy("anchor").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
-    rows = references.join(parts, "anchor").withColumn("part", F.pmod(F.xxhash64("passage"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select(F.xxhash64("anchor", "shard").alias("shard_id"), "doc_id", (F.col("part") == F.col("shard")).alias("member"), "anchor", "passage", "words")
-    dealt = rows.repartition("shard_id").sortWithinPartitions("shard_id", "anchor", "doc_id")
+    dealt = shards(references, size, most).repartition("shard").sortWithinPartitions("shard", "anchor", "doc_id")
+
+    def runs(at: np.ndarray) -> Iterator[tuple[int, int]]:
+        if len(at):
+            opens = np.flatnonzero(np.r_[True, np.diff(at) > 1])
+            yield from ((int(at[i]), int(at[j - 1] - at[i] + 1)) for i, j in zip(opens, np.r_[opens[1:], len(at)], strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = None
         automaton, waiting = SuffixAutomaton(), []
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for shard_id, doc, member, anchor, passage, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if shard != (shard_id, anchor):
-                    shard, automaton, waiting = (shard_id, anchor), SuffixAutomaton(), []
+            out: list[tuple[int, int, int, int, int | None]] = []
+            for name, anchor, passage, shift, doc, copies, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != (name, anchor):
+                    shard, automaton, waiting = (name, anchor), SuffixAutomaton(), []
                 words = np.frombuffer(packed, dtype=np.uint64).tolist()
                 if waiting and waiting[0][0] < doc:
                     for _, before in waiting:
                         automaton.add(before)
                     waiting = []
                 longest = np.array(automaton.statistics(words))
-                yes = np.flatnonzero(longest[size - 1 :] >= size)
-                if len(yes):
-                    opens = np.flatnonzero(np.r_[True, np.diff(yes) > 1])
-                    out += [(anchor, passage, int(yes[i]), int(yes[j - 1] - yes[i] + 1)) for i, j in zip(opens, np.r_[opens[1:], len(yes)], strict=True)]
-                if member and longest[-1] < len(words):
+                known = longest[size - 1 :] >= size
+                out += [(anchor, passage, shift + i, n, None) for i, n in runs(np.flatnonzero(known))]
+                if copies:
+                    out += [(anchor, passage, shift + i, n, doc) for i, n in runs(np.flatnonzero(~known))]
+                if longest[-1] < len(words):
                     waiting.append((doc, words))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["anchor", "passage", "shift", "count"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(5)], names=["anchor", "passage", "shift", "count", "least"])
 
-    return map_arrow(dealt, run, "anchor long, passage long, shift long, count long")
+    return map_arrow(dealt, run, "anchor long, passage long, shift long, count long, least long")
 
 
 def repeated_spans(docs: DataFrame, size: int, slots: int = 1 << 20) -> DataFrame:
-    """``doc_id, spans`` of each document with repeated words: ``length`` words from each of ``firsts``, ``shift`` words on."""
+    """``doc_id, tid, spans`` of each text (doc_id, tid, text) with repeated words: ``length`` words from each of ``firsts``, ``shift`` words on."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    follow = cut(shared_anchors(index_anchors(docs, size, 4 * partitions).repartition(partitions, "p")))
+    follow = cut(shared_anchors(index_anchors(docs.select("doc_id", "text"), size, 4 * partitions).repartition(partitions, "p")))
     bits = slots_used(follow, slots)
     wanted = follow.groupBy("doc_id").agg(F.collect_set("anchor").alias("wanted"))
-    found = cut(passages(only_slots(docs, bits, slots, True).join(wanted, "doc_id"), size))
-    occurs = found.where("anchor is not null").select("doc_id", "firsts", "windows", "anchor", "passage")
-    kinds = cut(occurs.groupBy("anchor", "passage").agg(F.min(F.struct("doc_id", F.element_at("firsts", 1).alias("first"))).alias("at"), F.max("windows").alias("windows")).select("anchor", "passage", F.col("at.doc_id").alias("least"), F.col("at.first").alias("first"), "windows"))
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    texts = found.where("anchor is null").select(F.col("doc_id").alias("least"), F.element_at("firsts", 1).alias("from"), "words")
-    placed = kinds.join(several, "anchor").join(texts, "least").where("first >= `from` and first < `from` + length(words) / 8")
-    references = placed.select("anchor", "passage", F.col("least").alias("doc_id"), F.substring(F.col("words"), ((F.col("first") - F.col("from")) * 8 + 1).cast("int"), ((F.col("windows") + size - 1) * 8).cast("int")).alias("words"))
-    matched = matched_windows(references, size).withColumnRenamed("anchor", "a").withColumnRenamed("passage", "p")
-    named = occurs.join(kinds.select("anchor", "passage", "least"), ["anchor", "passage"])
-    copies = named.where("doc_id > least").select("doc_id", "firsts", F.lit(0).cast("long").alias("shift"), "windows")
-    own = named.where("doc_id = least").join(matched, (F.col("anchor") == F.col("a")) & (F.col("passage") == F.col("p")))
-    spans = copies.unionByName(own.select("doc_id", "firsts", "shift", F.col("count").alias("windows")))
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("firsts", "shift", (F.col("windows") + size - 1).alias("length"))).alias("spans"))
+    found = cut(passages(only_slots(docs.select("doc_id", "tid", "text"), bits, slots, True).join(wanted, "doc_id"), size))
+    occurs = found.where("anchor is not null").select("doc_id", "tid", "firsts", "windows", "anchor", "passage").distinct()
+    least = F.min(F.struct("doc_id", "tid", F.element_at("firsts", 1).alias("first"))).alias("at")
+    kinds = occurs.groupBy("anchor", "passage").agg(least, F.max("windows").alias("windows"), (F.min("doc_id") < F.max("doc_id")).alias("copies"))
+    kinds = kinds.select("anchor", "passage", "at.doc_id", "at.tid", "at.first", "windows", "copies")
+    texts = found.where("anchor is null").select("doc_id", "tid", F.element_at("firsts", 1).alias("from"), "words").distinct()
+    placed = kinds.join(texts, ["doc_id", "tid"]).where("first >= `from` and first < `from` + length(words) / 8")
+    references = placed.select("anchor", "passage", "doc_id", "copies", F.substring(F.col("words"), ((F.col("first") - F.col("from")) * 8 + 1).cast("int"), ((F.col("windows") + size - 1) * 8).cast("int")).alias("words"))
+    matched = matched_windows(references, size)
+    spans = occurs.select("doc_id", "tid", "firsts", "anchor", "passage").join(matched, ["anchor", "passage"]).where("least is null or doc_id > least")
+    spans = spans.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("firsts", "shift", (F.col("count") + size - 1).alias("length"))).alias("spans"))
+    return spans
 
 
 def cut_words(text: str | None, spans: list[dict] | None) -> tuple[list[bytes], int]:
@@ -321,30 +336,41 @@ def cut_words(text: str | None, spans: list[dict] | None) -> tuple[list[bytes],
     return [words[i] for i in np.flatnonzero(~gone)], len(words)
 
 
-def strip_repeats(docs: DataFrame, *, size: int = 50, slots: int = 1 << 20, digest: bool = False) -> DataFrame:
-    """``doc_id, n_words, n_removed`` and ``kept`` (the words left, joined by one space) or its ``kept_sha256``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+def strip_repeats(docs: DataFrame, *, size: int = 50, slots: int = 1 << 20, digest: bool = False, untouched: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_words, n_removed`` and ``kept`` (the words left, joined by one space) or its ``kept_sha256``, a row for each row.
+
+    With ``untouched``, a text without repeats is kept as it is. Columns of ``docs`` named in ``keep`` follow under their own names.
+    """
+    clash = {"doc_id", "n_words", "n_removed", "kept", "kept_sha256"} & set(keep)
+    if clash:
+        raise ValueError(f"cannot keep columns named {sorted(clash)}")
+    extra = [F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra).where("doc_id is not null").withColumn("tid", F.xxhash64("text"))
     spans = cut(repeated_spans(docs, size, slots))
     bits = slots_used(spans, slots)
     last = "kept_sha256" if digest else "kept"
+    carried = [f"_{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            cuts = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * len(texts)
+            cuts = batch.column(2 + len(keep)).to_pylist() if batch.num_columns > 2 + len(keep) else [None] * len(texts)
             n, removed, kept = [], [], []
             for text, at in zip(texts, cuts, strict=True):
                 left, count = cut_words(text, at)
-                joined = b" ".join(left)
                 n.append(count)
                 removed.append(count - len(left))
+                if untouched and count == len(left) and not digest:
+                    kept.append(text)
+                    continue
+                joined = b" ".join(left)
                 kept.append(hashlib.sha256(joined).hexdigest() if digest else joined.decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", last])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *(batch.column(2 + i) for i in range(len(keep)))], names=["doc_id", "n_words", "n_removed", last, *carried])
 
-    kind = f"doc_id long, n_words long, n_removed long, {last} string"
-    whole = map_arrow(only_slots(docs, bits, slots, False), run, kind)
-    some = map_arrow(only_slots(docs, bits, slots, True).join(spans, "doc_id", "left"), run, kind)
-    return whole.unionByName(some)
+    kind = ", ".join([f"doc_id long, n_words long, n_removed long, {last} string", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried)])
+    whole = map_arrow(only_slots(docs, bits, slots, False).select("doc_id", "text", *carried), run, kind)
+    some = map_arrow(only_slots(docs, bits, slots, True).join(spans, ["doc_id", "tid"], "left").select("doc_id", "text", *carried, "spans"), run, kind)
+    return whole.unionByName(some).withColumnsRenamed(dict(zip(carried, keep, strict=True)))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,11 +83,49 @@ def test_language_of_odd_texts(spark, odd, empty):
     found = {r.doc_id: r for r in langid.identify_language(odd, model).collect()}
     assert all(found[k].language == "und" and found[k].score == 0 for k in (0, 1, 2))
     assert found[6].language in ("en", "es")
+    numerals = spark.createDataFrame([(1, "½ ² Ⅷ 12"), (2, "½ a")], "doc_id long, text string")
+    assert [r.language == "und" for r in langid.identify_language(numerals, model).orderBy("doc_id").collect()] == [True, False]
     assert langid.fit_language_model(empty) is None
     assert langid.identify_language(empty, model).count() == 0
     assert {r.language for r in langid.identify_language(odd, None).collect()} == {"und"}
 
 
+def test_buckets_are_counts_of_grams_and_prediction_follows_from_them():
+    def brute(text, buckets):
+        letters = re.sub(r"[\W\d_]+", " ", text.lower()).strip()
+        points = [ord(c) for c in f" {letters} "]
+        m, out = 2**32, Counter()
+        for n in range(1, 5):
+            for i in range(len(points) - n + 1):
+                h = (points[i] * 0x9E3779B1 + 1) % m
+                for c in points[i + 1 : i + n]:
+                    h = ((h ^ (h >> 15)) * 0x85EBCA6B + c * 0xC2B2AE35) % m
+                out[(h * 0x27D4EB2F % m) >> (32 - (buckets.bit_length() - 1))] += 1
+        return out
+
+    for text in ("Hello, wörld 12 again", "a", "中文 ok"):
+        counts = langid.bucket_counts(text, 1 << 10)
+        assert {int(i): int(counts[i]) for i in np.flatnonzero(counts)} == brute(text, 1 << 10)
+    model = langid.train(["aaa bbb", "bbb aaa", "xxx yyy", "yyy xxx"] * 10, ["p", "p", "q", "q"] * 10, buckets=1 << 8, dim=4)
+    counts = brute("aaa bbb", 1 << 8)
+    hidden = sum(n * model.embedding[b].astype(float) for b, n in counts.items()) / sum(counts.values())
+    z = (hidden @ model.weights + model.bias) / model.temperature
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    assert langid.predict(model, "aaa bbb")[0] == "p" == model.languages[int(p.argmax())]
+    assert langid.predict(model, "aaa bbb")[1] == pytest.approx(float(p.max()), abs=1e-6)
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    from reverie.llm.common import bounded_rows
+
+    rows = [(None, f"t{i}", "a") for i in range(500)] + [(7, "same", "a")] * 500 + [(i, "x", "b") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = bounded_rows(df, ["doc_id", "text"], F.col("lang"), 50).collect()
+    assert 10 <= sum(r.lang == "a" for r in found) <= 100 and sum(r.lang == "b" for r in found) == 40
+    assert len({(r.doc_id, r.text) for r in found}) == len(found)
+    assert len(bounded_rows(df, ["doc_id", "text"], F.col("lang"), 50, most_rows=20).collect()) <= 40
+
+
 # --- 2 ---
 
 
@@ -126,6 +164,66 @@ def test_grammar_weighs_clauses():
     assert g.score("you idiot") > g.score("not an idiot") > g.score("")
 
 
+def brute_clause(words, insults, threats):
+    """Kind, weight and tags of each hit, by looking at each word's neighbourhood."""
+    kinds = []
+    for w in words:
+        if w in toxicity.NEGATIONS:
+            kinds.append("negation")
+        elif w in toxicity.TARGETS:
+            kinds.append("target")
+        elif w in toxicity.REPORTS:
+            kinds.append("report")
+        elif w == '"':
+            kinds.append("quote")
+        else:
+            kinds.append("insult" if any(w.startswith(s) for s in insults) else "threat" if any(w.startswith(s) for s in threats) else "other")
+    out, quoted, reported = [], False, False
+    for i, k in enumerate(kinds):
+        if k == "quote":
+            # a report's effect ends with the quotation that follows it
+            quoted, reported = not quoted, False
+        elif k == "report" and not quoted:
+            reported = True
+        if k in ("insult", "threat"):
+            hit = [2.0, set()]
+            if "negation" in kinds[max(0, i - 3) : i]:
+                hit = [hit[0] * 0.25, hit[1] | {"negated"}]
+            if quoted or reported:
+                hit = [hit[0] * 0.4, hit[1] | {"reported"}]
+            near = any(j == "target" for j in kinds[i + 1 : i + 4]) or "target" in kinds[max(0, i - 6) : i] or any(kinds[j] in ("insult", "threat") and "target" in kinds[j + 1 : j + 4] for j in range(max(0, i - 5), i))
+            if near:
+                hit = [hit[0] * 1.5, hit[1] | {"targeted"}]
+            out.append((k == "threat", hit[0], hit[1]))
+    return out
+
+
+def test_composed_machines_agree_with_brute_force():
+    r = random.Random(12)
+    g = toxicity.Grammar({"idiot": 2.0, "mor": 2.0}, {"kill": 2.0})
+    words = ["idiot", "idiots", "moron", "killer", "you", "not", "said", '"', "the", "a", "fine", "idio", "them", "never"]
+    for _ in range(3000):
+        clause = [r.choice(words) for _ in range(r.randint(1, 14))]
+        found = [(k in (toxicity.THREAT, toxicity.AIMED_THREAT), w, set(t)) for k, w, t in g.clause(" ".join(clause))]
+        expected = brute_clause(clause, ("idiot", "mor"), ("kill",))
+        assert [(a, c) for a, _, c in found] == [(a, c) for a, _, c in expected]
+        assert [b for _, b, _ in found] == pytest.approx([b for _, b, _ in expected])
+    assert len(g.forward.arcs) > len(toxicity.negation().arcs) * len(toxicity.target().arcs)
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    g = toxicity.Grammar({"idiot": 2.0}, {})
+    seconds = []
+    for n in (20_000, 160_000):
+        began = time.perf_counter()
+        assert math.expm1(g.features("idiot ok, " * n + "! x")[-1]) == pytest.approx(1)
+        g.features("idiot ok! " * n)
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 24 * max(seconds[0], 0.02)
+
+
 def test_toxicity_on_held_out_rows(spark, odd, empty):
     d = SF.replace("0.001", "0.1")
     rows = registry.queries()["op3_toxicity"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
@@ -266,6 +364,54 @@ def test_neighbour_by_key_over_many_ranges(spark):
     assert got == Counter((k, t, order[(i + 1) % len(order)][1]) for i, (k, t) in enumerate(order))
 
 
+@pytest.mark.parametrize("slices", [1, 2, 4000])
+def test_neighbour_by_key_with_any_number_of_ranges(spark, slices):
+    df = spark.range(0, 3000).select((F.col("id") * 7 - 5000).alias("doc_id"), F.col("id").cast("string").alias("text")).repartition(5)
+    got = {int(r.text): int(r.next.text) for r in syncmers.with_next(df, "doc_id", F.xxhash64("text"), ["text"], slices=slices).collect()}
+    assert got == {i: (i - 1) % 3000 for i in range(3000)}
+
+
+def test_anchors_and_likeness_by_brute_force(spark):
+    r = random.Random(13)
+    words = [r.choice("abcdefghij") + r.choice("xyz") for _ in range(60)]
+    h = lambda *x: F.xxhash64(*x)
+    units = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").select("i", "w", h(F.col("w")).alias("h")).collect()
+    hashes = [u.h for u in sorted(units)]
+    inner = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(hashes, hashes[1:], strict=False))], "i int, a long, b long").select("i", h("a", "b").alias("m")).collect()
+    m = [x.m for x in sorted(inner)]
+    runs = spark.createDataFrame([(i, m[i], m[i + 3], hashes[i + 2]) for i in range(len(m) - 3)], "i int, a long, b long, c long").select("i", h(h("a", "b"), F.col("c")).alias("k")).collect()
+    kmers = [x.k for x in sorted(runs)]
+    expected = list(dict.fromkeys(k for i, k in enumerate(kmers) if min(m[i : i + 4]) in (m[i], m[i + 3])))
+    assert spark.createDataFrame([(" ".join(words),)], "t string").select(syncmers.anchors(F.col("t")).alias("a")).first().a == expected
+
+    def brute_likeness(x, y):
+        p, q = [v for v in x if v in y], [v for v in y if v in x]
+        steps = lambda a: set(zip(["-", *a], a, strict=False))
+        return len(steps(p) & steps(q)) / len({*x, *y})
+
+    lists = [[f"{r.randrange(30):012x}" for _ in range(20)] for _ in range(30)]
+    lists = [list(dict.fromkeys(a)) for a in lists]
+    pairs = [(lists[i], lists[j]) for i in range(30) for j in range(i, 30)]
+    got = spark.createDataFrame(pairs, "a array<string>, b array<string>").select(syncmers.likeness(F.col("a"), F.col("b")).alias("l"), "a", "b").collect()
+    assert all(x.l == pytest.approx(brute_likeness(x.a, x.b)) for x in got)
+
+
+def test_a_moved_block_costs_its_edges(spark):
+    words = [f"w{i}" for i in range(200)]
+    df = spark.createDataFrame([(" ".join(words), " ".join(words[20:] + words[:20]))], "a string, b string")
+    assert df.select(syncmers.likeness(syncmers.sketch(F.col("a")), syncmers.sketch(F.col("b"))).alias("l")).first().l > 0.8
+
+
+def test_fingerprint_query_on_odd_tables(spark, tmp_path, empty):
+    for name, rows in (("odd", [*ODD, ODD[4]]), ("one", ODD[4:5]), ("none", [])):
+        folder = f"file://{tmp_path}/{name}"
+        frame(spark, rows).write.parquet(f"{folder}/documents.parquet")
+        found = syncmers.op5_fingerprints(spark, folder).collect()
+        assert len(found) == len(rows) and all(0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1 for r in found)
+        if name == "one":
+            assert found[0].near_next == 1
+
+
 def test_fingerprints_of_odd_rows(odd, empty):
     rows = [(r.doc_id, r.fingerprint) for r in syncmers.fingerprint(odd).collect()]
     by = dict(rows)
@@ -281,6 +427,11 @@ def test_quality_separates_junk(spark, odd, empty):
     rows = registry.queries()["op6_quality"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
     good, bad = [r for r in rows if r.quality], [r for r in rows if not r.quality]
     assert sum(r.accepted for r in good) > 0.97 * len(good) and sum(not r.accepted for r in bad) > 0.85 * len(bad)
+    part = spark.read.parquet(f"{d}/labels.parquet").where("crc32(cast(doc_id as string)) % 4 <> 2")
+    model = quality.fit_quality(spark.read.parquet(f"{d}/documents.parquet"), part)
+    scored = quality.classify_quality(spark.read.parquet(f"{d}/documents.parquet"), model).join(spark.read.parquet(f"{d}/labels.parquet").where("crc32(cast(doc_id as string)) % 4 = 2"), "doc_id").collect()
+    good, bad = [r for r in scored if r.quality], [r for r in scored if not r.quality]
+    assert sum(r.accepted for r in good) > 0.97 * len(good) and sum(not r.accepted for r in bad) > 0.9 * len(bad)
     labels = spark.createDataFrame([(4, 1), (7, 1), (None, 0)], "doc_id long, quality int")
     assert quality.fit_quality(odd, labels) is None
     assert all(r.accepted and r.score == 1 for r in quality.classify_quality(odd, None).collect())
@@ -290,6 +441,27 @@ def test_quality_separates_junk(spark, odd, empty):
     assert quality.classify_quality(empty, both).count() == 0 and quality.fit_quality(empty, labels) is None
 
 
+def test_quality_views_see_different_things():
+    assert (quality.metadata_view("en", "a", 100) == quality.metadata_view("en", "a", 127)).all()
+    assert (quality.metadata_view("en", "a", 100) != quality.metadata_view("en", "b", 100)).any()
+    assert quality.metadata_view(None, None, None).sum() == 3
+    c = quality.content_view("aab")
+    assert (c[: quality.BUCKETS] ** 2).sum() == pytest.approx(1, abs=1e-5) and sorted(np.round(c[: quality.BUCKETS][c[: quality.BUCKETS] > 0] ** 2 * 6)) == [1, 1, 1, 1, 2]
+    assert list(c[quality.BUCKETS :]) == pytest.approx(quality.layout("aab"))
+
+
+def test_each_view_learns_from_what_the_other_is_sure_of(spark):
+    r = random.Random(6)
+    # the text tells labelled rows apart; the source does so in the unlabelled ones only
+    rows = [(i, ("good words here " if i % 2 else "$$$ %%% ### ") * r.randint(3, 9), "en", "mixed", 50) for i in range(80)]
+    rows += [(1000 + i, ("good words here " if i % 2 else "$$$ %%% ### ") * r.randint(3, 9), "en", "clean" if i % 2 else "junk", 50) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    before, after = (quality.fit_quality(docs, labels, rounds=n) for n in (0, 2))
+    gap = lambda m: float(m.metadata.margin(quality.metadata_view("en", "clean", 50)) - m.metadata.margin(quality.metadata_view("en", "junk", 50)))
+    assert abs(gap(before)) < 1e-6 and gap(after) > 0.3
+
+
 # --- 7 ---
 
 
@@ -321,10 +493,20 @@ def test_shards_of_a_frequent_anchor(spark):
     r = random.Random(8)
     words = [r.getrandbits(64) for _ in range(30)]
     passages = [(1, p, p, [r.getrandbits(64) for _ in range(r.randint(0, 9))] + words[r.randint(0, 9) : r.randint(15, 30)]) for p in range(40)]
-    df = spark.createDataFrame([(a, p, d, bytearray(np.array(w, dtype=np.uint64).tobytes())) for a, p, d, w in passages], "anchor long, passage long, doc_id long, words binary")
-    windows = lambda most: {(x.passage, x.shift + i) for x in substrings.matched_windows(df, 5, most=most).collect() for i in range(x["count"])}
-    expected = {(p, i) for _, p, d, w in passages for i in range(len(w) - 4) if any(d2 < d and w[i : i + 5] in [v[j : j + 5] for j in range(len(v) - 4)] for _, _, d2, v in passages)}
-    assert windows(1000) == windows(6) == expected
+    df = spark.createDataFrame([(a, p, d, d % 2 == 0, bytearray(np.array(w, dtype=np.uint64).tobytes())) for a, p, d, w in passages], "anchor long, passage long, doc_id long, copies boolean, words binary")
+    found = lambda most: {(x.passage, x.shift + i, x.least) for x in substrings.matched_windows(df, 5, most=most).collect() for i in range(x["count"])}
+    windows = {(p, i): any(d2 < d and w[i : i + 5] in [v[j : j + 5] for j in range(len(v) - 4)] for _, _, d2, v in passages) for _, p, d, w in passages for i in range(len(w) - 4)}
+    expected = {(p, i, None) for (p, i), known in windows.items() if known} | {(p, i, p) for (p, i), known in windows.items() if not known and p % 2 == 0}
+    assert found(1000) == found(6) == expected
+    # an anchor's windows meet in shards by their words: none is sent to more than one
+    assert substrings.shards(df, 5, 6).count() == len(windows)
+
+
+def test_rows_that_share_an_id_are_cut_each_for_itself(spark):
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows = [(1, "x " + passage), (2, passage + " tail"), (2, "other " * 3), (2, "y z " + passage), (2, passage + " tail"), (3, None)]
+    found = sorted((r.doc_id, r.n_removed, r.kept, r.mark) for r in substrings.strip_repeats(spark.createDataFrame([(*x, 5) for x in rows], "doc_id long, text string, mark int"), size=7, keep=("mark",)).collect())
+    assert found == [(1, 0, "x " + passage, 5), (2, 0, "other other other", 5), (2, 12, "tail", 5), (2, 12, "tail", 5), (2, 12, "y z", 5), (3, 0, "", 5)]
 
 
 def test_anchors_of_a_text_too_long_for_packed_places():
@@ -421,39 +603,53 @@ def test_neighbours_of_ties_and_odd_vectors(spark):
     assert hilbert.nearest(three, three, k=7).count() == 6
 
 
-def test_recall_with_many_blocks(spark):
-    r = np.random.default_rng(4)
-    centres = r.normal(size=(30, 24))
-    x = [(i, [float(v) for v in centres[i % 30] + 0.25 * r.normal(size=24)]) for i in range(3000)]
-    df = spark.createDataFrame(x, "vec_id long, embedding array<double>")
-    expected = brute_nearest(x, {i for i in range(0, 3000, 100)}, 10)
+def recall_of(spark, vectors, every, k, **options):
+    """Recall@k against brute force, and the mean share of the table that a query's blocks hold."""
+    x = np.array(vectors)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
     found = defaultdict(set)
-    for row in hilbert.nearest(df, df.where("vec_id % 100 = 0"), k=10, block_rows=200).collect():
+    for row in hilbert.nearest(df, df.where(f"vec_id % {every} = 0"), k=k, **options).collect():
         found[row.query_id].add(row.vec_id)
-    assert sum(len(found[q] & {i for i, _ in e}) for q, e in expected.items()) >= 0.9 * 10 * len(expected)
+    hits = 0
+    for q in range(0, len(x), every):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-s)[:k].tolist()))
+    return hits / (k * len(range(0, len(x), every)))
 
 
-@pytest.mark.parametrize("blocks", [12, 30])
-def test_recall_on_uniform_vectors_of_many_blocks(spark, blocks):
-    x = np.random.default_rng(5).normal(size=(6000, 64))
+def test_recall_with_many_blocks(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(30, 24))
+    chosen = []
+    cheapest = hilbert.cheapest
+    monkeypatch.setattr(hilbert, "cheapest", lambda *a, **k: chosen.append(cheapest(*a, **k)) or chosen[-1])
+    assert recall_of(spark, [centres[i % 30] + 0.25 * r.normal(size=24) for i in range(3000)], 100, 10, least_rows=50) >= 0.9
+    # windows of some hundredths of the order are enough where there are clusters
+    assert chosen[0][1] < 0.15
+
+
+@pytest.mark.parametrize("least_rows", [200, 512])
+def test_recall_on_uniform_vectors_of_many_blocks(spark, least_rows):
+    x = np.random.default_rng(5).normal(size=(12_000, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    hits, found = 0, defaultdict(set)
-    for row in hilbert.nearest(df, df.where("vec_id % 100 = 0"), k=20, block_rows=6000 // blocks).collect():
-        found[row.query_id].add(row.vec_id)
-    for q in range(0, 6000, 100):
-        s = x @ x[q]
-        s[q] = -2
-        hits += len(found[q] & set(np.argsort(-s)[:20].tolist()))
-    assert hits >= 0.9 * 20 * 60
+    assert recall_of(spark, x, 100, 20, least_rows=least_rows) >= 0.9
 
 
-def test_reach_grows_with_what_is_missed():
-    needed = np.array([0] * 90 + [2] * 8 + [30] * 2)
-    assert hilbert.least_reach(needed, 6, 100, 1, 0.9) == 1
-    assert hilbert.least_reach(needed, 6, 100, 1, 0.95) == 2
-    assert hilbert.least_reach(needed, 6, 100, 1, 0.99) is None
-    assert hilbert.least_reach(needed, 6, 18, 1, 0.5) is None
+def test_recall_in_one_crowded_cell(spark):
+    r = np.random.default_rng(6)
+    x = np.ones(16) + 1e-3 * r.normal(size=(4000, 16))
+    x[::100] = r.normal(size=(40, 16))
+    assert recall_of(spark, x, 50, 10, least_rows=100, most_rows=200) >= 0.9
+
+
+def test_windows_grow_with_what_is_missed():
+    apart = np.array([[0.01] * 90 + [0.3] * 10, [0.3] * 90 + [0.02] * 10])
+    assert hilbert.cheapest(apart, (1, 2), 10**6, 10**5, 0.9) == (2, 0.02)
+    assert hilbert.cheapest(apart, (1,), 10**6, 10**5, 0.8) == (1, 0.01)
+    assert hilbert.cheapest(apart, (1,), 10**6, 10**5, 0.95) == (1, 0.3)
+    # with few queries, dealing the vectors to another curve costs more than it saves
+    assert hilbert.cheapest(apart, (1, 2), 10**6, 10, 0.95)[0] == 1
 
 
 def test_hilbert_order_steps_by_one_cell():
@@ -474,29 +670,34 @@ def test_shortages_go_to_siblings_first():
     assert mixing.leaf_budgets({}, 5, 1, even) == {}
 
 
-@pytest.mark.parametrize(("share", "epochs", "slice_rows"), [(0.6, 2, 7), (0.3, 1, 1000), (1.7, 3, 3)])
-def test_selection_is_the_prefix_of_seeded_epochs(spark, share, epochs, slice_rows):
-    r = random.Random(7)
-    rows = [(i, " ".join("w" for _ in range(r.randint(0, 40))), r.choice(["en", "de", None]), r.choice(["s0", "s1", "s1", "s1", "s2", None])) for i in range(300)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
-    found = Counter((x.doc_id, x.epoch) for x in mixing.mix(df, domain=mixing.numbered_domain(F.col("source")), share=share, max_epochs=epochs, slice_rows=slice_rows, seed=5).collect())
-    order = {(x.doc_id, e): x[f"e{e}"] for x in df.select("doc_id", *(F.xxhash64(F.lit(5), F.lit(e).cast("long"), "doc_id").alias(f"e{e}") for e in range(4))).collect() for e in range(4)}
-    leaves, domain = defaultdict(list), lambda s: "other" if s is None else f"domain{int(s[1:]) % 4}"
-    for k, t, lang, source in rows:
-        leaves[domain(source), lang, source].append((k, len(t.split())))
+def brute_mix(df, share, epochs, seed):
+    """(doc_id, epoch) of what mixing takes: each leaf's whole epochs and the prefix of one more."""
+    rows = df.select("doc_id", "text", "lang", "source", *(F.xxhash64(F.lit(seed), F.lit(e).cast("long"), "doc_id").alias(f"e{e}") for e in range(epochs + 1))).collect()
+    leaves, domain = defaultdict(list), lambda s: "other" if s is None else f"domain{int(re.search('[0-9]+$', s)[0]) % 4}"
+    for x in rows:
+        leaves[domain(x.source), x.lang, x.source].append((x, len(re.findall(r"[^\x20\x09-\x0D]+", x.text or ""))))
     tokens = {leaf: sum(n for _, n in x) for leaf, x in leaves.items()}
     budgets = mixing.leaf_budgets(tokens, int(share * sum(tokens.values())), epochs, mixing.root_weight)
     expected = Counter()
     for leaf, members in leaves.items():
-        whole, rest = divmod(budgets[leaf], tokens[leaf])
-        expected.update((k, e) for k, _ in members for e in range(whole))
+        whole, rest = divmod(budgets[leaf], tokens[leaf]) if tokens[leaf] else (0, 0)
+        expected.update((x.doc_id, e) for x, _ in members for e in range(whole))
         run = 0
-        for k, n in sorted(members, key=lambda m: order[m[0], whole] % 2**64):
+        for x, n in sorted(members, key=lambda m: m[0][f"e{whole}"] % 2**64):
             run += n
             if run > rest or not rest:
                 break
-            expected[k, whole] += 1
-    assert found == expected
+            expected[x.doc_id, whole] += 1
+    return expected
+
+
+@pytest.mark.parametrize(("share", "epochs", "slice_rows"), [(0.6, 2, 7), (0.3, 1, 1000), (1.7, 3, 3)])
+def test_selection_is_the_prefix_of_seeded_epochs(spark, share, epochs, slice_rows):
+    r = random.Random(7)
+    rows = [(i, " ".join("w" for _ in range(r.randint(0, 40))), r.choice(["en", "de", None]), r.choice(["s0", "s1", "s1", "s1", "s2", None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    found = Counter((x.doc_id, x.epoch) for x in mixing.mix(df, domain=mixing.numbered_domain(F.col("source")), share=share, max_epochs=epochs, slice_rows=slice_rows, seed=5).collect())
+    assert found == brute_mix(df, share, epochs, 5)
 
 
 def test_mixing_of_odd_rows(odd, empty):
