@@ -1,7 +1,10 @@
 """The corpus pipeline: each stage reads what its predecessor wrote.
 
-Every stage but the last returns the columns of ``documents``. Rows with a null
-doc_id have no place in it and leave at the join.
+Every stage but the last returns the columns of ``documents``; other columns are not
+read. Rows with a null doc_id have no place in it and leave at the join. A document is
+its doc_id: rows that repeat one stay or go together, each with its own text, and are
+neither multiplied nor merged. Null texts, languages and sources are let through as far as
+the classifier accepts them. Empty tables pass all stages and give no rows.
 """
 
 from __future__ import annotations
@@ -30,12 +33,13 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Substring dedup: repeated passages leave the text; a document of which nothing is left goes."""
-    kept = substrings.strip_repeats(docs).where("n_removed > 0")
-    kept = cut(kept.select("doc_id", F.col("kept").alias("_kept")))
-    joined = docs.select(*COLUMNS).join(kept, "doc_id", "left").where("_kept is null or _kept <> ''")
-    text = F.coalesce("_kept", "text")
-    return joined.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.char_length("_kept").cast("long")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+    """Substring dedup: repeated passages leave the text; a document of which nothing is left goes.
+
+    Rows with one doc_id are cut each for itself.
+    """
+    kept = substrings.strip_repeats(docs, untouched=True, keep=("lang", "source", "n_chars")).where("n_removed = 0 or kept <> ''")
+    n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("kept").cast("long"))
+    return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", n_chars.cast(docs.schema["n_chars"].dataType).alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
