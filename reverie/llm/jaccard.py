@@ -3,16 +3,18 @@
 Sets are put into bands by size, each band's upper end 1.25 times its lower one
 (the inverse of the similarity), so that similar sets are in one band or in
 neighbouring ones. For a band, sets that reach the similarity differ in at most
-H elements. The universe is hashed into H + 1 + g segments: at least g + 1
-segments of such a pair are equal. A set's entries in the index are the hashes of its
+H elements. The universe is hashed into H + 1 + g segments. A set's entries in the index are the hashes of its
 segments, for its own band and for the next.
 
-Allocation by cost: an entry is dear if very many sets share it, as those of
-segments without elements and of frequent passages. Of its g + 1 sure matches a
-pair can spare g, so a set that has at most g dear entries leaves all of them out.
-A set with more keeps them all. For any linked pair, either one of the two has at
-most g dear entries, and then a cheap entry is left that both have, or both
-have kept theirs.
+Allocation by cost. A set gives each segment 0 (left out), 1 (found if the other set's segment is equal) or 2
+(found if it differs by one element at most), H + 1 in all: then some segment of a linked pair differs
+by less than it was given. An entry is dear if many sets share it, as those of frequent passages; segments without
+elements are dear as well. A set starts with 1 for each segment that is not dear. At most g dear ones
+leave it with H + 1. With more, it is short, and raises as many of its segments to 2 as it lacks: those
+whose one-deletion neighbourhoods (the segment without one of its elements, or one element more on the other side) promise the
+fewest sets, as counted in sketches of fixed size. A linked pair of which one set is not short is found by an equal segment of that
+one; so only short sets have their neighbourhoods indexed. A set that cannot make up H + 1 this way
+keeps its dear entries.
 
 Each entry's group of sets is compared with its smallest member first, with
 exact intersections. What is linked to it needs no further comparison; the other
@@ -20,7 +22,8 @@ pairs of a group are compared where the members are not connected yet. Before an
 exact comparison, a parity bitmap of a few bits an element rules pairs out:
 the number of its differing bits never exceeds the number of differing elements.
 
-Equal sets are one class throughout; shingles are compared by 64-bit hashes.
+Equal sets are one class throughout, named by a hash of the set until pairs are compared, so that copies count
+once; shingles are compared by 64-bit hashes.
 
 Defined results: a null, empty or wordless text has an empty set and links with
 nothing, its component is its own doc_id. Rows with a null doc_id are left out.
@@ -38,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reverie.llm.common import WordHasher, cut, drop_table, map_arrow, mix64, table, window_hashes
+from reverie.llm.common import WordHasher, cut, drop_table, map_arrow, mix64, only_slots, slot_of, slots_used, table, window_hashes
 from reverie.llm.components import components
 
 SIZE = 5
@@ -74,8 +77,11 @@ def bands() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(lows), np.array(segments), np.array(spare)
 
 
-def segments_of(sets: list[np.ndarray], up: int, keys: bool = True) -> tuple[np.ndarray, ...]:
-    """For the own band (up 0) or the next (1): key (if asked for), owner and emptiness of each segment, and the sets' bands."""
+def segments_of(sets: list[np.ndarray], up: int, keys: bool = True, deletions: bool = False) -> tuple[np.ndarray, ...]:
+    """For the own band (up 0) or the next (1): key (if asked for), owner and emptiness of each segment, the sets' bands and whether they use it.
+
+    With ``deletions``, these follow: of each element, its segment's place and the key of that segment without it.
+    """
     lows, segments, _ = bands()
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     band = np.searchsorted(lows, sizes, side="right") - 1 + up
@@ -96,7 +102,10 @@ def segments_of(sets: list[np.ndarray], up: int, keys: bool = True) -> tuple[np.
         total = np.zeros(starts[-1], dtype=np.uint64)
         np.add.at(total, at, mix64(spread))
         segment = (np.arange(starts[-1]) - starts[owner]).astype(np.uint64)
-        key = mix64(total + segment * np.uint64(0x9E3779B97F4A7C15) + band[owner].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        salt = segment * np.uint64(0x9E3779B97F4A7C15) + band[owner].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        key = mix64(total + salt)
+        if deletions:
+            return key, owner, empty, band, use, at, mix64(total[at] - mix64(spread) + salt[at])
     return key, owner, empty, band, use
 
 
@@ -121,6 +130,12 @@ def slack_of(sets: list[np.ndarray]) -> np.ndarray:
     return slack
 
 
+def set_name(s: np.ndarray) -> int:
+    """A 64-bit hash of a whole set."""
+    with np.errstate(over="ignore"):
+        return int((mix64(s + np.uint64(1)).sum(dtype=np.uint64) ^ mix64(np.array([len(s)], dtype=np.uint64))[0]).view(np.int64))
+
+
 def bitmap(elements: np.ndarray) -> bytes:
     """Parities of the elements by the low bits of their hashes: a power of two of bits, two to four an element."""
     bits = max(64, 2 << max(0, int(len(elements) - 1).bit_length()))
@@ -176,94 +191,222 @@ def describe(docs: DataFrame) -> DataFrame:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in chunks(ids, texts):
                 sets = [shingles(hasher, t) for t in texts[a:b]]
-                with np.errstate(over="ignore"):
-                    whole = [int(mix64(s + np.uint64(1)).sum(dtype=np.uint64) ^ mix64(np.array([len(s)], dtype=np.uint64))[0]) for s in sets]
                 slack = slack_of(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array(whole, dtype=np.uint64).view(np.int64)), pa.array(slack), pa.array([bitmap(s) for s in sets], pa.binary())],
+                    [ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_name(s) for s in sets], pa.int64()), pa.array(slack), pa.array([bitmap(s) for s in sets], pa.binary())],
                     names=["doc_id", "n", "h", "slack", "bits"],
                 )
 
     return map_arrow(docs, run, "doc_id long, n long, h long, slack long, bits binary")
 
 
+def dealt(key: np.ndarray, value: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """``p, entries``: packed (key, value), one row for each bucket of keys."""
+    p = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
+    order = np.argsort(p.astype(np.uint16) if buckets < 1 << 16 else p, kind="stable")
+    key, value, p = key[order], value[order], p[order]
+    cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.empty(0, dtype=np.int64)
+    ends = np.r_[cuts[1:], len(p)]
+    packed = [key[i:j].tobytes() + value[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)]
+    for i in range(0, len(cuts), 2000):
+        yield pa.RecordBatch.from_arrays([pa.array(p[cuts[i : i + 2000]].astype(np.int32)), pa.array(packed[i : i + 2000], pa.binary())], names=["p", "entries"])
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of a task's packed entries, in the order of keys."""
+    keys, values = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
+    for batch in batches:
+        for packed in batch.column(1).to_pylist():
+            half = len(packed) // 2
+            keys.append(np.frombuffer(packed, dtype=np.uint64, count=half // 8))
+            values.append(np.frombuffer(packed, dtype=np.int64, offset=half))
+    key, value = np.concatenate(keys), np.concatenate(values)
+    order = np.argsort(key, kind="stable")
+    return key[order], value[order]
+
+
 def index(docs: DataFrame, buckets: int) -> DataFrame:
-    """``p, entries``: packed (key, doc_id) of all sets, dealt to ``buckets`` by key. Equal sets of a chunk count once."""
+    """``p, entries``: packed (key, name of the set) of all sets, dealt to ``buckets`` by key. Equal sets of a chunk count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in chunks(ids, texts):
-                first: dict[bytes, tuple[int, np.ndarray]] = {}
-                for k, t in zip(ids[a:b], texts[a:b], strict=True):
-                    s = shingles(hasher, t)
-                    if len(s):
-                        # the hash of 64-bit hashes identifies a set; the least doc_id speaks for it
-                        name = s.tobytes() if len(s) < 8 else mix64(s).sum(dtype=np.uint64).tobytes() + len(s).to_bytes(8, "little")
-                        if name not in first or k < first[name][0]:
-                            first[name] = (k, s)
-                if not first:
-                    continue
-                doc = np.array([k for k, _ in first.values()], dtype=np.int64)
-                key, owner = allocate([s for _, s in first.values()])
-                p = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
-                order = np.argsort(p.astype(np.uint16) if buckets < 1 << 16 else p, kind="stable")
-                key, doc_of, p = key[order], doc[owner[order]], p[order]
-                cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.empty(0, dtype=np.int64)
-                ends = np.r_[cuts[1:], len(p)]
-                packed = [key[i:j].tobytes() + doc_of[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)]
-                for i in range(0, len(cuts), 2000):
-                    yield pa.RecordBatch.from_arrays([pa.array(p[cuts[i : i + 2000]].astype(np.int32)), pa.array(packed[i : i + 2000], pa.binary())], names=["p", "entries"])
+                found = {set_name(s): s for s in (shingles(hasher, t) for t in texts[a:b]) if len(s)}
+                if found:
+                    key, owner = allocate(list(found.values()))
+                    yield from dealt(key, np.array(list(found), dtype=np.int64)[owner], buckets)
 
     return map_arrow(docs, run, "p int, entries binary")
 
 
+def listed(rows: list[tuple[int, np.ndarray, bool]]) -> pa.RecordBatch:
+    """``gid, h, dear`` of groups (name, members, dear)."""
+    sizes = [len(who) for _, who, _ in rows]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.repeat(np.array([g for g, _, _ in rows], dtype=np.uint64), sizes).view(np.int64)), pa.array(np.concatenate([who for _, who, _ in rows])), pa.array(np.repeat([d for _, _, d in rows], sizes))],
+        names=["gid", "h", "dear"],
+    )
+
+
+def name_of(members: np.ndarray) -> int:
+    with np.errstate(over="ignore"):
+        return int(mix64(members.view(np.uint64) * np.uint64(2 * len(members) + 1)).sum(dtype=np.uint64))
+
+
 def groups(entries: DataFrame, dear_from: int) -> DataFrame:
-    """``gid, doc_id, dear``: members of every entry that at least two sets have.
+    """``gid, h, dear``: members of every entry that at least two sets have.
 
     Cheap entries with the same members are one group. An entry that more than
-    ``dear_from`` sets have is dear.
+    ``dear_from`` sets have is dear, and its gid is its key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs = [], []
-        for batch in batches:
-            for packed in batch.column(1).to_pylist():
-                half = len(packed) // 2
-                keys.append(np.frombuffer(packed, dtype=np.uint64, count=half // 8))
-                docs.append(np.frombuffer(packed, dtype=np.int64, offset=half))
-        if not keys:
-            return
-        key, doc = np.concatenate(keys), np.concatenate(docs)
-        del keys, docs
-        order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        key, name = gathered(batches)
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
         size = np.diff(np.r_[start, len(key)])
-        del order
         known: set[int] = set()
-        gid, member, dear = [], [], []
+        out = []
         for i, n in zip(start[size > 1], size[size > 1], strict=True):
-            who = np.unique(doc[i : i + n])
+            who = np.unique(name[i : i + n])
             if len(who) < 2:
                 continue
             costly = len(who) > dear_from
-            name = int(key[i]) if costly else int.from_bytes(mix64(who.view(np.uint64) * np.uint64(2 * len(who) + 1)).sum(dtype=np.uint64).tobytes(), "little")
+            gid = int(key[i]) if costly else name_of(who)
             if not costly:
-                if name in known:
+                if gid in known:
+                    continue
+                known.add(gid)
+            out.append((gid, who, costly))
+            if len(out) >= 5000:
+                yield listed(out)
+                out = []
+        if out:
+            yield listed(out)
+
+    return map_arrow(entries, run, "gid long, h long, dear boolean")
+
+
+# --- one-deletion neighbourhoods of the short sets ---
+
+#: An entry's value is the name of its set without its lowest two bits, and what it is there for.
+WHOLE, WITHOUT, SEEKS_WHOLE, SEEKS_WITHOUT = range(4)
+SKETCH = 1 << 17
+
+
+def sketch_slot(key: np.ndarray) -> np.ndarray:
+    return (mix64(key ^ np.uint64(0x51ED270B)) >> np.uint64(64 - 17)).astype(np.int64)
+
+
+def sketch_counts(short: DataFrame) -> np.ndarray:
+    """How many whole segments (first row) and segments without an element (second) of the short sets fall into each slot of their keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, counts = WordHasher(), np.zeros(2 * SKETCH, dtype=np.int64)
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for a, b in chunks(ids, texts):
+                sets = [shingles(hasher, t) for t in texts[a:b]]
+                for up in (0, 1):
+                    key, _, _, _, _, _, without = segments_of(sets, up, deletions=True)
+                    counts += np.bincount(sketch_slot(key), minlength=2 * SKETCH)
+                    counts += np.bincount(SKETCH + sketch_slot(without), minlength=2 * SKETCH)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["at", "n"])
+
+    out = np.zeros(2 * SKETCH, dtype=np.int64)
+    # at most 2 * SKETCH rows, whatever the number of sets
+    for r in map_arrow(short.select("doc_id", "text"), run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return out.reshape(2, SKETCH)
+
+
+def raised(key, owner, empty, at, without, spare: int, dear: np.ndarray, counts: np.ndarray) -> np.ndarray | None:
+    """Places of the segments of one set that get 2; None if that cannot make up for its dear ones."""
+    out = empty | np.isin(key, dear)
+    lacking = int(out.sum()) - spare
+    if lacking <= 0:
+        return np.empty(0, dtype=np.int64)
+    open_ = np.flatnonzero(~out)
+    if lacking > len(open_):
+        return None
+    cost = counts[1][sketch_slot(key)] + np.bincount(at, weights=counts[0][sketch_slot(without)], minlength=len(key))
+    return open_[np.argsort(cost[open_], kind="stable")[:lacking]]
+
+
+def neighbourhoods(short: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
+    """Index and probes of the short sets (doc_id, text, h, dear: their dear keys): packed (key, value) as in ``index``.
+
+    A set that cannot make up H + 1 has no probes and gets a row with p -1: its packed name.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            texts, names, dear = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for a, b in chunks(names, texts):
+                keys, values, hopeless = [], [], set()
+
+                def put(key: np.ndarray, name: int, what: int, keys=keys, values=values) -> None:
+                    keys.append(key)
+                    values.append(np.full(len(key), (name & ~3) | what, dtype=np.int64))
+
+                for text, name, costly in zip(texts[a:b], names[a:b], dear[a:b], strict=True):
+                    s = [shingles(hasher, text)]
+                    if set_name(s[0]) != name:
+                        continue  # another text of that doc_id
+                    costly = np.array(costly, dtype=np.int64).view(np.uint64)
+                    for up in (0, 1):
+                        key, owner, empty, band, use, at, without = segments_of(s, up, deletions=True)
+                        if not use[0]:
+                            continue
+                        put(key, name, WHOLE)
+                        put(without, name, WITHOUT)
+                        chosen = raised(key, owner, empty, at, without, int(bands()[2][band[0]]), costly, counts)
+                        if chosen is None:
+                            hopeless.add(name)
+                            continue
+                        put(key[chosen], name, SEEKS_WITHOUT)
+                        put(without[np.isin(at, chosen)], name, SEEKS_WHOLE)
+                if hopeless:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hopeless), -1, dtype=np.int32)), pa.array([np.int64(x).tobytes() for x in sorted(hopeless)], pa.binary())], names=["p", "entries"])
+                if keys:
+                    yield from dealt(np.concatenate(keys), np.concatenate(values), buckets)
+
+    return map_arrow(short.select("doc_id", "text", "h", "dear"), run, "p int, entries binary")
+
+
+def unpacked_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.int64))], names=["h"])
+
+
+def neighbour_groups(entries: DataFrame) -> DataFrame:
+    """``gid, h4``: of each key, the sets that seek it and those that have it, where there are such; h4 is h without its lowest two bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, value = gathered(batches)
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
+        size = np.diff(np.r_[start, len(key)])
+        known: set[int] = set()
+        out = []
+        for i, n in zip(start[size > 1], size[size > 1], strict=True):
+            what, name = value[i : i + n] & 3, value[i : i + n] & ~np.int64(3)
+            for has, seeks in ((WHOLE, SEEKS_WHOLE), (WITHOUT, SEEKS_WITHOUT)):
+                if not (what == seeks).any() or not (what == has).any():
                     continue
-                known.add(name)
-            gid.append(np.full(len(who), name, dtype=np.uint64).view(np.int64))
-            member.append(who)
-            dear.append(np.full(len(who), costly))
-            if len(gid) >= 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (gid, member, dear)], names=["gid", "doc_id", "dear"])
-                gid, member, dear = [], [], []
-        if gid:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (gid, member, dear)], names=["gid", "doc_id", "dear"])
+                who = np.unique(name[(what == seeks) | (what == has)])
+                if len(who) > 1 and (gid := name_of(who)) not in known:
+                    known.add(gid)
+                    out.append((gid, who, False))
+            if len(out) >= 5000:
+                yield listed(out)
+                out = []
+        if out:
+            yield listed(out)
 
-    return map_arrow(entries, run, "gid long, doc_id long, dear boolean")
+    return map_arrow(entries, run, "gid long, h long, dear boolean").select("gid", F.col("h").alias("h4"))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, slots: int = 1 << 20) -> DataFrame:
@@ -272,13 +415,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, slots: int = 1 << 20) -> DataFra
     A bitset of ``slots`` bits, whatever the number of wanted ids, spares most
     other rows the hashing; those that it lets through do no harm.
     """
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int")
-    bits = np.zeros(slots, dtype=bool)
-    bits[[r[0] for r in wanted.select(slot).distinct().collect()]] = True
-    bits = np.packbits(bits)
+    bits = slots_used(wanted, slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, use = WordHasher(), np.unpackbits(bits).view(bool)
+        hasher, use = WordHasher(), np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).view(bool)
         for batch in batches:
             at = np.flatnonzero(use[batch.column(2).to_numpy()])
             for part in np.array_split(at, max(1, len(at) // 200)):
@@ -286,7 +426,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, slots: int = 1 << 20) -> DataFra
                     rows = batch.take(pa.array(part))
                     yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([shingles(hasher, t).tobytes() for t in rows.column(1).to_pylist()], pa.binary())], names=["doc_id", "elements"])
 
-    return map_arrow(docs.select("doc_id", "text", slot.alias("slot")), run, "doc_id long, elements binary")
+    return map_arrow(docs.select("doc_id", "text", slot_of(slots).alias("slot")), run, "doc_id long, elements binary")
 
 
 def ruled_in(pairs: DataFrame, info: DataFrame) -> DataFrame:
@@ -410,15 +550,25 @@ def similar_classes(docs: DataFrame, *, dear_from: int = 32) -> tuple[DataFrame,
     spark = docs.sparkSession
     info = cut(describe(docs))
     least = info.where("n > 0").groupBy("h", "n").agg(F.min("doc_id").alias("rep"))
-    classes = cut(info.join(least, ["h", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), "slack"))
+    classes = cut(info.join(least, ["h", "n"], "left").select("doc_id", "n", "h", F.coalesce("rep", "doc_id").alias("rep"), "slack"))
+    reps = classes.where("n > 0 and doc_id = rep").groupBy("h").agg(F.min("rep").alias("rep"), F.min("slack").alias("slack"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = index(docs, 4 * partitions).repartition(partitions, "p")
     found = cut(groups(entries, dear_from))
-    # a set with too many dear entries keeps them; the others leave them out
+    cheap = found.where("not dear").select("gid", "h").join(reps, "h").select("gid", F.col("rep").alias("doc_id"))
+    # sets with more dear entries than they can spare
     dear = found.where("dear")
-    too_many = dear.groupBy("doc_id").count().join(classes, "doc_id").where("count > slack").select("doc_id")
-    kept = found.where("not dear").unionByName(dear.join(too_many, "doc_id", "left_semi"))
-    members = kept.select("gid", "doc_id").join(classes.select("doc_id", "rep"), "doc_id").select("gid", F.col("rep").alias("doc_id")).distinct()
+    lists = dear.groupBy("h").agg(F.collect_set("gid").alias("dear"))
+    short = lists.join(reps, "h").where("size(dear) > slack").select(F.col("rep").alias("doc_id"), "h", "dear")
+    short = cut(short)
+    texts = only_slots(docs, slots_used(short, 1 << 20), 1 << 20, True).join(short, "doc_id")
+    texts = cut(texts.select("doc_id", "text", "h", "dear"))
+    near = cut(neighbourhoods(texts, sketch_counts(texts), 4 * partitions))
+    by_h4 = short.select(F.col("h").bitwiseAND(F.lit(~3)).alias("h4"), "doc_id")
+    widened = neighbour_groups(near.where("p >= 0").repartition(partitions, "p")).join(by_h4, "h4").select("gid", "doc_id")
+    # those that neighbourhoods cannot serve keep their dear entries
+    hopeless = short.join(map_arrow(near.where("p < 0"), unpacked_names, "h long").distinct(), "h", "left_semi").select("doc_id", F.explode("dear").alias("gid"))
+    members = cut(cheap.unionByName(widened).unionByName(hopeless).distinct())
     heads = members.groupBy("gid").agg(F.min("doc_id").alias("head"), F.count("*").alias("size")).where("size > 1")
     members = cut(members.join(heads, "gid").select("gid", "doc_id", "head"))
     star = cut(ruled_in(members.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), info))
@@ -428,7 +578,7 @@ def similar_classes(docs: DataFrame, *, dear_from: int = 32) -> tuple[DataFrame,
     mixed = labelled.groupBy("gid").agg(F.min("component").alias("u"), F.max("component").alias("v")).where("u <> v").select("gid")
     rest = cut(open_pairs(labelled.join(mixed, "gid", "left_semi"), info).join(star, ["a", "b"], "left_anti"))
     more = verify(rest, docs)
-    for done in (info, found, members, star, rest):
+    for done in (info, found, short, texts, near, members, star, rest):
         drop_table(done)
     return classes.select("doc_id", "n", "rep"), links.unionByName(more)
 
@@ -452,4 +602,4 @@ def similarity_components(docs: DataFrame, **options) -> DataFrame:
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity_components(table(spark, sf_dir, "documents"))
+    return similarity_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

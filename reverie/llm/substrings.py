@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reverie.llm.common import WordHasher, cut, drop_table, map_arrow, mix64, rolling_hashes, table
+from reverie.llm.common import WordHasher, cut, map_arrow, mix64, only_slots, rolling_hashes, slots_used, table
 from reverie.llm.jaccard import chunks
 
 _PLACE = 24  # bits for a word's place in the packed minimum; longer texts hold hash and place apart
@@ -184,30 +184,6 @@ def shared_anchors(entries: DataFrame) -> DataFrame:
     return map_arrow(entries, run, "doc_id long, anchor long")
 
 
-def slot_of(slots: int):
-    return F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int")
-
-
-def slots_used(ids: DataFrame, slots: int) -> bytes:
-    """A bitset over hashes of ``ids`` (column doc_id): ``slots`` bits, however many ids there are."""
-    bits = np.zeros(slots, dtype=bool)
-    bits[[r[0] for r in ids.select(slot_of(slots)).distinct().collect()]] = True
-    return np.packbits(bits).tobytes()
-
-
-def only_slots(docs: DataFrame, bits: bytes, slots: int, inside: bool) -> DataFrame:
-    """The rows whose doc_id's slot is used, or not used."""
-    columns = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).view(bool)
-        for batch in batches:
-            yield batch.select(list(range(len(columns)))).filter(pa.array(use[batch.column(len(columns)).to_numpy()] == inside))
-
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return map_arrow(docs.select(*columns, slot_of(slots).alias("_slot")), run, kinds)
-
-
 def passages(docs: DataFrame, size: int) -> DataFrame:
     """From doc_id, tid (the text's hash), text and the anchors to follow up: a row for each passage, and rows with the words.
 

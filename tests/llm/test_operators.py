@@ -266,7 +266,7 @@ def brute_components(sets):
     return {k: find(k) for k in keys}
 
 
-@pytest.mark.parametrize(("seed", "dear"), [(1, 32), (2, 2), (3, 1)])
+@pytest.mark.parametrize(("seed", "dear"), [(1, 32), (2, 2), (3, 1), (4, 3)])
 def test_similarity_components_are_exact(spark, seed, dear):
     rows = invented(seed)
     sets = sets_of(rows)
@@ -274,6 +274,60 @@ def test_similarity_components_are_exact(spark, seed, dear):
     assert {k: (r.n_shingles, r.component_id) for k, r in found.items()} == {k: (len(sets[k]), c) for k, c in brute_components(sets).items()}
 
 
+def test_short_sets_find_each_other_through_one_deletion_neighbourhoods(spark):
+    """Every linked pair of sets with dear segments meets in a group, though no dear segment is a group."""
+    r = np.random.default_rng(14)
+    fresh = lambda n: r.integers(0, 2**63, n, dtype=np.uint64)
+    sets = []
+    for _ in range(12):
+        base = fresh(int(r.integers(30, 60)))
+        for _ in range(5):
+            sets.append(np.unique(np.concatenate([base[r.random(len(base)) > 0.06], fresh(int(r.integers(0, 4)))])))
+    links = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if jaccard.linked(sets[i], sets[j])}
+    entries, spare = [], jaccard.bands()[2]
+    counts, reached, unaided = np.zeros((2, jaccard.SKETCH), dtype=np.int64), set(), set()
+    where: dict[int, dict[str, set]] = defaultdict(lambda: defaultdict(set))
+    shares = 0
+    for i, s in enumerate(sets):
+        for up in (0, 1):
+            key, owner, empty, band, use, at, without = jaccard.segments_of([s], up, deletions=True)
+            if not use[0]:
+                continue
+            # a third of all segments are dear, by their keys
+            dear = key[key % np.uint64(3) == 0]
+            chosen = jaccard.raised(key, owner, empty, at, without, int(spare[band[0]]), dear, counts)
+            assert chosen is None or not set(key[chosen].tolist()) & set(dear.tolist())
+            shares += chosen is not None and len(chosen) > 0
+            for k in key.tolist():
+                where[k]["whole"].add(i)
+            for k in without.tolist():
+                where[k]["without"].add(i)
+            given = np.ones(len(key), dtype=int)
+            given[empty | np.isin(key, dear)] = 0
+            if chosen is None:
+                continue
+            given[chosen] = 2
+            assert given.sum() >= len(key) - spare[band[0]]
+            entries.append((i, key, given, at, without))
+    for i, key, given, at, without in entries:
+        for j in np.flatnonzero(given):
+            unaided |= {(min(i, o), max(i, o)) for o in where[int(key[j])]["whole"]}
+        for j in np.flatnonzero(given == 2):
+            seen = set(where[int(key[j])]["without"])
+            for k in without[at == j].tolist():
+                seen |= set(where[k]["whole"])
+            reached |= {(min(i, o), max(i, o)) for o in seen}
+    assert shares > 20 and len(links) > 40 and links <= reached | unaided
+    assert reached - unaided
+
+
+def test_neighbour_groups_join_seekers_and_holders(spark):
+    key = np.array([5, 5, 5, 9, 9, 7], dtype=np.uint64) << np.uint64(40)
+    value = np.array([4 | jaccard.WHOLE, 8 | jaccard.SEEKS_WHOLE, 12 | jaccard.WITHOUT, 4 | jaccard.WITHOUT, 8 | jaccard.WHOLE, 4 | jaccard.SEEKS_WHOLE], dtype=np.int64)
+    df = spark.createDataFrame([(0, bytearray(key.tobytes() + value.tobytes()))], "p int, entries binary")
+    assert sorted(x.h4 for x in jaccard.neighbour_groups(df).collect()) == [4, 8]
+
+
 def test_similarity_of_odd_rows(spark, odd, empty):
     found = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similarity_components(odd).collect()]
     assert Counter(found) == Counter([(0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 1, 4), (4, 1, 4), (5, 1, 5), (6, 1, 6), (7, 1, 7), (8, 1, 7)])
