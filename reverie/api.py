@@ -23,7 +23,8 @@ from reverie.operators import services as v
 from reverie.sources import tables as t
 
 SCHEMAS = {
-    "memory": "id long, key string, text string, importance double, created_at double, kind string, tags array<string>, embedding array<double>",
+    "memory": "id long, key string, text string, importance double, created_at double, kind string, tags array<string>, embedding array<double>, n_terms long",
+    "postings": "bucket int, term string, id long, f long",
     "forgotten": "id long, key string",
     "id_marks": "id long",
     "recalls": "id long, at double",
@@ -46,6 +47,9 @@ SCHEMAS = {
     "replay_overrides": "run_id string, trace_id string, at_idx int, action string, value string, seq long",
     "replay_outputs": "run_id string, trace_id string, idx int, output string, seq long",
     "replay_events": "run_id string, kind string, reason string, seq long",
+    "replay_traces": "run_id string, replay_trace_id string, seq long",
+    "summaries": "run_id string, n long, mean double, p50 double, p90 double, p99 double, lowest double, highest double, pass_rate double",
+    "kv": "key string, value string, seq long",
     "spend": "id string, tenant string, model string, prompt_name string, tokens_in long, tokens_out long, cost_usd double, input_text string, metadata string, recorded_at double, seq long",
     "budgets": "tenant string, period string, amount double, warn_pct double, deleted boolean, seq long",
     "documents": "uri string, content_type string, text string, seq long",
@@ -55,21 +59,64 @@ SCHEMAS = {
 }
 
 
+#: Tables that are rewritten together, by the name of their generation.
+GENERATIONS = {"memory": ("memory", "postings", "forgotten"), "sessions": ("sessions",), "tool_cache": ("tool_cache",), "idempotency": ("idempotency",)}
+_GROUP = {table: group for group, tables in GENERATIONS.items() for table in tables}
+
+
 class Store:
-    def __init__(self, spark: SparkSession, root: str, *, embedder: str = "hash:32", clock: Callable[[], float] = time.time) -> None:
+    """``retention`` (seconds) and ``cap`` (rows) are kept to after each write; ``auto_compact`` rewrites the memory when enough of it is removed."""
+
+    def __init__(self, spark: SparkSession, root: str, *, embedder: str = "hash:32", clock: Callable[[], float] = time.time, retention: float | None = None, cap: int | None = None, half_life: float = m.HALF_LIFE, auto_compact: bool = True) -> None:
         self.spark, self.root, self.spec, self.clock = spark, root.rstrip("/"), embedder, clock
+        self.retention, self.cap, self.half_life, self.auto_compact = retention, cap, half_life, auto_compact
         r.embedder(embedder)
+        self.dim = int(embedder.partition(":")[2])
         self._last = 0
 
     # --- tables ---
 
+    def _generation(self, group: str) -> int:
+        """How often a group of tables was rewritten: the last of its marks, which are empty files."""
+        where, fs = t._files(self.spark, f"{self.root}/generations")
+        if not fs.exists(where):
+            return 0
+        names = [str(x.getPath().getName()) for x in fs.listStatus(where)]
+        return max((int(n.rpartition(".")[2]) for n in names if n.startswith(group + ".")), default=0)
+
+    def _folder(self, name: str, generation: int | None = None) -> str:
+        if name not in _GROUP:
+            return f"{self.root}/{name}"
+        generation = self._generation(_GROUP[name]) if generation is None else generation
+        return f"{self.root}/{name}-{generation}" if generation else f"{self.root}/{name}"
+
+    def _rewrite(self, group: str, fresh: Mapping[str, DataFrame]) -> None:
+        """Puts new contents in the place of a group's tables; those that are not given become empty.
+
+        They are written to new folders first. One new file is the switch, so that a crash
+        leaves either the old tables or the new ones; what is left over is removed by the next rewrite.
+        """
+        before = self._generation(group)
+        for name in GENERATIONS[group]:
+            where, fs = t._files(self.spark, self._folder(name, before + 1))
+            fs.delete(where, True)
+        for name, rows in fresh.items():
+            self._save(name, rows, self._folder(name, before + 1))
+        where, fs = t._files(self.spark, f"{self.root}/generations/{group}.{before + 1:09d}")
+        fs.mkdirs(where.getParent())
+        fs.createNewFile(where)
+        for name in GENERATIONS[group]:
+            fs.delete(t._files(self.spark, self._folder(name, before))[0], True)
+
     def read(self, name: str) -> DataFrame:
-        where, fs = t._files(self.spark, f"{self.root}/{name}")
+        where, fs = t._files(self.spark, self._folder(name))
         return self.spark.read.schema(SCHEMAS[name]).parquet(str(where)) if fs.exists(where) else self.spark.createDataFrame([], SCHEMAS[name])
 
+    def _save(self, name: str, df: DataFrame, path: str) -> None:
+        t.append(df, path, ["bucket"] if name == "postings" else None)
+
     def _write(self, name: str, rows: Iterable[tuple] | DataFrame) -> None:
-        df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(list(rows), SCHEMAS[name])
-        t.append(df, f"{self.root}/{name}")
+        self._save(name, rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(list(rows), SCHEMAS[name]), self._folder(name))
 
     def _seq(self) -> int:
         self._last = max(self._last + 1, time.time_ns())
@@ -94,22 +141,45 @@ class Store:
         """The largest id ever given; compaction leaves a mark of it."""
         return self.read("memory").select("id").union(self.read("id_marks")).agg(F.max("id")).first()[0] or 0
 
-    def remember(self, key: str, text: str, *, importance: float = 1.0, kind: str | None = None, tags: Iterable[str] = ()) -> int:
-        return self.remember_batch([(key, text)], importance=importance, kind=kind, tags=tags)[0]
+    def remember(self, key: str, text: str, *, importance: float = 1.0, kind: str | None = None, tags: Iterable[str] = (), embedding: list[float] | None = None) -> int:
+        return self.remember_batch([(key, text)], importance=importance, kind=kind, tags=tags, embeddings=None if embedding is None else [embedding])[0]
 
-    def remember_batch(self, items: Iterable[tuple[str, str]], *, importance: float = 1.0, kind: str | None = None, tags: Iterable[str] = ()) -> list[int]:
+    def remember_batch(self, items: Iterable[tuple[str, str]], *, importance: float = 1.0, kind: str | None = None, tags: Iterable[str] = (), embeddings: list[list[float]] | None = None) -> list[int]:
+        """The ids given. Vectors are the embedder's unless they are given, with its dimension."""
         items, tags, now = list(items), list(tags), self.clock()
+        vectors = [self._vector(x) for _, x in items] if embeddings is None else [list(map(float, v)) for v in embeddings]
+        if len(vectors) != len(items) or any(len(v) != self.dim for v in vectors):
+            raise ValueError(f"each item needs a vector of {self.dim} components")
+        if not items:
+            return []
         last = self._last_id()
         ids = list(range(last + 1, last + 1 + len(items)))
-        self._write("memory", [(i, k, x, float(importance), float(now), kind, tags, self._vector(x)) for i, (k, x) in zip(ids, items, strict=True)])
+        rows = self.spark.createDataFrame([(i, k, x, float(importance), float(now), kind, tags, v) for i, (k, x), v in zip(ids, items, vectors, strict=True)], SCHEMAS["memory"].rpartition(",")[0])
+        self._remember(rows)
         self._write("changes", [("memory", k, str(i), "insert", now) for i, (k, _) in zip(ids, items, strict=True)])
+        self._maintain()
         return ids
 
     def remember_frame(self, batch: DataFrame, order: str) -> None:
         """A bulk write of ``key, text`` (and importance, kind, tags) with ids in the order of a column."""
-        last = self._last_id()
-        rows = m.remember(last, batch, F.col(order), self.clock())
-        self._write("memory", rows.withColumn("embedding", r.embedder(self.spec)[0](F.col("text"))))
+        rows = m.remember(self._last_id(), batch, F.col(order), self.clock())
+        self._remember(rows.withColumn("embedding", r.embedder(self.spec)[0](F.col("text"))))
+        self._maintain()
+
+    def _remember(self, rows: DataFrame) -> None:
+        """Terms first: postings without a row are never seen, a row without postings would not be found."""
+        rows = rows.withColumn("n_terms", r.term_total(F.col("text")))
+        self._write("postings", r.text_index(rows))
+        self._write("memory", rows)
+
+    def _maintain(self) -> None:
+        """What a write is followed by: retention, then the cap, then compaction if enough is removed."""
+        if self.retention is not None:
+            self.forget_older(self.retention)
+        if self.cap is not None and self.memory().count() > self.cap:
+            self.evict(self.cap, self.half_life)
+        if self.auto_compact and not self.read("forgotten").isEmpty() and self.tombstones().first()["compact"]:
+            self.compact()
 
     def remember_idempotent(self, idem_key: str, key: str, text: str, ttl: float = m.IDEMPOTENCY_SECONDS) -> int:
         now = self.clock()
@@ -122,14 +192,15 @@ class Store:
 
     def recall(self, query: str, *, k: int = 10, key: str | None = None, filter_json: str | None = None, reinforce: bool = True) -> DataFrame:
         given = v.within(v.filter_arguments(filter_json), self.clock()) if filter_json else {}
+        given = {name: given[name] for name in given if name in ("kind", "tags_any", "min_created", "max_created")}
         condition = r.recall_filter(**given) if given else None
-        hits = self.spark.createDataFrame(m.recall(self.memory(), query, k=k, key=key, filtered=condition, spec=self.spec, vec_col="embedding").collect(), f"{SCHEMAS['memory']}, score double")
+        hits = self.spark.createDataFrame(m.recall(self.memory(), query, k=k, key=key, filtered=condition, spec=self.spec, vec_col="embedding", index=self.read("postings")).collect(), f"{SCHEMAS['memory']}, score double")
         if reinforce:
             self._write("recalls", m.reinforcement(hits, self.clock()))
         return r.top(hits, k)
 
     def recall_decayed(self, query: str, half_life: float, k: int = 10) -> DataFrame:
-        return m.recall_decayed(self.memory(), query, self.clock(), half_life, k=k, spec=self.spec, vec_col="embedding")
+        return m.recall_decayed(self.memory(), query, self.clock(), half_life, k=k, spec=self.spec, vec_col="embedding", index=self.read("postings"))
 
     def scan(self, after: int = 0, count: int = 10) -> DataFrame:
         return m.scan(self.memory(), after, count)
@@ -158,19 +229,48 @@ class Store:
         return m.tombstone_ratio(self.read("memory"), self.read("forgotten"))
 
     def compact(self) -> int:
-        """Rewrites the memory without removed rows into a new folder, then swaps it in; returns how many were reclaimed."""
+        """Rewrites the memory and its text index without removed rows; returns how many were reclaimed."""
         state = self.tombstones().first()
         if state["indexed"] == state["live"]:
             return 0
         self._write("id_marks", [(self._last_id(),)])
-        fresh = f"{self.root}/memory-{uuid.uuid4().hex}"
-        t.compact(self.read("memory"), self.read("forgotten"), fresh)
-        here, fs = t._files(self.spark, f"{self.root}/memory")
-        fs.delete(here, True)
-        fs.rename(t._files(self.spark, fresh)[0], here)
-        fs.delete(t._files(self.spark, f"{self.root}/forgotten")[0], True)
+        rows = self.memory()
+        self._rewrite("memory", {"memory": rows, "postings": self.read("postings").join(rows.select("id"), "id", "left_semi").select("bucket", "term", "id", "f")})
         return state["indexed"] - state["live"]
 
+    def purge_idempotency(self, ttl: float = m.IDEMPOTENCY_SECONDS) -> int:
+        """Forgets keys whose time is over; returns how many rows went."""
+        return self._purge("idempotency", F.lit(self.clock()) - F.col("at") >= ttl)
+
+    def _purge(self, name: str, gone) -> int:
+        rows = self.read(name)
+        n = rows.where(gone).count()
+        if n:
+            self._rewrite(name, {name: rows.where(~gone)})
+        return n
+
+    # --- key-value ---
+
+    def kv_put(self, key: str, value: str) -> None:
+        self._write("kv", [(key, value, self._seq())])
+
+    def kv_batch(self, changes: Mapping[str, str | None]) -> None:
+        """Puts and, for null values, deletions in one commit."""
+        self._write("kv", [(k, x, self._seq()) for k, x in changes.items()])
+
+    def kv_get(self, key: str) -> str | None:
+        row = v.current_values(self.read("kv").where(F.col("key") == key)).first()
+        return row and row["value"]
+
+    def kv_delete(self, key: str) -> None:
+        self._write("kv", [(key, None, self._seq())])
+
+    def kv_scan(self, prefix: str = "", limit: int | None = None) -> DataFrame:
+        return v.scan_prefix(v.current_values(self.read("kv")), prefix, limit)
+
+    def kv_count(self) -> int:
+        return v.current_values(self.read("kv")).count()
+
     # --- sessions and tool cache ---
 
     def session_set(self, session_id: str, data: str | None, ttl: float = 3600) -> None:
@@ -187,6 +287,25 @@ class Store:
     def session_delete(self, session_id: str) -> None:
         self.session_set(session_id, None)
 
+    def session_purge(self) -> int:
+        """Removes sessions whose time is over and deleted ones; returns how many."""
+        last = self.read("sessions").groupBy("session_id").agg(F.max_by(F.struct("at", "ttl", "data"), "seq").alias("s"))
+        live = last.where(F.col("s.data").isNotNull() & (F.lit(self.clock()) - F.col("s.at") < F.col("s.ttl"))).select("session_id")
+        gone = last.count() - live.count()
+        if gone:
+            self._rewrite("sessions", {"sessions": self.read("sessions").join(live, "session_id", "left_semi").select(*self.read("sessions").columns)})
+        return gone
+
+    def tool_cache_purge(self) -> int:
+        """Removes entries whose time is over; returns how many."""
+        entries = h.cached(self.read("tool_cache"))
+        gone = h.expired_entries(entries, self.clock())
+        n = gone.count()
+        if n:
+            rows = self.read("tool_cache")
+            self._rewrite("tool_cache", {"tool_cache": rows.join(gone, ["tool", "args_hash"], "left_anti").select(*rows.columns)})
+        return n
+
     def tool_cache_put(self, tool: str, args: str, result: str, ttl: float = 3600) -> None:
         self._write("tool_cache", [(tool, self._hash(args), self._vector(args), result, float(self.clock()), float(ttl), self._seq())])
 
@@ -328,7 +447,11 @@ class Store:
     def eval_end(self, run: str, reason: str | None = None) -> None:
         """Completes a run or, with a reason, fails it."""
         self._open(self.eval_states(), run)
+        # what was scored until now is the run's summary from here on
+        frozen = o.summarize(self.eval_scores().where(F.col("run_id") == run))
+        self._write("summaries", self.spark.createDataFrame(frozen.collect(), SCHEMAS["summaries"]))
         self._write("run_events", [(run, "fail" if reason else "complete", reason, self._seq())])
+        self._changed("eval", run, 0, "update")
 
     def eval_scores(self) -> DataFrame:
         return o.current_scores(self.read("scores"))
@@ -343,6 +466,14 @@ class Store:
     def eval_compare(self, a: str, b: str) -> DataFrame:
         return o.compare_runs(self.eval_scores(), a, b)
 
+    def eval_compare_summaries(self, a: str, b: str) -> DataFrame:
+        """Differences of the summaries that the runs ended with."""
+        return o.compare_summaries(self.read("summaries"), a, b)
+
+    def eval_changes(self, a: str, b: str, change: str) -> DataFrame:
+        """The ``regressed`` or ``improved`` rows, the largest change first."""
+        return o.changed_rows(self.eval_compare(a, b), change)
+
     def eval_failures(self, run: str, below: float = 0.5, similarity: float = 0.8, most: int = 10) -> DataFrame:
         last = self.read("scores").where(F.col("run_id") == run).groupBy("run_id", "row_id").agg(F.max_by(F.struct("score", "output"), "seq").alias("s"))
         failed = last.where((F.col("s.score") < below) & F.col("s.output").isNotNull()).select("run_id", "row_id", F.col("s.score").alias("score"), r.embedder(self.spec)[0](F.col("s.output")).alias("vec"))
@@ -372,11 +503,40 @@ class Store:
     def replay_plan(self, run: str) -> DataFrame:
         return h.replay_plan(h.captured(self.read("invocations")), self.read("replay_overrides").where(F.col("run_id") == run)).orderBy("idx")
 
+    def replay_states(self) -> DataFrame:
+        return o.state_of_runs(self.read("replay_events"))
+
+    def replay_runs(self, trace_id: str | None = None) -> DataFrame:
+        """Runs with their state and the trace they produced, the newest first; of one source trace, if it is named."""
+        runs = self.read("replays")
+        traces = self.read("replay_traces").groupBy("run_id").agg(F.max_by("replay_trace_id", "seq").alias("replay_trace_id"))
+        runs = runs if trace_id is None else runs.where(F.col("trace_id") == trace_id)
+        return runs.join(self.replay_states(), "run_id").join(traces, "run_id", "left").orderBy(F.col("seq").desc())
+
+    def replay_stats(self) -> DataFrame:
+        """``sessions, invocations, runs, running, completed, failed``."""
+        calls = self.read("invocations").agg(F.countDistinct("trace_id").alias("sessions"), F.count("*").alias("invocations"))
+        return calls.join(o.run_stats(self.replay_states(), self.read("replay_outputs")).drop("scores"))  # two single rows
+
+    def replay_end(self, run: str, reason: str | None = None) -> None:
+        """Completes a run or, with a reason, fails it."""
+        self._open(self.replay_states(), run)
+        self._write("replay_events", [(run, "fail" if reason else "complete", reason, self._seq())])
+        self._changed("replay", run, 0, "update")
+
+    def replay_set_trace(self, run: str, replay_trace_id: str) -> None:
+        if self.read("replays").where(F.col("run_id") == run).isEmpty():
+            raise KeyError(run)
+        self._write("replay_traces", [(run, replay_trace_id, self._seq())])
+
     def replay_record(self, run: str, idx: int, output: str) -> None:
+        self._open(self.replay_states(), run)
         step = self.replay_plan(run).where(F.col("idx") == idx).first()
         if step is None:
             raise IndexError(idx)
         self._write("replay_outputs", [(run, step["trace_id"], idx, output, self._seq())])
+        self._write("replay_events", [(run, "score", None, self._seq())])
+        self._changed("replay", run, idx, "update")
 
     def replay_diff(self, run: str) -> DataFrame:
         plan = self.replay_plan(run)
@@ -391,7 +551,19 @@ class Store:
     def cost_record(self, tenant: str, model: str, tokens_in: int, tokens_out: int, cost_usd: float, *, prompt: str | None = None, input_text: str | None = None, metadata: Mapping | None = None) -> None:
         if cost_usd < 0:
             raise ValueError("a cost cannot be negative")
+        before = self._status(tenant)
         self._write("spend", [(uuid.uuid4().hex, tenant, model, prompt, tokens_in, tokens_out, float(cost_usd), input_text, json.dumps(metadata or {}, sort_keys=True), self.clock(), self._seq())])
+        # the entry counts from the next moment on: budgets look at what is before the time of asking
+        after = self._status(tenant, self.clock() + 1e-6)
+        if after != before and after in ("warning", "exceeded"):
+            self._changed("budget", tenant, after, "update")
+
+    def _status(self, tenant: str, now: float | None = None) -> str | None:
+        """A tenant's budget status; None without a budget."""
+        budget = self.budgets().where(F.col("tenant") == tenant)
+        if budget.isEmpty():
+            return None
+        return o.budget_status(self.read("spend").where(F.col("tenant") == tenant), budget, self.clock() if now is None else now).first()["status"]
 
     def cost_query(self, limit: int = 0, **conditions) -> DataFrame:
         return o.query_spend(self.read("spend"), o.spend_filter(**conditions), limit)
@@ -434,6 +606,13 @@ class Store:
         last = self.read("documents").groupBy("uri").agg(F.max("seq").alias("last"))
         return all_.join(last, "uri").join(removed, "uri", "left").where("gone is null or gone < last").drop("gone", "last")
 
+    def doc_list(self) -> DataFrame:
+        return self.documents().orderBy("uri")
+
+    def doc_source(self, uri: str) -> bytes:
+        """The object that a document's uri names."""
+        return t.get_object(self.spark, uri)
+
     def doc_delete(self, uri: str) -> None:
         self._write("removed_documents", [(uri, self._seq())])
 

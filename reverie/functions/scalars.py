@@ -94,9 +94,9 @@ def micros(ts: Column) -> Column:
 
 
 def set_json_field(doc: Column, field: str, value: Column) -> Column:
-    """A JSON object with ``field`` set; anything else is left as it is."""
-    members = F.from_json(doc, "map<string,string>")
-    merged = F.map_concat(F.map_filter(members, lambda k, _: k != field), F.create_map(F.lit(field), value.cast("string")))
+    """A JSON object with ``field`` set to a JSON value, the other members as they were; anything but an object is left as it is."""
+    members = F.from_json(doc, "map<string,variant>")
+    merged = F.map_concat(F.map_filter(members, lambda k, _: k != field), F.create_map(F.lit(field), F.try_parse_json(value.cast("string"))))
     return F.when(F.ltrim(doc).startswith("{"), F.to_json(merged)).otherwise(doc)
 
 

@@ -5,11 +5,14 @@ Mutations are events with a sequence number; a current state is a fold over them
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reverie.functions.scalars import cosine, glob_match, json_equal, set_json_field
+from reverie.sources.scratch import cut
 
 # --- traces: trace_id, span_id, parent_id, thread_id, name, kind, start, end, status, attributes, seq ---
 
@@ -46,23 +49,39 @@ def search_spans(spans: DataFrame, *, prefix: str | None = None, since: float |
     return rows
 
 
-def subtrees(spans: DataFrame, roots: DataFrame, deepest: int = 64) -> DataFrame:
-    """``root, span_id, depth, place`` of the spans below each root (``span_id``), the root first, in pre-order.
+def ancestries(spans: DataFrame) -> DataFrame:
+    """``trace_id, span_id, path`` (structs span_id, seq; from the topmost ancestor to the span itself), of any depth.
 
-    One equi-join a level, so that all roots descend at once; a path of insertion
-    places gives the pre-order and stops cycles. Children of other traces are not followed.
+    Each round joins a span's path to that of its topmost ancestor so far, which doubles
+    what it reaches: the rounds are as the logarithm of the depth. A parent in another trace or one
+    that is not there ends a path, and so does an ancestor that comes a second time (a cycle).
+    """
+    itself = F.array(F.struct("span_id", F.col("first_seq").alias("seq")))
+    state = cut(spans.select("trace_id", "span_id", F.col("parent_id").alias("above"), itself.alias("path")))
+    names, kind = ["trace_id", "span_id", "above", "path"], state.schema["path"].dataType
+    while not (left := state.where("above is not null")).isEmpty():
+        other = state.select("trace_id", F.col("span_id").alias("above"), F.col("above").alias("_next"), F.col("path").alias("_rest"))
+        joined = left.join(other, ["trace_id", "above"], "left").withColumn("_rest", F.coalesce("_rest", F.array().cast(kind)))
+        # the last ancestor of the rest that the path has already: what is above it would come again
+        again = F.expr("coalesce(array_max(transform(array_intersect(_rest.span_id, path.span_id), x -> array_position(_rest.span_id, x))), 0L)").cast("int")
+        longer = F.concat(F.slice("_rest", again + 1, F.size("_rest") - again), F.col("path"))
+        joined = joined.select("trace_id", "span_id", F.when(again == 0, F.col("_next")).alias("above"), longer.alias("path"))
+        state = cut(state.where("above is null").select(*names).unionByName(joined))
+    return state.select("trace_id", "span_id", "path")
+
+
+def subtrees(spans: DataFrame, roots: DataFrame) -> DataFrame:
+    """``root, span_id, depth, place`` of the spans below each root (``span_id``), the root first, in pre-order, however deep.
+
+    Only traces with a root are followed; a span is below each root among its ancestors.
     """
     rows = spans.select("trace_id", "span_id", "parent_id", "first_seq")
-    level = rows.join(roots.select("span_id").distinct(), "span_id").select(F.col("span_id").alias("root"), "trace_id", "span_id", F.lit(0).alias("depth"), F.array("first_seq").alias("path"))
-    found, children = level, rows.select(F.col("trace_id").alias("t"), F.col("span_id").alias("child"), F.col("parent_id").alias("p"), F.col("first_seq").alias("q"))
-    for depth in range(1, deepest + 1):
-        level = level.join(children, (F.col("trace_id") == F.col("t")) & (F.col("span_id") == F.col("p"))).where(~F.array_contains("path", F.col("q")))
-        level = level.select("root", "trace_id", F.col("child").alias("span_id"), F.lit(depth).alias("depth"), F.array_append("path", F.col("q")).alias("path")).persist()
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    place = F.row_number().over(Window.partitionBy("root").orderBy("path"))
-    return found.select("root", "span_id", "depth", place.alias("place"))
+    wanted = roots.select("span_id").distinct()
+    rows = rows.join(rows.join(wanted, "span_id", "left_semi").select("trace_id").distinct(), "trace_id", "left_semi")
+    placed = ancestries(rows).select("span_id", "path", F.posexplode("path").alias("at", "_a")).withColumn("root", F.col("_a.span_id"))
+    below = placed.join(wanted.withColumnRenamed("span_id", "root"), "root", "left_semi")
+    below = below.select("root", "span_id", (F.size("path") - 1 - F.col("at")).alias("depth"), F.expr("transform(slice(path, at + 1, size(path) - at), x -> x.seq)").alias("order"))
+    return below.select("root", "span_id", "depth", F.row_number().over(Window.partitionBy("root").orderBy("order")).alias("place"))
 
 
 def trace_counts(spans: DataFrame) -> DataFrame:
@@ -126,23 +145,43 @@ def line_changes(a: Column, b: Column) -> tuple[Column, Column]:
     return F.array_except(x, y), F.array_except(y, x)
 
 
-def line_diff(a: str, b: str) -> str:
+def _lines(text: str | None) -> list[str]:
+    out = (text or "").split("\n")
+    return [x.removesuffix("\r") for x in (out[:-1] if out[-1] == "" else out)]
+
+
+def line_diff(a: str | None, b: str | None) -> str:
     """A line diff: shared lines after a space, removed ones after -, added ones after +.
 
-    Reads both texts forward; where lines differ it goes on at the nearest line that both share.
+    Where the current lines differ, each is looked for further on in the other text, and the nearer
+    one is gone on to (the new text's at a tie); if neither is there, both lines are a change.
     """
-    old, new = (a or "").splitlines(), (b or "").splitlines()
+    old, new = _lines(a), _lines(b)
+    in_old: dict[str, list[int]] = {}
+    in_new: dict[str, list[int]] = {}
+    for lines, places in ((old, in_old), (new, in_new)):
+        for i, line in enumerate(lines):
+            places.setdefault(line, []).append(i)
+
+    def ahead(places: list[int] | None, start: int) -> int | None:
+        """How far on from ``start`` the next of ``places`` is."""
+        k = bisect_left(places or [], start)
+        return places[k] - start if places and k < len(places) else None
+
     out, i, j = [], 0, 0
     while i < len(old) and j < len(new):
         if old[i] == new[j]:
-            out.append(f" {old[i]}")
+            out.append(" " + old[i])
             i, j = i + 1, j + 1
             continue
-        ahead = min(((x - i) + (new.index(old[x], j) - j), x, new.index(old[x], j)) for x in range(i, len(old)) if old[x] in new[j:]) if any(x in new[j:] for x in old[i:]) else None
-        x, y = (ahead[1], ahead[2]) if ahead else (len(old), len(new))
-        out += [f"-{line}" for line in old[i:x]] + [f"+{line}" for line in new[j:y]]
-        i, j = x, y
-    return "\n".join(out + [f"-{line}" for line in old[i:]] + [f"+{line}" for line in new[j:]])
+        add, drop = ahead(in_new.get(old[i]), j), ahead(in_old.get(new[j]), i)
+        if add is None and drop is None:
+            add = drop = 1
+        elif add is not None and drop is not None:
+            add, drop = (0, drop) if drop < add else (add, 0)
+        out += ["-" + x for x in old[i : i + (drop or 0)]] + ["+" + x for x in new[j : j + (add or 0)]]
+        i, j = i + (drop or 0), j + (add or 0)
+    return "\n".join(out + ["-" + x for x in old[i:]] + ["+" + x for x in new[j:]])
 
 
 def diff_column(a: Column, b: Column) -> Column:
@@ -161,10 +200,27 @@ def captured(invocations: DataFrame) -> DataFrame:
     return invocations.withColumn("idx", F.row_number().over(Window.partitionBy("trace_id").orderBy("seq")) - 1)
 
 
+def fnv1a(text: Column) -> Column:
+    """The 64-bit FNV-1a hash of a text's bytes in UTF-8, as 16 hexadecimal digits (fixed constants)."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        out = []
+        for value in values:
+            h = 0xCBF29CE484222325
+            for byte in (value or "").encode():
+                h = ((h ^ byte) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
+            out.append(f"{h:016x}")
+        return pd.Series(out)
+
+    return run(text)
+
+
 def fingerprints(invocations: DataFrame) -> DataFrame:
-    """``trace_id, n, fingerprint``: a digest of inputs, kinds and models in order."""
-    step = F.struct("idx", F.concat_ws("\x1f", F.sha2(F.coalesce("input", F.lit("")), 256), "kind", F.coalesce("model", F.lit(""))).alias("x"))
-    return invocations.groupBy("trace_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(step)).alias("s")).select("trace_id", "n", F.substring(F.sha2(F.concat_ws("\x1e", F.col("s.x")), 256), 1, 16).alias("fingerprint"))
+    """``trace_id, n, fingerprint``: one hash over each step's input (its JSON text), kind and model, in order."""
+    step = F.struct("idx", F.concat_ws("", "input", "kind", "model").alias("x"))
+    steps = invocations.groupBy("trace_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(step)).alias("s"))
+    return steps.select("trace_id", "n", fnv1a(F.concat_ws("", F.col("s.x"))).alias("fingerprint"))
 
 
 def replay_plan(invocations: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -228,19 +284,27 @@ def fresh(now: float) -> Column:
     return (F.lit(now) - F.col("stored_at")) < F.col("ttl")
 
 
+def expired_entries(cache: DataFrame, now: float) -> DataFrame:
+    """``tool, args_hash`` of the entries that a purge removes."""
+    return cache.where(~fresh(now)).select("tool", "args_hash")
+
+
 def cache_lookup(cache: DataFrame, lookups: DataFrame, now: float, least: float = 0.95) -> DataFrame:
     """``lookup_id, outcome (exact, near, miss), similarity, result`` among fresh entries of the same tool.
 
-    ``lookups`` has ``lookup_id, tool, args_hash, embedding``; the most similar entry wins, ties by arguments.
+    ``lookups`` has ``lookup_id, tool, args_hash, embedding``. An entry with the same arguments is found by
+    an equi-join; only lookups without one are compared with their tool's vectors, and only
+    what is similar enough is kept. The most similar entry wins, ties by arguments.
     """
-    usable = cache.where(fresh(now)).select("tool", F.col("args_hash").alias("hash"), F.col("embedding").alias("vec"), "result")
-    pairs = lookups.join(usable, "tool", "left")
-    exact = F.coalesce(F.col("args_hash") == F.col("hash"), F.lit(False))
-    scored = pairs.withColumn("similarity", F.when(exact, F.lit(1.0)).otherwise(F.round(cosine(F.col("embedding"), F.col("vec")), 9))).withColumn("exact", exact)
-    best = scored.groupBy("lookup_id").agg(F.max_by(F.struct("exact", "similarity", "result", "hash"), F.struct("exact", F.coalesce("similarity", F.lit(-2.0)), -F.col("hash"))).alias("b"))
-    hit = F.coalesce(F.col("b.exact") | (F.col("b.similarity") >= least), F.lit(False))
-    outcome = F.when(F.col("b.exact"), "exact").when(hit, "near").otherwise("miss")
-    return best.select("lookup_id", outcome.alias("outcome"), F.when(hit, F.col("b.similarity")).alias("similarity"), F.when(hit, F.col("b.result")).alias("result"))
+    usable = cache.where(fresh(now))
+    same = lookups.join(usable.select("tool", "args_hash", F.struct("result").alias("hit")), ["tool", "args_hash"], "left")
+    exact = same.where("hit is not null").select("lookup_id", F.lit("exact").alias("outcome"), F.lit(1.0).alias("similarity"), "hit.result")
+    rest = same.where("hit is null").select("lookup_id", "tool", "embedding")
+    entries = usable.select("tool", F.col("args_hash").alias("hash"), F.col("embedding").alias("vec"), "result")
+    scored = rest.join(entries, "tool").select("lookup_id", F.round(cosine(F.col("embedding"), F.col("vec")), 9).alias("similarity"), "hash", "result").where(F.col("similarity") >= least)
+    best = scored.groupBy("lookup_id").agg(F.max_by(F.struct("similarity", "result"), F.struct("similarity", -F.col("hash"))).alias("b"))
+    near = rest.select("lookup_id").join(best, "lookup_id", "left")
+    return exact.unionByName(near.select("lookup_id", F.when(F.col("b").isNull(), "miss").otherwise("near").alias("outcome"), "b.similarity", "b.result"))
 
 
 # --- sessions: session_id, at, data, seq ---
@@ -277,6 +341,51 @@ def subscribed(changes: DataFrame, *, exact: str | None = None, pattern: str | N
 
 # --- permissions: principal roles and capabilities ---
 
+#: What a principal may do; the sets of the roles and the commands of each capability (fixed values).
+CAPABILITIES = ("read", "write_memory", "delete_memory", "write_session", "write_prompt", "write_dataset", "run_eval", "write_trace", "write_replay", "write_cost", "admin")
+ROLES = {
+    "all": ("admin", "root", "owner"),
+    "data": ("write", "readwrite", "read-write", "rw", "developer", "dev", "service", "service-account"),
+    "evaluation": ("evaluator",),
+}
+ALWAYS = ("PING", "HELLO", "AUTH", "COMMAND", "INFO", "QUIT", "SUBSCRIBE", "UNSUBSCRIBE", "PSUBSCRIBE", "PUNSUBSCRIBE")
+COMMANDS = {
+    "write_session": ("SET",),
+    "write_memory": ("REMEMBER", "REMEMBER.IDEM", "REMEMBER.BATCH", "REMEMBER.META"),
+    "delete_memory": ("DEL", "COMPACT", "FORGET", "FORGET.KEY", "FORGET.OLDER"),
+    "write_prompt": ("PROMPT.PUT", "PROMPT.TAG", "PROMPT.UNTAG"),
+    "write_dataset": ("DATASET.CREATE", "DATASET.ADD", "DATASET.TAG", "DATASET.UNTAG", "DATASET.FROM_RECALL", "DOC.INGEST", "DOC.DELETE"),
+    "run_eval": ("EVAL.START", "EVAL.SCORE", "EVAL.COMPLETE", "EVAL.FAIL"),
+    "write_trace": ("TRACE.RECORD", "TRACE.CLOSE"),
+    "write_replay": ("REPLAY.CAPTURE", "REPLAY.START", "REPLAY.STEP", "REPLAY.RECORD", "REPLAY.COMPLETE", "REPLAY.FAIL", "REPLAY.SET_TRACE"),
+    "write_cost": ("COST.RECORD", "COST.SET_BUDGET", "COST.DELETE_BUDGET"),
+}
+
+
+def capabilities(role: Column) -> Column:
+    """The capabilities of a role's name, as an array; unknown names may read."""
+    name = F.lower(F.trim(role))
+    listed = lambda xs: F.array(*map(F.lit, xs))
+    return (
+        F.when(name.isin(*ROLES["all"]), listed(CAPABILITIES))
+        .when(name.isin(*ROLES["data"]), listed(CAPABILITIES[:-1]))
+        .when(name.isin(*ROLES["evaluation"]), listed(("read", "run_eval", "write_dataset")))
+        .otherwise(listed(("read",)))
+    )
+
+
+def permitted(calls: DataFrame, grants: DataFrame, reads: tuple[str, ...]) -> DataFrame:
+    """Calls (``principal, command``) with ``allowed``: the principal's role has the capability that the command needs.
+
+    ``reads`` names the commands that only read; what belongs to no family needs admin. Principals without a role may do nothing but meta commands.
+    """
+    needs = F.lit("admin")
+    for flag, commands in (*COMMANDS.items(), ("read", reads)):
+        needs = F.when(F.col("command").isin(*commands), flag).otherwise(needs)
+    rows = calls.join(grants.select("principal", capabilities(F.col("role")).alias("_has")), "principal", "left")
+    has = F.coalesce(F.array_contains("_has", needs) | F.array_contains("_has", "admin"), F.lit(False))
+    return rows.withColumn("allowed", F.col("command").isin(*ALWAYS) | has).drop("_has")
+
 
 def authorised(calls: DataFrame, grants: DataFrame, required: DataFrame) -> DataFrame:
     """Calls with ``allowed``: the principal has the role that the command needs; unknown commands need admin."""

@@ -35,9 +35,9 @@ def spend_filter(*, tenant: str | None = None, model: str | None = None, prompt:
 
 
 def query_spend(entries: DataFrame, condition: Column, limit: int = 0, tie: str = "id") -> DataFrame:
-    """Matching entries, newest first; limit 0 means all, in no order."""
-    rows = entries.where(condition)
-    return rows.orderBy(F.col("recorded_at").desc(), tie).limit(limit) if limit else rows
+    """Matching entries, newest first; limit 0 means all."""
+    rows = entries.where(condition).orderBy(F.col("recorded_at").desc(), tie)
+    return rows.limit(limit) if limit else rows
 
 
 def aggregate_spend(entries: DataFrame, by: str) -> DataFrame:
@@ -104,11 +104,16 @@ def current_scores(events: DataFrame) -> DataFrame:
 
 
 def summarize(scores: DataFrame, pass_from: float = PASS_FROM) -> DataFrame:
-    """``run_id, n, mean, p50, p90, p99, lowest, highest, pass_rate`` with nearest-rank percentiles."""
-    w = Window.partitionBy("run_id")
-    ranked = scores.withColumn("_r", F.row_number().over(w.orderBy("score"))).withColumn("_n", F.count("*").over(w))
-    at = lambda q: F.max(F.when(F.col("_r") == nearest_rank(q, F.col("_n")), F.col("score")))
-    return ranked.groupBy("run_id").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"), F.min("score").alias("lowest"), F.max("score").alias("highest"), F.avg((F.col("score") >= pass_from).cast("double")).alias("pass_rate"))
+    """``run_id, n, mean, p50, p90, p99, lowest, highest, pass_rate`` with nearest-rank percentiles.
+
+    Scores are counted by value first, on the map side as well; ranks are found among a run's distinct values.
+    """
+    counted = scores.groupBy("run_id", "score").agg(F.count("*").alias("c"))
+    run = Window.partitionBy("run_id")
+    ranked = counted.withColumn("_upto", F.sum("c").over(run.orderBy("score"))).withColumn("_n", F.sum("c").over(run))
+    at = lambda q: F.min(F.when(F.col("_upto") >= nearest_rank(q, F.col("_n")), F.col("score")))
+    share = F.sum(F.when(F.col("score") >= pass_from, F.col("c")).otherwise(0)) / F.sum("c")
+    return ranked.groupBy("run_id").agg(F.sum("c").alias("n"), (F.sum(F.col("score") * F.col("c")) / F.sum("c")).alias("mean"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"), F.min("score").alias("lowest"), F.max("score").alias("highest"), share.alias("pass_rate"))
 
 
 def compare_runs(scores: DataFrame, run_a: str, run_b: str) -> DataFrame:
@@ -120,6 +125,12 @@ def compare_runs(scores: DataFrame, run_a: str, run_b: str) -> DataFrame:
     return a.join(b, "row_id", "full").select("row_id", "score_a", "score_b", delta.alias("delta"), change.alias("change"))
 
 
+def changed_rows(compared: DataFrame, change: str) -> DataFrame:
+    """The regressed or improved rows of a comparison, the largest change first."""
+    order = F.col("delta").asc() if change == "regressed" else F.col("delta").desc()
+    return compared.where(F.col("change") == change).orderBy(order, "row_id")
+
+
 def compare_summaries(summaries: DataFrame, run_a: str, run_b: str) -> DataFrame:
     """``mean_delta, pass_delta`` from frozen summaries; 0 if either run has none."""
     value = lambda run, c: F.max(F.when(F.col("run_id") == run, F.col(c)))
@@ -129,7 +140,7 @@ def compare_summaries(summaries: DataFrame, run_a: str, run_b: str) -> DataFrame
 def state_of_runs(events: DataFrame) -> DataFrame:
     """``run_id, status, reason`` after events ``run_id, kind (start, score, complete, fail), reason, seq``.
 
-    The first score makes a pending run a running one; after an end nothing counts.
+    The first score (or, of a replay, the first recorded output) makes a pending run a running one; after an end nothing counts.
     """
     end = F.min_by(F.struct("kind", "reason"), "seq")
     ended = events.where("kind in ('complete', 'fail')").groupBy("run_id").agg(end.alias("e"))

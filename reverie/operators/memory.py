@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from reverie.functions.scalars import effective_importance, utility
 from reverie.operators.retrieval import hybrid, top
+from reverie.sources.scratch import cut
 
 #: Maintenance rewrites the table from this share of removed rows on, and from so many live ones (fixed values).
 COMPACT_RATIO, COMPACT_ROWS = 0.20, 64
@@ -22,11 +23,12 @@ def remember(last_id: int, batch: DataFrame, order: Column, now: float) -> DataF
     """``batch`` with ids after ``last_id`` in input order, defaults, and one time of creation.
 
     Ids are dealt range-wise: counts by range partition give the offsets, so that no
-    single task numbers the whole batch.
+    single task numbers the whole batch. The dealt rows are written out before they are counted,
+    so that a batch that comes out differently when it is computed again cannot give an id twice.
     """
     spark = batch.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = batch.withColumn("_o", order).repartitionByRange(parts, "_o").sortWithinPartitions("_o").withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    dealt = cut(batch.withColumn("_o", order).repartitionByRange(parts, "_o").sortWithinPartitions("_o").withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
     counts = {r["_p"]: r["count"] for r in dealt.groupBy("_p").count().collect()}
     start, offsets = 0, []
     for p in sorted(counts):
@@ -78,11 +80,22 @@ def with_utility(memory: DataFrame, recall_log: DataFrame, now: float, half_life
 def evict(memory: DataFrame, recall_log: DataFrame, cap: int, now: float, half_life: float = HALF_LIFE) -> DataFrame:
     """The rows beyond ``cap`` with the least utility, ties by id: their tombstones ``id, utility``.
 
-    The number to evict is known from a count, so that a top-k takes the place of a global sort.
+    Approximate quantiles bracket the utility of the last row to go. What lies below goes without being sorted;
+    only the rows inside the bracket are ordered to find the exact cut.
     """
-    over = max(0, memory.count() - cap)
-    rows = with_utility(memory, recall_log, now, half_life).select("id", "utility")
-    return rows.orderBy("utility", "id").limit(over)
+    rows = cut(with_utility(memory, recall_log, now, half_life).select("id", "utility"))
+    n = rows.count()
+    over = max(0, n - cap)
+    if not 0 < over < n:
+        return rows if over else rows.limit(0)
+    low, high = (rows.select(F.percentile_approx("utility", [max(0.0, over / n - 0.005), min(1.0, over / n + 0.005)], 1000)).first()[0]) or (None, None)
+    below, upto = rows.agg(F.count_if(F.col("utility") < low), F.count_if(F.col("utility") <= high)).first()
+    if below > over:
+        low, below = None, 0
+    sure = rows.limit(0) if low is None else rows.where(F.col("utility") < low)
+    inside = rows if low is None else rows.where(F.col("utility") >= low)
+    inside = inside if upto < over else inside.where(F.col("utility") <= high)
+    return sure.unionByName(inside.orderBy("utility", "id").limit(over - below))
 
 
 def tombstone_ratio(memory: DataFrame, forgotten: DataFrame) -> DataFrame:
@@ -93,20 +106,20 @@ def tombstone_ratio(memory: DataFrame, forgotten: DataFrame) -> DataFrame:
     return out.withColumn("ratio", ratio).withColumn("compact", (F.col("ratio") >= COMPACT_RATIO) & (F.col("live") >= COMPACT_ROWS))
 
 
-def recall(memory: DataFrame, query: str, *, k: int = 10, key: str | None = None, filtered: Column | None = None, spec: str = "hash:32", vec_col: str | None = None) -> DataFrame:
+def recall(memory: DataFrame, query: str, *, k: int = 10, key: str | None = None, filtered: Column | None = None, spec: str = "hash:32", vec_col: str | None = None, index: DataFrame | None = None) -> DataFrame:
     """``id, score`` and the memory's columns; removed rows must be left out before. ``key`` restricts to one owner.
 
-    ``vec_col`` names stored vectors; without it they are computed from the texts.
+    ``vec_col`` names stored vectors and ``index`` is a text index; without them both are computed from the texts.
     """
     if key is not None:
         filtered = (F.col("key") == key) if filtered is None else filtered & (F.col("key") == key)
-    hits = hybrid(memory, query, k=k, filtered=filtered, spec=spec, vec_col=vec_col)
+    hits = hybrid(memory, query, k=k, filtered=filtered, spec=spec, vec_col=vec_col, index=index)
     return memory.join(F.broadcast(hits), "id")  # k rows
 
 
-def recall_decayed(memory: DataFrame, query: str, now: float, half_life: float, *, k: int = 10, spec: str = "hash:32", vec_col: str | None = None) -> DataFrame:
+def recall_decayed(memory: DataFrame, query: str, now: float, half_life: float, *, k: int = 10, spec: str = "hash:32", vec_col: str | None = None, index: DataFrame | None = None) -> DataFrame:
     """2k candidates, scores times effective importance, the best k."""
-    hits = memory.join(F.broadcast(hybrid(memory, query, k=2 * k, spec=spec, vec_col=vec_col)), "id")
+    hits = memory.join(F.broadcast(hybrid(memory, query, k=2 * k, spec=spec, vec_col=vec_col, index=index)), "id")
     score = F.col("score") * effective_importance(F.col("importance"), F.col("created_at"), now, half_life)
     return top(hits.withColumn("score", score), k)
 

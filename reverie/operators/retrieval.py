@@ -7,17 +7,25 @@ only top-k rows leave a partition.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reverie.functions.scalars import EPSILON, cosine, dot, tokens
+from reverie.sources.scratch import cut
 
 #: Okapi parameters.
 K1, B = 1.2, 0.75
 #: Rank constant of the fusion (fixed value).
 RRF_K = 60
+#: White space between the words of an embedded text.
+_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
 def query_terms(query: str) -> list[str]:
@@ -53,13 +61,50 @@ def okapi(counted: DataFrame, terms: int) -> DataFrame:
 def bm25(docs: DataFrame, query: str, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """``id, score`` of the rows with a term of the query; an empty query finds nothing.
 
-    The corpus figures (rows, mean length, document frequencies) are one pass over the
-    rows; scores follow from each row's own counts in a second, without exploding words.
+    Texts are read once: each row's counts of the query's terms are written out, and the corpus
+    figures (rows, mean length, document frequencies) and the scores follow from those few numbers.
     """
     terms = query_terms(query)
     if not terms:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
-    return okapi(term_counts(docs, terms, F.col(text_col), F.col(id_col).alias("id")), len(terms)).select("id", "score")
+    return okapi(cut(term_counts(docs, terms, F.col(text_col), F.col(id_col).alias("id"))), len(terms)).select("id", "score")
+
+
+#: Buckets of the terms in a text index.
+TERM_BUCKETS = 64
+
+
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def text_index(rows: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """``bucket, term, id, f``: how often each row has each of its terms. Written in folders by bucket, a query reads its terms' buckets alone."""
+    words = rows.select(F.col(id_col).alias("id"), F.explode(tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("term"))
+    return words.groupBy("term", "id").agg(F.count("*").alias("f")).select(term_bucket(F.col("term")).alias("bucket"), "term", "id", "f")
+
+
+def term_total(text: Column) -> Column:
+    """The length of a text in terms, which is kept beside its row."""
+    return F.size(tokens(F.coalesce(text, F.lit("")))).cast("long")
+
+
+def bm25_indexed(index: DataFrame, rows: DataFrame, query: str) -> DataFrame:
+    """As ``bm25`` over ``rows`` (``id, n_terms``) from a text index; entries of other rows are left out. No text is read."""
+    terms = query_terms(query)
+    if not terms:
+        return rows.select("id", F.lit(0.0).alias("score")).limit(0)
+    of_spark = rows.sparkSession
+    buckets = [r[0] for r in of_spark.createDataFrame([(t,) for t in terms], "term string").select(term_bucket(F.col("term"))).collect()]
+    found = cut(index.where(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms)).join(rows, "id").select("id", "term", "f", "n_terms"))
+    n, mean = rows.agg(F.count("*"), F.avg("n_terms")).first()
+    frequency = {r["term"]: r["count"] for r in found.groupBy("term").count().collect()}
+    weight = F.lit(0.0)
+    for t, df in frequency.items():
+        weight = F.when(F.col("term") == t, math.log(1 + (n - df + 0.5) / (df + 0.5))).otherwise(weight)
+    f = F.col("f").cast("double")
+    part = weight * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n_terms") / F.lit(float(mean or 1.0))))
+    return found.groupBy("id").agg(F.sum(part).alias("score"))
 
 
 def vector_scores(rows: DataFrame, query: list[float], *, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
@@ -103,26 +148,35 @@ def approximate_top(indexed: DataFrame, query: list[float], planes: list[list[li
     return top(vector_scores(near, query, vec_col=vec_col), k)
 
 
-def bucket(token: Column, dim: int) -> Column:
-    """A word's place in a hashed vector: the first 32 bits of its md5 modulo ``dim``."""
-    return F.pmod(F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
+def hash_embedding(text: Column, dim: int) -> Column:
+    """Counts of hashed lower-case words, scaled to unit length; an empty text is the zero vector.
 
+    One histogram for each text, in Arrow batches; a worker remembers the places of words.
+    """
 
-def hash_embedding(text: Column, dim: int) -> Column:
-    """Counts of hashed lower-case words, scaled to unit length; an empty text is the zero vector."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "\\s+"), lambda t: t != "")
-    places = F.transform(words, lambda t: bucket(t, dim))
-    count = lambda a, b: (F.size(a) - F.size(F.array_remove(a, b))).cast("double")
-    counts = F.element_at(F.transform(F.array(places), lambda a: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: count(a, b))), 1)
-    norm = lambda v: F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-6))
-    scaled = lambda v: F.element_at(F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x / n)), 1)
-    return F.element_at(F.transform(F.array(counts), scaled), 1)
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        places: dict[str, int] = {}
+        for texts in batches:
+            out = []
+            for t in texts:
+                v = [0.0] * dim
+                for word, n in Counter(_SPACE.split(t)).items():
+                    if word:
+                        if (at := places.get(word)) is None:
+                            if len(places) > 500_000:
+                                places.clear()
+                            at = places[word] = int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % dim
+                        v[at] += n
+                norm = max(math.sqrt(sum(x * x for x in v)), 1e-6)
+                out.append([x / norm for x in v])
+            yield pd.Series(out)
+
+    return run(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def hash_query(text: str, dim: int) -> list[float]:
     """As ``hash_embedding``, for a query text on the driver."""
-    import hashlib
-
     v = [0.0] * dim
     for word in text.lower().split():
         v[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim] += 1
@@ -150,29 +204,32 @@ def rrf(rankings: list[DataFrame], *, k: int = RRF_K, n: int = 10) -> DataFrame:
     return top(ranked.groupBy("id").agg(F.sum("part").alias("score")), n)
 
 
-def hybrid(docs: DataFrame, query: str, *, spec: str = "hash:32", k: int = 10, filtered: Column | None = None, id_col: str = "id", text_col: str = "text", vec_col: str | None = None) -> DataFrame:
+def hybrid(docs: DataFrame, query: str, *, spec: str = "hash:32", k: int = 10, filtered: Column | None = None, id_col: str = "id", text_col: str = "text", vec_col: str | None = None, index: DataFrame | None = None) -> DataFrame:
     """Lexical and vector candidates fused; a predicate is applied before the candidates are chosen.
 
-    Candidates per ranking: max(3k, 32), with a predicate max(8k, 128). The rows' texts are read
+    Candidates per ranking: max(3k, 32), with a predicate max(8k, 128). With a text ``index`` (and ``n_terms`` and
+    vectors kept in ``docs``) no text is read. Otherwise texts are read
     once: counts of the query's terms and the vector score, a few numbers a row, are
-    held while the two candidate lists are taken, which come to the driver.
+    written out, and the two candidate lists are taken from them.
     """
     spark = docs.sparkSession
     column, of_query = embedder(spec)
     per = max(3 * k, 32) if filtered is None else max(8 * k, 128)
     rows = docs if filtered is None else docs.where(filtered)
-    vec = F.col(vec_col) if vec_col else column(F.col(text_col))
+    near = lambda v: cosine(v, F.array(*map(F.lit, of_query(query))))
     terms = query_terms(query)
-    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), vec.alias("_vec"))
-    counted = term_counts(rows, terms, F.col("text"), F.col("id"), F.col("_vec"))
-    near = cosine(F.col("_vec"), F.array(*map(F.lit, of_query(query)))).alias("near")
-    held = counted.select("id", near, *(c for c in counted.columns if c not in ("id", "_vec"))).persist()
-    try:
+    if index is not None and vec_col is not None:
+        lists = [top(rows.select(F.col(id_col).alias("id"), near(F.col(vec_col)).alias("score")), per).collect()]
+        if terms and lists[0]:
+            lists.append(top(bm25_indexed(index, rows.select(F.col(id_col).alias("id"), "n_terms"), query), per).collect())
+    else:
+        vec = F.col(vec_col) if vec_col else column(F.col(text_col))
+        rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), vec.alias("_vec"))
+        counted = term_counts(rows, terms, F.col("text"), F.col("id"), F.col("_vec"))
+        held = cut(counted.select("id", near(F.col("_vec")).alias("near"), *(c for c in counted.columns if c not in ("id", "_vec"))))
         lists = [top(held.select("id", F.col("near").alias("score")), per).collect()]
         if terms and lists[0]:
             lists.append(top(okapi(held, len(terms)).select("id", "score"), per).collect())
-    finally:
-        held.unpersist()
     kind = docs.schema[id_col].dataType.simpleString()
     return rrf([spark.createDataFrame([tuple(x) for x in found], f"id {kind}, score double") for found in lists], n=k)
 
@@ -201,4 +258,4 @@ def recall_at_k(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return sizes.join(sums, "query_id", "left").select("query_id", (F.coalesce("hits", F.lit(0)) / F.least("n", F.lit(k))).alias("recall"), (F.coalesce("gain", F.lit(0.0)) / ideal).alias("ndcg"))
 
 
-__all__ = ["EPSILON", "approximate_top", "bm25", "bucket", "embedder", "hash_embedding", "hash_query", "hybrid", "hyperplanes", "query_terms", "recall_at_k", "recall_filter", "rrf", "sign_buckets", "top", "vector_scores"]
+__all__ = ["EPSILON", "approximate_top", "bm25", "bm25_indexed", "embedder", "hash_embedding", "hash_query", "hybrid", "hyperplanes", "query_terms", "recall_at_k", "recall_filter", "rrf", "sign_buckets", "term_total", "text_index", "top", "vector_scores"]

@@ -92,10 +92,11 @@ def hit_line(id_: Column, score: Column, text: Column) -> Column:
 
 
 def latency_percentiles(samples: DataFrame, by: str) -> DataFrame:
-    """p50, p95 and p99 by the benchmark's rank: round(p * n), at least the first."""
+    """p50, p95 and p99 by the benchmark's rank: round(p * n), at least the first. Values are counted before they are ranked."""
+    counted = samples.groupBy(by, "value").agg(F.count("*").alias("c"))
     w = Window.partitionBy(by)
-    ranked = samples.withColumn("_r", F.row_number().over(w.orderBy("value"))).withColumn("_n", F.count("*").over(w))
-    at = lambda p: F.max(F.when(F.col("_r") == F.greatest(F.bround(F.col("_n") * F.lit(p)), F.lit(1.0)), F.col("value")))
+    ranked = counted.withColumn("_upto", F.sum("c").over(w.orderBy("value"))).withColumn("_n", F.sum("c").over(w))
+    at = lambda p: F.min(F.when(F.col("_upto") >= F.greatest(F.bround(F.col("_n") * F.lit(p)), F.lit(1.0)), F.col("value")))
     return ranked.groupBy(by).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,16 +10,11 @@ from reverie.operators import histories as h
 from reverie.operators import retrieval as r
 from reverie.plans.recall import bm25_sql, near_sql, top_sql
 from reverie.plans.stand_ins import BORN, INVOCATIONS, NOW, PUTS, SPANS, invocations, puts, spans
+from reverie.sources.scratch import folder as _scratch
 from reverie.sources.tables import table
 from reverie.streaming import changes as c
 
 
-def _scratch(s) -> str:
-    """A checkpoint folder: below the shared one where the session names one."""
-    root = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="reverie-")
-    return f"{root}/{uuid.uuid4().hex}"
-
-
 def _spans(s, d):
     return h.current_spans(spans(s, d)).where("span_id is not null")
 
@@ -46,14 +38,14 @@ def _live(s, d):
 
 def _tag_events(s, d):
     n = _numbered(s, d)
-    put = n.where("version % 3 = 0").select("name", F.lit("prod").alias("tag"), F.col("version"), F.col("seq"))
+    put = n.where("version % 7 = 1").select("name", F.lit("prod").alias("tag"), F.col("version"), F.col("seq"))
     gone = n.where("version = 7 and name < 'src15'").select("name", F.lit("prod").alias("tag"), F.lit(None).cast("int").alias("version"), (F.col("seq") + 10_000_000).alias("seq"))
     beta = n.where("version % 5 = 1").select("name", F.lit("beta").alias("tag"), "version", "seq")
     return put.unionByName(gone).unionByName(beta)
 
 
 _LIVE = f"(SELECT * FROM {PUTS} WHERE NOT (version % 4 = 0 OR name = 'src2'))"
-_TAGS = f"(SELECT name, tag, version FROM (SELECT name, tag, arg_max(struct_pack(v := version), seq).v AS version FROM (SELECT name, 'prod' AS tag, version, seq FROM {PUTS} WHERE version % 3 = 0 UNION ALL SELECT name, 'prod', NULL, seq + 10000000 FROM {PUTS} WHERE version = 7 AND name < 'src15' UNION ALL SELECT name, 'beta', version, seq FROM {PUTS} WHERE version % 5 = 1) GROUP BY name, tag) WHERE version IS NOT NULL AND (name, version) IN (SELECT (name, version) FROM {_LIVE}))"
+_TAGS = f"(SELECT name, tag, version FROM (SELECT name, tag, arg_max(struct_pack(v := version), seq).v AS version FROM (SELECT name, 'prod' AS tag, version, seq FROM {PUTS} WHERE version % 7 = 1 UNION ALL SELECT name, 'prod', NULL, seq + 10000000 FROM {PUTS} WHERE version = 7 AND name < 'src15' UNION ALL SELECT name, 'beta', version, seq FROM {PUTS} WHERE version % 5 = 1) GROUP BY name, tag) WHERE version IS NOT NULL AND (name, version) IN (SELECT (name, version) FROM {_LIVE}))"
 
 
 def _overrides(s, d):
@@ -91,7 +83,7 @@ def doc_search(s, d):
 
 def _cache(s, d):
     e = table(s, d, "embeddings")
-    return h.cached(e.select(F.concat(F.lit("tool"), (F.col("vec_id") % 7).cast("string")).alias("tool"), F.col("vec_id").alias("args_hash"), "embedding", F.concat(F.lit("r"), F.col("vec_id").cast("string")).alias("result"), (F.lit(NOW) - F.col("vec_id") * 10).alias("stored_at"), F.lit(3000).alias("ttl"), F.col("vec_id").alias("seq")))
+    return h.cached(e.select(F.concat(F.lit("tool"), (F.col("vec_id") % 7).cast("string")).alias("tool"), F.col("vec_id").alias("args_hash"), "embedding", F.concat(F.lit("r"), F.col("vec_id").cast("string")).alias("result"), (F.lit(NOW) - F.col("vec_id") % 500 * 10).alias("stored_at"), F.lit(3000).alias("ttl"), F.col("vec_id").alias("seq")))
 
 
 def _lookups(s, d):
@@ -100,7 +92,7 @@ def _lookups(s, d):
 
 
 _COS = "list_dot_product(l.embedding::DOUBLE[], c.embedding::DOUBLE[]) / greatest(sqrt(list_dot_product(l.embedding::DOUBLE[], l.embedding::DOUBLE[])) * sqrt(list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])), 1.1920929e-07)"
-_LOOK = f"(SELECT l.vec_id AS lookup_id, (l.vec_id % 2 = 0 AND l.vec_id = c.vec_id) AS exact, CASE WHEN l.vec_id % 2 = 0 AND l.vec_id = c.vec_id THEN 1.0 ELSE round({_COS}, 9) END AS similarity, 'r' || c.vec_id AS result, c.vec_id AS hash FROM embeddings l LEFT JOIN (SELECT * FROM embeddings WHERE vec_id * 10 < 3000) c ON l.label % 7 = c.vec_id % 7)"
+_LOOK = f"(SELECT l.vec_id AS lookup_id, (l.vec_id % 2 = 0 AND l.vec_id = c.vec_id) AS exact, CASE WHEN l.vec_id % 2 = 0 AND l.vec_id = c.vec_id THEN 1.0 ELSE round({_COS}, 9) END AS similarity, 'r' || c.vec_id AS result, c.vec_id AS hash FROM embeddings l LEFT JOIN (SELECT * FROM embeddings WHERE vec_id % 500 * 10 < 3000) c ON l.label % 7 = c.vec_id % 7)"
 
 
 def _session_events(s, d):
@@ -112,7 +104,7 @@ def _changes(s, d):
 
 
 def windowed_events(s, d):
-    out = c.run_to_end(c.windowed(_changes(s, d), "1 day"), "complete", _scratch(s))
+    out = c.run_to_end(c.windowed(_changes(s, d), "1 day"), _scratch(s), _scratch(s))
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "table", "n", F.round("total", 2).alias("total"))
 
 
@@ -123,6 +115,14 @@ def calls(s, d):
     return h.authorised(rows.withColumnRenamed("event_type", "command"), grants, required).groupBy("principal", "command", "allowed").agg(F.count("*").alias("n"))
 
 
+def permissions(s, d):
+    """What each role may do, over the commands that event types stand for."""
+    commands = F.element_at(F.array(*map(F.lit, ("REMEMBER", "RECALL", "EVAL.SCORE", "PROMPT.DELETE", "INFO"))), (F.col("event_id") % 5 + 1).cast("int"))
+    rows = table(s, d, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 6).cast("string")).alias("principal"), commands.alias("command"))
+    grants = s.createDataFrame([("u0", "Owner"), ("u1", "service"), ("u2", "evaluator"), ("u3", "viewer"), ("u4", "strange")], "principal string, role string")
+    return h.permitted(rows, grants, ("RECALL",)).groupBy("principal", "command", "allowed").agg(F.count("*").alias("n"))
+
+
 _SPAN_COLUMNS = ["span_id", "trace_id", "parent_id", "name", "status"]
 _no_null = lambda df, *cols: df.select(*[F.coalesce(x, F.lit(-1)).alias(x) if x in ("parent_id", "end", "duration") else F.col(x) for x in cols])
 
@@ -132,7 +132,7 @@ QUERIES = {
     "trace_get": lambda s, d: _spans(s, d).where("trace_id = 3").select("span_id", "name", F.row_number().over(Window.partitionBy("trace_id").orderBy("first_seq")).alias("place")),
     "trace_subtree": lambda s, d: h.subtrees(_spans(s, d), _spans(s, d).where("span_id % 1000 in (0, 1)")),
     "trace_thread": lambda s, d: h.thread_of(_spans(s, d), 4).select("trace_id", "span_id", "place"),
-    "trace_search": lambda s, d: h.search_spans(_spans(s, d), prefix="role.", since=BORN + 100, until=BORN + 5000, status="ok", kind="user").select("span_id", "name", "start"),
+    "trace_search": lambda s, d: h.search_spans(_spans(s, d), prefix="user.", since=BORN + 100, until=BORN + 5000, status="ok", kind="user").select("span_id", "name", "start"),
     "trace_counts": lambda s, d: h.trace_counts(_spans(s, d)),
     "prompt_versions": lambda s, d: _live(s, d).select("name", "version", F.md5(F.col("content").cast("binary")).alias("digest")),
     "prompt_latest": lambda s, d: h.latest(_live(s, d)).select("name", "version", F.md5(F.col("content").cast("binary")).alias("digest")),
@@ -162,15 +162,19 @@ QUERIES = {
     "chat_history": lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m")).select("conv_id", F.size("m").alias("n"), F.md5(F.concat_ws("|", F.transform("m", lambda x: F.concat_ws(":", x["role"], x["text"]))).cast("binary")).alias("digest")),
     "changes_by_channel": lambda s, d: c.run_to_files(c.subscribed(_changes(s, d), pattern="p*.u1?"), _scratch(s), _scratch(s)).select("row_id", "table", "key", "kind"),
     "changes_by_table": lambda s, d: c.run_to_files(c.subscribed(_changes(s, d), exact="signup"), _scratch(s), _scratch(s)).select("row_id", "kind"),
-    "changes_once": lambda s, d: c.run_to_files(c.once(_changes(s, d), "60 days", "key", "table"), _scratch(s), _scratch(s)).select("key", "table").distinct(),
+    "changes_once": lambda s, d: c.run_to_files(c.once(_changes(s, d), "60 days", "key", "table"), _scratch(s), _scratch(s)).select("key", "table"),
     "windowed_events": windowed_events,
-    "session_windows": lambda s, d: c.run_to_end(c.session_windows(_changes(s, d), "12 hours"), "complete", _scratch(s)).select("key", F.unix_micros("opened").alias("opened"), "n"),
-    "alert_transitions": lambda s, d: c.run_to_end(c.alert_transitions(_changes(s, d), 1000.0, 0.8), "append", _scratch(s)).select("key", "status"),
+    "session_windows": lambda s, d: c.run_to_end(c.session_windows(_changes(s, d), "12 hours"), _scratch(s), _scratch(s)).select("key", F.unix_micros("opened").alias("opened"), "n"),
+    "alert_transitions": lambda s, d: c.run_to_files(c.alert_transitions(_changes(s, d), 1000.0, 0.8), _scratch(s), _scratch(s)).select("key", "status"),
     "authorised_calls": calls,
+    "permitted_commands": permissions,
+    "tool_cache_purge": lambda s, d: h.expired_entries(_cache(s, d), NOW),
 }
 
 _PAIRS = f"{PUTS} a JOIN {PUTS} b ON a.name = b.name AND a.version + 1 = b.version"
 SQL = {
+    "tool_cache_purge": "SELECT 'tool' || (vec_id % 7) AS tool, vec_id AS args_hash FROM embeddings WHERE vec_id % 500 * 10 >= 3000",
+    "permitted_commands": "SELECT principal, command, command = 'INFO' OR p = 0 OR (p = 1 AND command <> 'PROMPT.DELETE') OR (p = 2 AND command IN ('RECALL', 'EVAL.SCORE')) OR (p IN (3, 4) AND command = 'RECALL') AS allowed, count(*) AS n FROM (SELECT user_id % 6 AS p, 'u' || (user_id % 6) AS principal, ['REMEMBER', 'RECALL', 'EVAL.SCORE', 'PROMPT.DELETE', 'INFO'][event_id % 5 + 1] AS command FROM events) GROUP BY ALL",
     "trace_spans": f"SELECT span_id, trace_id, coalesce(parent_id, -1) AS parent_id, name, status FROM {SPANS}",
     "trace_close": f"SELECT span_id, CASE WHEN \"end\" IS NULL THEN 'closed' ELSE status END AS status, greatest(coalesce(\"end\", start + 9) - start, 0) AS duration FROM {SPANS}",
     "trace_get": f"SELECT span_id, name, row_number() OVER (ORDER BY seq) AS place FROM {SPANS} WHERE trace_id = 3",
@@ -179,7 +183,7 @@ SQL = {
     "prompt_search": f"SELECT id, score FROM (SELECT id, least(greatest(round(score, 6), 0), 1) AS score FROM {near_sql(f"(SELECT name || '@' || lpad(version::VARCHAR, 6, '0') AS id, content AS text FROM {_LIVE})")}) ORDER BY score DESC, id LIMIT 10",
     "dataset_from_recall": f"SELECT doc_id AS memory_id, 'recalled' AS name, 1 AS version, '{{\"source\":\"recall\",\"memory_id\":' || doc_id || ',\"key\":\"' || source || '\"}}' AS annotations FROM documents JOIN {top_sql(bm25_sql('(SELECT doc_id AS id, text FROM documents)'), 20)} h ON h.id = doc_id",
     "doc_search_cite": f"SELECT c.uri, c.version, c.chunk_index, round(h.score, 6) AS score FROM {top_sql(bm25_sql(f"(SELECT doc_id || '#' || lpad(chunk_index::VARCHAR, 6, '0') AS id, text FROM {_CHUNKS})"), 5)} h JOIN {_CHUNKS} c ON h.id = c.doc_id || '#' || lpad(c.chunk_index::VARCHAR, 6, '0')",
-    "trace_search": f"SELECT span_id, name, start FROM {SPANS} WHERE name LIKE 'role.%' AND start >= {BORN + 100} AND start < {BORN + 5000} AND status = 'ok' AND kind = 'user'",
+    "trace_search": f"SELECT span_id, name, start FROM {SPANS} WHERE name LIKE 'user.%' AND start >= {BORN + 100} AND start < {BORN + 5000} AND status = 'ok' AND kind = 'user'",
     "trace_counts": f"SELECT count(*) AS spans, count(DISTINCT trace_id) AS traces, count(DISTINCT thread_id) AS threads FROM {SPANS}",
     "prompt_versions": f"SELECT name, version, md5(content) AS digest FROM {_LIVE}",
     "prompt_latest": f"SELECT name, max(version) AS version, md5(arg_max(content, version)) AS digest FROM {_LIVE} GROUP BY name",
@@ -192,13 +196,13 @@ SQL = {
     "dataset_splits": f"SELECT DISTINCT name, split FROM {PUTS}",
     "dataset_sample": f"SELECT name, seq, split FROM {PUTS} WHERE name = 'src5' AND split = 'eval' ORDER BY seq LIMIT 5",
     "replay_capture": f"SELECT trace_id, seq, idx, model FROM {INVOCATIONS}",
-    "replay_fingerprint": f"SELECT trace_id, count(*) AS n, substr(sha256(string_agg(sha256(coalesce(input, '')) || chr(31) || kind || chr(31) || coalesce(model, ''), chr(30) ORDER BY idx)), 1, 16) AS fingerprint FROM {INVOCATIONS} GROUP BY trace_id",
+    "replay_fingerprint": f"SELECT trace_id, n, lower(printf('%08x', (h // 4294967296)::BIGINT) || printf('%08x', (h % 4294967296)::BIGINT)) AS fingerprint FROM (SELECT trace_id, n, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, octet_length(x) + 1), lambda i: ('0x' || substr(hex(x), 2 * i - 1, 2))::HUGEINT)), lambda h, b: xor(h, b) * 1099511628211 % 18446744073709551616) AS h FROM (SELECT trace_id, count(*) AS n, encode(string_agg(coalesce(input, '') || kind || coalesce(model, ''), '' ORDER BY idx)) AS x FROM {INVOCATIONS} GROUP BY trace_id))",
     "replay_plan": f"SELECT r.run_id, i.trace_id, i.idx, CASE WHEN o.action = 'model' THEN o.value ELSE i.model END AS model, CASE WHEN o.action = 'prompt' THEN o.value ELSE i.input END AS input, CASE WHEN o.action = 'output' THEN o.value WHEN o.action = 'skip' THEN 'null' ELSE '-' END AS recorded, coalesce(o.action NOT IN ('output', 'skip'), TRUE) AS executes FROM (SELECT DISTINCT run_id, trace_id FROM {_OVERRIDES}) r JOIN {INVOCATIONS} i USING (trace_id) LEFT JOIN {_OVERRIDES} o ON o.trace_id = i.trace_id AND o.idx = i.idx",
     "replay_diff": f"SELECT trace_id, idx, CASE WHEN idx % 3 = 2 THEN output IS NOT NULL WHEN idx % 3 = 1 THEN output IS NOT NULL ELSE FALSE END AS differs FROM {INVOCATIONS}",
     "replay_stats": f"SELECT count(DISTINCT trace_id) AS sessions, count(*) AS invocations FROM {INVOCATIONS}",
     "doc_versions": f"SELECT uri, doc_id, version, md5(text) AS digest FROM {_DOCS}",
     "doc_chunks": f"SELECT doc_id, version, chunk_index, md5(text) AS digest FROM {_CHUNKS}",
-    "tool_cache_live": f"SELECT 'tool' || (vec_id % 7) AS tool, vec_id * 10 < 3000 AS fresh, count(*) AS n FROM embeddings GROUP BY 1, 2",
+    "tool_cache_live": f"SELECT 'tool' || (vec_id % 7) AS tool, vec_id % 500 * 10 < 3000 AS fresh, count(*) AS n FROM embeddings GROUP BY 1, 2",
     "tool_cache_lookup": f"SELECT lookup_id, CASE WHEN exact THEN 'exact' WHEN similarity >= 0.95 THEN 'near' ELSE 'miss' END AS outcome, CASE WHEN exact OR similarity >= 0.95 THEN round(similarity, 6) ELSE -1.0 END AS similarity, CASE WHEN exact OR similarity >= 0.95 THEN result ELSE '-' END AS result FROM (SELECT *, row_number() OVER (PARTITION BY lookup_id ORDER BY exact DESC, similarity DESC, hash) AS n FROM {_LOOK}) WHERE n = 1",
     "sliding_ttl_sessions": "SELECT session_id, session, min(t) AS opened, max(t) AS last_access, count(*) AS accesses FROM (SELECT *, sum(opens) OVER (PARTITION BY session_id ORDER BY t ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM (SELECT session_id, t, CASE WHEN t - lag(t) OVER (PARTITION BY session_id ORDER BY t) < 43200 THEN 0 ELSE 1 END AS opens FROM (SELECT user_id AS session_id, epoch_us(ts) // 1000000 AS t FROM events))) GROUP BY 1, 2",
     "session_state": f"SELECT session_id, max(t) AS last_access, arg_max(data, struct_pack(a := t, b := seq)) AS data, {BORN + 25 * 86_400} - max(t) >= 86400 AS expired FROM (SELECT user_id AS session_id, epoch_us(ts) // 1000000 AS t, props AS data, event_id AS seq FROM events) GROUP BY session_id",
@@ -208,5 +212,6 @@ SQL = {
     "changes_once": "SELECT DISTINCT 'u' || user_id AS key, event_type AS \"table\" FROM events",
     "windowed_events": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS \"table\", count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "session_windows": "SELECT 'u' || user_id AS key, min(t) AS opened, count(*) AS n FROM (SELECT user_id, t, sum(o) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 43200000000 THEN 0 ELSE 1 END AS o FROM events)) GROUP BY user_id, g",
+    "alert_transitions": "SELECT key, status FROM (SELECT *, lag(status, 1, 'ok') OVER (PARTITION BY key ORDER BY ts, event_id) AS prev FROM (SELECT 'u' || user_id AS key, ts, event_id, CASE WHEN s >= 1000 THEN 'exceeded' WHEN s >= 800 THEN 'warning' ELSE 'ok' END AS status FROM (SELECT *, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM events))) WHERE status <> prev",
     "authorised_calls": "SELECT principal, command, level >= needs AS allowed, count(*) AS n FROM (SELECT 'u' || (user_id % 5) AS principal, event_type AS command, [3, 2, 1, 2, 0][user_id % 5 + 1] AS level, CASE WHEN event_type IN ('click', 'view') THEN 1 WHEN event_type = 'signup' THEN 2 ELSE 3 END AS needs FROM events) GROUP BY ALL",
 }

@@ -9,6 +9,7 @@ from reverie.functions.scalars import micros
 from reverie.operators import memory as m
 from reverie.operators import retrieval as r
 from reverie.plans.stand_ins import BORN, MEMORY, NOW, RECALLS, memory, recall_log
+from reverie.sources.scratch import folder
 from reverie.sources.tables import table
 
 QUERY, DIM, HALF = "the of and with", 32, 7 * 86_400.0
@@ -102,12 +103,20 @@ def vector_topk_ann(s, d):
     return _rounded(r.approximate_top(rows, [float(x) for x in _first(s, d)], planes, 10), "id")
 
 
+def bm25_indexed(s, d):
+    """The text index of the memories, written in folders by bucket, and a query on it."""
+    rows, path = memory(s, d), folder(s)
+    r.text_index(rows).write.partitionBy("bucket").parquet(path)
+    return _rounded(r.top(r.bm25_indexed(s.read.parquet(path), rows.select("id", r.term_total(F.col("text")).alias("n_terms")), QUERY), 32), "id")
+
+
 QUERIES = {
+    "bm25_indexed": bm25_indexed,
     "vector_topk_ann": vector_topk_ann,
     "bm25_topk": lambda s, d: _rounded(r.top(r.bm25(memory(s, d), QUERY), 32), "id"),
     "vector_topk": lambda s, d: _rounded(r.top(r.vector_scores(_vectors(s, d), _first(s, d)), 10), "id"),
     "semantic_neighbours": semantic_neighbours,
-    "hash_embedding": lambda s, d: memory(s, d).select("id", F.transform(r.hash_embedding(F.col("text"), DIM), lambda x: F.round(x, 6)).alias("v")).select("id", *(F.element_at("v", i + 1).alias(f"v{i}") for i in (0, 7, 31))),
+    "hash_embedding": lambda s, d: memory(s, d).select("id", F.transform(r.hash_embedding(F.col("text"), DIM), lambda x: F.round(x, 6)).alias("v")).select("id", *(F.element_at("v", i + 1).alias(f"v{i}") for i in range(DIM))),
     "rrf_fuse": lambda s, d: _rounded(r.rrf([r.top(r.vector_scores(memory(s, d).select("id", r.hash_embedding(F.col("text"), DIM).alias("embedding")), r.hash_query(QUERY, DIM)), 32), r.top(r.bm25(memory(s, d), QUERY), 32)], n=20), "id"),
     "hybrid_recall": lambda s, d: _rounded(m.recall(memory(s, d), QUERY), "id", "key", "kind"),
     "hybrid_recall_filtered": lambda s, d: _rounded(m.recall(memory(s, d), QUERY, k=5, filtered=r.recall_filter(**_FILTER)), "id", "key", "kind"),
@@ -129,10 +138,11 @@ QUERIES = {
 }
 
 SQL = {
+    "bm25_indexed": f"SELECT id, round(score, 6) AS score FROM {top_sql(bm25_sql(MEMORY), 32)}",
     "bm25_topk": f"SELECT id, round(score, 6) AS score FROM {top_sql(bm25_sql(MEMORY), 32)}",
     "vector_topk": f"SELECT v.id, round({_cos('v.e', 'q.e')}, 6) AS score FROM {_V} v, (SELECT e FROM {_V} WHERE id = 0) q ORDER BY {_cos('v.e', 'q.e')} DESC, v.id LIMIT 10",
     "semantic_neighbours": f"SELECT q, id, score, rank FROM (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id AS q, v.vec_id AS id, round({_cos('v.embedding::DOUBLE[]', 'q.embedding::DOUBLE[]')}, 6) AS score FROM embeddings v JOIN embeddings q ON v.label = q.label AND v.vec_id <> q.vec_id)) WHERE rank <= 3",
-    "hash_embedding": f"SELECT id, round(v[1], 6) AS v0, round(v[8], 6) AS v7, round(v[32], 6) AS v31 FROM {embedded_sql(MEMORY)}",
+    "hash_embedding": "SELECT id, " + ", ".join(f"round(v[{i + 1}], 6) AS v{i}" for i in range(DIM)) + f" FROM {embedded_sql(MEMORY)}",
     "rrf_fuse": f"SELECT id, round(score, 6) AS score FROM {hybrid_sql(MEMORY, 20, 32)}",
     "hybrid_recall": f"SELECT h.id, m.key, m.kind, round(score, 6) AS score FROM {hybrid_sql(MEMORY, 10, 32)} h JOIN {MEMORY} m USING (id)",
     "hybrid_recall_filtered": f"SELECT h.id, m.key, m.kind, round(score, 6) AS score FROM {hybrid_sql(_FILTERED, 5, 128)} h JOIN {MEMORY} m USING (id)",

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from reverie.functions.scalars import glob_match
 from reverie.operators.ledgers import summarize
-from reverie.plans.histories import _scratch
 from reverie.plans.stand_ins import MEMORY, memory
 from reverie.sources import tables as t
+from reverie.sources.scratch import folder as _scratch
 from reverie.sources.tables import table
 
 

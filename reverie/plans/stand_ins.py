@@ -26,10 +26,10 @@ MEMORY = f"(SELECT doc_id AS id, source AS key, text, 0.5 + (doc_id % 10) / 10.0
 
 
 def recall_log(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select((F.col("event_id") % 200).alias("id"), F.floor(micros(F.col("ts")) / 1_000_000).alias("at"))
+    return table(spark, d, "events").select((F.col("event_id") % table(spark, d, "documents").count()).alias("id"), F.floor(micros(F.col("ts")) / 1_000_000).alias("at"))
 
 
-RECALLS = '(SELECT event_id % 200 AS id, epoch_us(ts) // 1000000 AS "at" FROM events)'
+RECALLS = '(SELECT event_id % (SELECT count(*) FROM documents) AS id, epoch_us(ts) // 1000000 AS "at" FROM events)'
 
 
 def spend(spark: SparkSession, d: str) -> DataFrame:

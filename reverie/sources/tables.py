@@ -69,6 +69,28 @@ def copy_folder(spark: SparkSession, source: str, target: str, *, force: bool =
     return backup
 
 
+def put_object(spark: SparkSession, path: str, content: bytes) -> None:
+    """Writes one object on any file system that Spark reaches, in place of one that is there."""
+    where, fs = _files(spark, path)
+    stream = fs.create(where, True)
+    try:
+        stream.write(bytearray(content))
+    finally:
+        stream.close()
+
+
+def get_object(spark: SparkSession, path: str) -> bytes:
+    rows = spark.read.format("binaryFile").load(path).select("content").collect()
+    if not rows:
+        raise FileNotFoundError(path)
+    return bytes(rows[0][0])
+
+
+def delete_object(spark: SparkSession, path: str) -> bool:
+    where, fs = _files(spark, path)
+    return fs.delete(where, False)
+
+
 def documents_from_files(spark: SparkSession, path: str) -> DataFrame:
     """``uri, content_type, text`` of the files below a folder; bytes that are not UTF-8 are replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

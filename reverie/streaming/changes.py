@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,12 +42,20 @@ def session_windows(stream: DataFrame, gap: str, delay: str = "1 day") -> DataFr
     return stream.withWatermark("at", delay).groupBy(F.session_window("at", gap).alias("w"), "key").agg(F.count("*").alias("n")).select("key", F.col("w.start").alias("opened"), "n")
 
 
-def run_to_end(stream: DataFrame, mode: str, checkpoint: str) -> DataFrame:
-    """Runs over what there is now and returns it as a table in memory: for tests and small results."""
-    name = "s" + uuid.uuid4().hex
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs an aggregation over what there is now and returns its last complete state, written to Parquet files.
+
+    Each batch replaces a folder of its own, so that a batch that is run again changes nothing.
+    """
+    spark, last = stream.sparkSession, []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number:09d}")
+        last.append(number)
+
+    query = stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/{max(last):09d}") if last else spark.createDataFrame([], stream.schema)
 
 
 def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
@@ -70,7 +76,7 @@ def alert_transitions(stream: DataFrame, amount: float, warn: float) -> DataFram
     def step(key, frames, state: GroupState):
         spent, status = state.get if state.exists else (0.0, "ok")
         out = []
-        rows = pd.concat(list(frames)).sort_values("at")
+        rows = pd.concat([f for f in frames if len(f)]).sort_values("at", kind="stable")
         for at, value in zip(rows["at"], rows["value"], strict=True):
             spent += value
             now = "exceeded" if spent >= amount else "warning" if spent >= amount * warn else "ok"

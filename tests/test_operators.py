@@ -144,6 +144,18 @@ def test_subtree_is_in_pre_order_and_cycles_end(spark):
     assert order("c1") == ["c1", "c2"]
 
 
+def test_deep_and_wide_trees_are_followed_to_the_end(spark):
+    chain = [("t", f"d{i}", f"d{i - 1}" if i else None, i) for i in range(200)]
+    wide = [("w", "top", None, 1000)] + [("w", f"x{i}", "top", 1001 + i) for i in range(500)]
+    orphan = [("o", "lost", "nowhere", 2000), ("o", "own", "own", 2001), ("o", "across", "d5", 2002)]
+    spans = h.current_spans(spark.createDataFrame(chain + wide + orphan, "trace_id string, span_id string, parent_id string, seq int"))
+    tree = {(r.root, r.span_id): (r.depth, r.place) for r in h.subtrees(spans, spans.where("span_id in ('d0', 'd150', 'top', 'lost', 'own', 'across')")).collect()}
+    assert [tree["d0", f"d{i}"] for i in range(200)] == [(i, i + 1) for i in range(200)]
+    assert tree["d150", "d199"] == (49, 50) and ("d0", "across") not in tree and tree["across", "across"] == (0, 1)
+    assert all(tree["top", f"x{i}"] == (1, i + 2) for i in range(500))
+    assert tree["lost", "lost"] == tree["own", "own"] == (0, 1)
+
+
 def test_versions_are_never_used_again(spark):
     puts = h.versions(spark.createDataFrame([("p", 1), ("p", 2), ("p", 3)], "name string, seq int"))
     live = h.live_versions(puts, puts.where("version = 3"))
@@ -157,10 +169,65 @@ def test_tags_follow_the_last_event(spark):
     assert values(h.current_tags(tags, live), "tag", "version") == [("prod", 2)]
 
 
+def brute_diff(a, b):
+    """The rule by looking ahead line by line."""
+    old, new, out = a.split("\n"), b.split("\n"), []
+    while old and new:
+        if old[0] == new[0]:
+            out.append(" " + old[0])
+            old, new = old[1:], new[1:]
+        elif old[0] not in new and new[0] not in old:
+            out += ["-" + old[0], "+" + new[0]]
+            old, new = old[1:], new[1:]
+        elif new[0] in old and (old[0] not in new or old.index(new[0]) < new.index(old[0])):
+            out.append("-" + old[0])
+            # go on until the line that was found
+            stop = old.index(new[0])
+            out += ["-" + x for x in old[1:stop]]
+            old = old[stop:]
+        else:
+            stop = new.index(old[0])
+            out += ["+" + x for x in new[:stop]]
+            new = new[stop:]
+    return "\n".join(out + ["-" + x for x in old] + ["+" + x for x in new])
+
+
 def test_line_diff():
+    import random
+
     assert h.line_diff("line a\nshared\nline c", "line a\nshared\nNEW line").split("\n") == [" line a", " shared", "-line c", "+NEW line"]
-    assert h.line_diff("", "") == "" and h.line_diff(None, "x") == "+x"
+    assert h.line_diff("", "") == "" and h.line_diff(None, "x") == "+x" and h.line_diff("a\r\nb\n", "a\nb") == " a\n b"
     assert h.line_diff("a\nb\nc", "b\nc").split("\n") == ["-a", " b", " c"]
+    r = random.Random(1)
+    for _ in range(500):
+        a, b = ("\n".join(r.choice("abcdef") for _ in range(r.randint(1, 9))) for _ in range(2))
+        assert h.line_diff(a, b) == brute_diff(a, b)
+
+
+def test_fingerprints_are_fnv1a(spark):
+    calls = h.captured(spark.createDataFrame([("t", 1, "llm_call", "m", "a"), ("u", 1, "", None, "")], "trace_id string, seq int, kind string, model string, input string"))
+    found = {r.trace_id: r.fingerprint for r in h.fingerprints(calls).collect()}
+    assert found["u"] == "cbf29ce484222325"
+    value = 0xCBF29CE484222325
+    for byte in b"allm_callm":
+        value = (value ^ byte) * 0x100000001B3 % 2**64
+    assert found["t"] == f"{value:016x}"
+
+
+def test_eviction_cuts_exactly_among_ties(spark):
+    memory = spark.createDataFrame([(i, "k", float(i % 5 + 1), 1000) for i in range(400)], "id int, key string, importance double, created_at long")
+    log = spark.createDataFrame([], "id int, at long")
+    order = sorted(range(400), key=lambda i: (i % 5, i))
+    for cap in (0, 1, 37, 200, 399, 400):
+        assert sorted(row.id for row in m.evict(memory, log, cap, 1000).collect()) == sorted(order[: 400 - cap])
+
+
+def test_set_members_keep_their_types(spark):
+    rows = spark.createDataFrame([('{"n": 1, "o": {"x": [true, null]}, "s": "1", "temperature": 9}', "0.5"), ("[1]", "2")], "doc string, value string")
+    import json
+
+    found = [r[0] for r in rows.select(x.set_json_field(F.col("doc"), "temperature", F.col("value"))).collect()]
+    assert json.loads(found[0]) == {"n": 1, "o": {"x": [True, None]}, "s": "1", "temperature": 0.5} and found[1] == "[1]"
 
 
 def test_replay_overrides(spark):
@@ -168,7 +235,7 @@ def test_replay_overrides(spark):
     overrides = spark.createDataFrame([("r", "t", 0, "model", "big", 1), ("r", "t", 1, "temperature", "0.5", 1), ("r", "t", 2, "output", "fixed", 1), ("r", "t", 3, "skip", None, 1), ("r", "t", 0, "skip", None, 2)], "run_id string, trace_id string, at_idx int, action string, value string, seq int")
     plan = {row.idx: row for row in h.replay_plan(calls, overrides).collect()}
     assert plan[0].model == "big" and plan[0].executes
-    assert '"temperature":"0.5"' in plan[1].input
+    assert '"temperature":0.5' in plan[1].input
     assert plan[2].recorded == "fixed" and not plan[2].executes
     assert plan[3].recorded == "null" and not plan[3].executes
     assert plan[4].recorded is None and plan[4].executes
@@ -227,8 +294,8 @@ def test_stream_windows_and_alerts(spark, tmp_path):
     events = spark.createDataFrame([(1, "2024-01-01 00:00:00", 1, "click", 50.0, "{}"), (2, "2024-01-01 01:00:00", 1, "click", 40.0, "{}"), (3, "2024-01-01 02:00:00", 1, "view", 20.0, "{}"), (4, "2024-01-02 00:00:00", 2, "error", 5.0, "{}")], "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     events.write.parquet(f"file://{tmp_path}/events")
     stream = lambda: c.event_stream(spark, f"file://{tmp_path}/events")
-    assert values(c.run_to_end(c.windowed(stream(), "1 day"), "complete", f"file://{tmp_path}/c1"), "table", "n") == [("click", 2), ("error", 1), ("view", 1)]
-    assert values(c.run_to_end(c.alert_transitions(stream(), 100.0, 0.8), "append", f"file://{tmp_path}/c2"), "key", "status") == [("u1", "exceeded"), ("u1", "warning")]
+    assert values(c.run_to_end(c.windowed(stream(), "1 day"), f"file://{tmp_path}/o1", f"file://{tmp_path}/c1"), "table", "n") == [("click", 2), ("error", 1), ("view", 1)]
+    assert values(c.run_to_files(c.alert_transitions(stream(), 100.0, 0.8), f"file://{tmp_path}/o2", f"file://{tmp_path}/c2"), "key", "status") == [("u1", "exceeded"), ("u1", "warning")]
     assert values(c.run_to_files(c.subscribed(stream(), exact="click.u1"), f"file://{tmp_path}/o", f"file://{tmp_path}/c3"), "row_id") == [(1,), (2,)]
 
 
