@@ -306,7 +306,7 @@ def sketch_counts(short: DataFrame) -> np.ndarray:
         hasher, counts = WordHasher(), np.zeros(2 * SKETCH, dtype=np.int64)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in chunks(ids, texts):
+            for a, b in chunks(ids, texts, 600_000):
                 sets = [shingles(hasher, t) for t in texts[a:b]]
                 for up in (0, 1):
                     key, _, _, _, _, _, without = segments_of(sets, up, deletions=True)
@@ -336,7 +336,7 @@ def raised(key, owner, empty, at, without, spare: int, dear: np.ndarray, counts:
 
 
 def neighbourhoods(short: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
-    """Index and probes of the short sets (doc_id, text, h, dear: their dear keys): packed (key, value) as in ``index``.
+    """Index and probes of the short sets (doc_id, text, h, dear: their dear keys, packed): packed (key, value) as in ``index``.
 
     A set that cannot make up H + 1 has no probes and gets a row with p -1: its packed name.
     """
@@ -345,7 +345,7 @@ def neighbourhoods(short: DataFrame, counts: np.ndarray, buckets: int) -> DataFr
         hasher = WordHasher()
         for batch in batches:
             texts, names, dear = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for a, b in chunks(names, texts):
+            for a, b in chunks(names, texts, 600_000):
                 keys, values, hopeless = [], [], set()
 
                 def put(key: np.ndarray, name: int, what: int, keys=keys, values=values) -> None:
@@ -356,7 +356,7 @@ def neighbourhoods(short: DataFrame, counts: np.ndarray, buckets: int) -> DataFr
                     s = [shingles(hasher, text)]
                     if set_name(s[0]) != name:
                         continue  # another text of that doc_id
-                    costly = np.array(costly, dtype=np.int64).view(np.uint64)
+                    costly = np.frombuffer(costly, dtype=np.uint64)
                     for up in (0, 1):
                         key, owner, empty, band, use, at, without = segments_of(s, up, deletions=True)
                         if not use[0]:
@@ -377,6 +377,31 @@ def neighbourhoods(short: DataFrame, counts: np.ndarray, buckets: int) -> DataFr
     return map_arrow(short.select("doc_id", "text", "h", "dear"), run, "p int, entries binary")
 
 
+def packed_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows ``doc_id, h, gid`` in the order of sets: one row for each with all its gids packed."""
+
+    def listing(names: list[tuple[int, int]], parts: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in names], pa.int64()), pa.array([h for _, h in names], pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["doc_id", "h", "dear"])
+
+    last, held = None, []
+    for batch in batches:
+        doc, h, gid = (c.to_numpy() for c in batch.columns)
+        starts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(doc) else np.empty(0, dtype=np.int64)
+        names, parts = [], []
+        for i, j in zip(starts, np.r_[starts[1:], len(doc)], strict=True):
+            name = (int(doc[i]), int(h[i]))
+            if last is not None and name != last:
+                names.append(last)
+                parts.append(np.concatenate(held))
+                held = []
+            last = name
+            held.append(gid[i:j])
+        if names:
+            yield listing(names, parts)
+    if last is not None:
+        yield listing([last], [np.concatenate(held)])
+
+
 def unpacked_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.int64))], names=["h"])
@@ -558,16 +583,15 @@ def similar_classes(docs: DataFrame, *, dear_from: int = 32) -> tuple[DataFrame,
     cheap = found.where("not dear").select("gid", "h").join(reps, "h").select("gid", F.col("rep").alias("doc_id"))
     # sets with more dear entries than they can spare
     dear = found.where("dear")
-    lists = dear.groupBy("h").agg(F.collect_set("gid").alias("dear"))
-    short = lists.join(reps, "h").where("size(dear) > slack").select(F.col("rep").alias("doc_id"), "h", "dear")
-    short = cut(short)
-    texts = only_slots(docs, slots_used(short, 1 << 20), 1 << 20, True).join(short, "doc_id")
-    texts = cut(texts.select("doc_id", "text", "h", "dear"))
+    short = cut(dear.groupBy("h").count().join(reps, "h").where("count > slack").select(F.col("rep").alias("doc_id"), "h"))
+    keys = dear.select("gid", "h").join(short, "h").select("doc_id", "h", "gid")
+    lists = map_arrow(keys.repartition("doc_id").sortWithinPartitions("doc_id", "h"), packed_lists, "doc_id long, h long, dear binary")
+    texts = cut(only_slots(docs, slots_used(short, 1 << 20), 1 << 20, True).join(lists, "doc_id").select("doc_id", "text", "h", "dear"))
     near = cut(neighbourhoods(texts, sketch_counts(texts), 4 * partitions))
     by_h4 = short.select(F.col("h").bitwiseAND(F.lit(~3)).alias("h4"), "doc_id")
     widened = neighbour_groups(near.where("p >= 0").repartition(partitions, "p")).join(by_h4, "h4").select("gid", "doc_id")
     # those that neighbourhoods cannot serve keep their dear entries
-    hopeless = short.join(map_arrow(near.where("p < 0"), unpacked_names, "h long").distinct(), "h", "left_semi").select("doc_id", F.explode("dear").alias("gid"))
+    hopeless = keys.join(map_arrow(near.where("p < 0"), unpacked_names, "h long").distinct(), "h", "left_semi").select("doc_id", "gid")
     members = cut(cheap.unionByName(widened).unionByName(hopeless).distinct())
     heads = members.groupBy("gid").agg(F.min("doc_id").alias("head"), F.count("*").alias("size")).where("size > 1")
     members = cut(members.join(heads, "gid").select("gid", "doc_id", "head"))
