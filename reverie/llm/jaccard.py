@@ -588,11 +588,14 @@ def similar_classes(docs: DataFrame, *, dear_from: int = 32) -> tuple[DataFrame,
     lists = map_arrow(keys.repartition("doc_id").sortWithinPartitions("doc_id", "h"), packed_lists, "doc_id long, h long, dear binary")
     texts = cut(only_slots(docs, slots_used(short, 1 << 20), 1 << 20, True).join(lists, "doc_id").select("doc_id", "text", "h", "dear"))
     near = cut(neighbourhoods(texts, sketch_counts(texts), 4 * partitions))
+    drop_table(texts)
     by_h4 = short.select(F.col("h").bitwiseAND(F.lit(~3)).alias("h4"), "doc_id")
     widened = neighbour_groups(near.where("p >= 0").repartition(partitions, "p")).join(by_h4, "h4").select("gid", "doc_id")
     # those that neighbourhoods cannot serve keep their dear entries
     hopeless = keys.join(map_arrow(near.where("p < 0"), unpacked_names, "h long").distinct(), "h", "left_semi").select("doc_id", "gid")
     members = cut(cheap.unionByName(widened).unionByName(hopeless).distinct())
+    for done in (found, short, near):
+        drop_table(done)
     heads = members.groupBy("gid").agg(F.min("doc_id").alias("head"), F.count("*").alias("size")).where("size > 1")
     members = cut(members.join(heads, "gid").select("gid", "doc_id", "head"))
     star = cut(ruled_in(members.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), info))
@@ -602,7 +605,7 @@ def similar_classes(docs: DataFrame, *, dear_from: int = 32) -> tuple[DataFrame,
     mixed = labelled.groupBy("gid").agg(F.min("component").alias("u"), F.max("component").alias("v")).where("u <> v").select("gid")
     rest = cut(open_pairs(labelled.join(mixed, "gid", "left_semi"), info).join(star, ["a", "b"], "left_anti"))
     more = verify(rest, docs)
-    for done in (info, found, short, texts, near, members, star, rest):
+    for done in (info, members, star, rest):
         drop_table(done)
     return classes.select("doc_id", "n", "rep"), links.unionByName(more)
 
