@@ -47,6 +47,8 @@ from reverie.llm.components import components
 SIZE = 5
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
 NUMER, DENOM = 80, 100
+#: Keys of entries have 56 bits: a chance collision adds candidates, which are compared exactly.
+_KEY = np.uint64(0xFFFFFFFFFFFFFF00)
 
 
 def shingles(hasher: WordHasher, text: str | None) -> np.ndarray:
@@ -103,9 +105,9 @@ def segments_of(sets: list[np.ndarray], up: int, keys: bool = True, deletions: b
         np.add.at(total, at, mix64(spread))
         segment = (np.arange(starts[-1]) - starts[owner]).astype(np.uint64)
         salt = segment * np.uint64(0x9E3779B97F4A7C15) + band[owner].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        key = mix64(total + salt)
+        key = mix64(total + salt) & _KEY
         if deletions:
-            return key, owner, empty, band, use, at, mix64(total[at] - mix64(spread) + salt[at])
+            return key, owner, empty, band, use, at, mix64(total[at] - mix64(spread) + salt[at]) & _KEY
     return key, owner, empty, band, use
 
 
@@ -200,14 +202,26 @@ def describe(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, "doc_id long, n long, h long, slack long, bits binary")
 
 
+def planes(key: np.ndarray) -> bytes:
+    """Keys in ascending order as their differences, byte by byte: the bytes that are mostly 0 stand together and compress."""
+    return np.diff(key, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(packed: bytes) -> np.ndarray:
+    """The inverse of ``planes``."""
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(packed, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def dealt(key: np.ndarray, value: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """``p, entries``: packed (key, value), one row for each bucket of keys."""
+    """``p, entries``: packed (key, value) in the order of keys, one row for each bucket of keys."""
+    if not len(key):
+        return
+    order = np.argsort(key)
+    key, value = key[order], value[order]
     p = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
-    order = np.argsort(p.astype(np.uint16) if buckets < 1 << 16 else p, kind="stable")
-    key, value, p = key[order], value[order], p[order]
-    cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.empty(0, dtype=np.int64)
+    cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
     ends = np.r_[cuts[1:], len(p)]
-    packed = [key[i:j].tobytes() + value[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)]
+    packed = [planes(key[i:j]) + value[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)]
     for i in range(0, len(cuts), 2000):
         yield pa.RecordBatch.from_arrays([pa.array(p[cuts[i : i + 2000]].astype(np.int32)), pa.array(packed[i : i + 2000], pa.binary())], names=["p", "entries"])
 
@@ -218,7 +232,7 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]
     for batch in batches:
         for packed in batch.column(1).to_pylist():
             half = len(packed) // 2
-            keys.append(np.frombuffer(packed, dtype=np.uint64, count=half // 8))
+            keys.append(from_planes(packed[:half]))
             values.append(np.frombuffer(packed, dtype=np.int64, offset=half))
     key, value = np.concatenate(keys), np.concatenate(values)
     order = np.argsort(key, kind="stable")

@@ -324,10 +324,20 @@ def test_short_sets_find_each_other_through_one_deletion_neighbourhoods(spark):
 def test_neighbour_groups_join_seekers_and_holders(spark):
     key = np.array([5, 5, 5, 9, 9, 7], dtype=np.uint64) << np.uint64(40)
     value = np.array([4 | jaccard.WHOLE, 8 | jaccard.SEEKS_WHOLE, 12 | jaccard.WITHOUT, 4 | jaccard.WITHOUT, 8 | jaccard.WHOLE, 4 | jaccard.SEEKS_WHOLE], dtype=np.int64)
-    df = spark.createDataFrame([(0, bytearray(key.tobytes() + value.tobytes()))], "p int, entries binary")
+    rows = [(r["p"].as_py(), bytearray(r["entries"].as_py())) for b in jaccard.dealt(key, value, 4) for r in ({"p": b.column(0)[i], "entries": b.column(1)[i]} for i in range(b.num_rows))]
+    df = spark.createDataFrame(rows, "p int, entries binary")
     assert sorted(x.h4 for x in jaccard.neighbour_groups(df).collect()) == [4, 8]
 
 
+def test_entries_are_what_was_dealt():
+    r = np.random.default_rng(3)
+    key = np.concatenate([r.integers(0, 2**64, 3000, dtype=np.uint64), np.array([0, 0, 2**64 - 1, 2**64 - 1], dtype=np.uint64)])
+    value = r.integers(-(2**63), 2**63, len(key))
+    found = jaccard.gathered(jaccard.dealt(key, value, 7))
+    assert sorted(zip(*(x.tolist() for x in found), strict=True)) == sorted(zip(key.tolist(), value.tolist(), strict=True))
+    assert not list(jaccard.dealt(key[:0], value[:0], 7)) and not len(jaccard.gathered(iter([]))[0])
+
+
 def test_similarity_of_odd_rows(spark, odd, empty):
     found = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similarity_components(odd).collect()]
     assert Counter(found) == Counter([(0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 1, 4), (4, 1, 4), (5, 1, 5), (6, 1, 6), (7, 1, 7), (8, 1, 7)])
