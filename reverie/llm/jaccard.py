@@ -255,13 +255,10 @@ def index(docs: DataFrame, buckets: int) -> DataFrame:
     return map_arrow(docs, run, "p int, entries binary")
 
 
-def listed(rows: list[tuple[int, np.ndarray, bool]]) -> pa.RecordBatch:
-    """``gid, h, dear`` of groups (name, members, dear)."""
-    sizes = [len(who) for _, who, _ in rows]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.repeat(np.array([g for g, _, _ in rows], dtype=np.uint64), sizes).view(np.int64)), pa.array(np.concatenate([who for _, who, _ in rows])), pa.array(np.repeat([d for _, _, d in rows], sizes))],
-        names=["gid", "h", "dear"],
-    )
+def listed(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    """``gid, h`` of groups (name, members)."""
+    sizes = [len(who) for _, who in rows]
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([g for g, _ in rows], dtype=np.uint64), sizes).view(np.int64)), pa.array(np.concatenate([who for _, who in rows]))], names=["gid", "h"])
 
 
 def name_of(members: np.ndarray) -> int:
@@ -270,36 +267,66 @@ def name_of(members: np.ndarray) -> int:
 
 
 def groups(entries: DataFrame, dear_from: int) -> DataFrame:
-    """``gid, h, dear``: members of every entry that at least two sets have.
+    """``gid, h, who``: members of every entry that at least two sets have.
 
-    Cheap entries with the same members are one group. An entry that more than
-    ``dear_from`` sets have is dear, and its gid is its key.
+    Cheap entries with the same members are one group, a row with its members packed in ``who``. An entry that more
+    than ``dear_from`` sets have is dear: its gid is its key, and each member is a row with its name in ``h``.
     """
 
+    def packed(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        gid = np.array([g for g, _ in rows], dtype=np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(gid), pa.nulls(len(rows), pa.int64()), pa.array([who.tobytes() for _, who in rows], pa.binary())], names=["gid", "h", "who"])
+
+    def single(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        rows = listed(rows)
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(rows.num_rows, pa.binary())], names=["gid", "h", "who"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, name = gathered(batches)
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
         size = np.diff(np.r_[start, len(key)])
         known: set[int] = set()
-        out = []
+        out, dear, members = [], [], 0
         for i, n in zip(start[size > 1], size[size > 1], strict=True):
             who = np.unique(name[i : i + n])
             if len(who) < 2:
                 continue
-            costly = len(who) > dear_from
-            gid = int(key[i]) if costly else name_of(who)
-            if not costly:
-                if gid in known:
-                    continue
+            if len(who) > dear_from:
+                dear.append((int(key[i]), who))
+                members += len(who)
+            elif (gid := name_of(who)) not in known:
                 known.add(gid)
-            out.append((gid, who, costly))
+                out.append((gid, who))
             if len(out) >= 5000:
-                yield listed(out)
+                yield packed(out)
                 out = []
+            if members >= 20_000:
+                yield single(dear)
+                dear, members = [], 0
         if out:
-            yield listed(out)
+            yield packed(out)
+        if dear:
+            yield single(dear)
+
+    return map_arrow(entries, run, "gid long, h long, who binary")
+
+
+def members_once(packed: DataFrame) -> DataFrame:
+    """``gid, h``: the members of packed groups (gid, who); a gid that several tasks report has equal members and counts once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gid = batch.column(0).to_numpy()
+            first = np.r_[last is None or gid[0] != last, gid[1:] != gid[:-1]]
+            last = gid[-1]
+            who = batch.column(1).filter(pa.array(first)).to_pylist()
+            if who:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(gid[first], [len(w) // 8 for w in who])), pa.array(np.frombuffer(b"".join(who), dtype=np.int64))], names=["gid", "h"])
 
-    return map_arrow(entries, run, "gid long, h long, dear boolean")
+    return map_arrow(packed.repartition("gid").sortWithinPartitions("gid"), run, "gid long, h long")
 
 
 # --- one-deletion neighbourhoods of the short sets ---
@@ -438,14 +465,14 @@ def neighbour_groups(entries: DataFrame) -> DataFrame:
                 who = np.unique(name[(what == seeks) | (what == has)])
                 if len(who) > 1 and (gid := name_of(who)) not in known:
                     known.add(gid)
-                    out.append((gid, who, False))
+                    out.append((gid, who))
             if len(out) >= 5000:
                 yield listed(out)
                 out = []
         if out:
             yield listed(out)
 
-    return map_arrow(entries, run, "gid long, h long, dear boolean").select("gid", F.col("h").alias("h4"))
+    return map_arrow(entries, run, "gid long, h long").withColumnRenamed("h", "h4")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, slots: int = 1 << 20) -> DataFrame:
@@ -594,11 +621,11 @@ def similar_classes(docs: DataFrame, *, dear_from: int = 32) -> tuple[DataFrame,
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = index(docs, 4 * partitions).repartition(partitions, "p")
     found = cut(groups(entries, dear_from))
-    cheap = found.where("not dear").select("gid", "h").join(reps, "h").select("gid", F.col("rep").alias("doc_id"))
+    cheap = members_once(found.where("who is not null").select("gid", "who")).join(reps, "h").select("gid", F.col("rep").alias("doc_id"))
     # sets with more dear entries than they can spare
-    dear = found.where("dear")
+    dear = found.where("who is null").select("gid", "h")
     short = cut(dear.groupBy("h").count().join(reps, "h").where("count > slack").select(F.col("rep").alias("doc_id"), "h"))
-    keys = dear.select("gid", "h").join(short, "h").select("doc_id", "h", "gid")
+    keys = dear.join(short, "h").select("doc_id", "h", "gid")
     lists = map_arrow(keys.repartition("doc_id").sortWithinPartitions("doc_id", "h"), packed_lists, "doc_id long, h long, dear binary")
     texts = cut(only_slots(docs, slots_used(short, 1 << 20), 1 << 20, True).join(lists, "doc_id").select("doc_id", "text", "h", "dear"))
     near = cut(neighbourhoods(texts, sketch_counts(texts), 4 * partitions))
@@ -607,7 +634,7 @@ def similar_classes(docs: DataFrame, *, dear_from: int = 32) -> tuple[DataFrame,
     widened = neighbour_groups(near.where("p >= 0").repartition(partitions, "p")).join(by_h4, "h4").select("gid", "doc_id")
     # those that neighbourhoods cannot serve keep their dear entries
     hopeless = keys.join(map_arrow(near.where("p < 0"), unpacked_names, "h long").distinct(), "h", "left_semi").select("doc_id", "gid")
-    members = cut(cheap.unionByName(widened).unionByName(hopeless).distinct())
+    members = cut(cheap.unionByName(widened.unionByName(hopeless).distinct()))
     for done in (found, short, near):
         drop_table(done)
     heads = members.groupBy("gid").agg(F.min("doc_id").alias("head"), F.count("*").alias("size")).where("size > 1")

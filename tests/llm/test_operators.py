@@ -338,6 +338,15 @@ def test_entries_are_what_was_dealt():
     assert not list(jaccard.dealt(key[:0], value[:0], 7)) and not len(jaccard.gathered(iter([]))[0])
 
 
+def test_groups_are_unpacked_once(spark):
+    """A group that several tasks report with the same members is one."""
+    who = np.array([3, -4, 5], dtype=np.int64)
+    rows = [(7, bytearray(who.tobytes()))] * 3 + [(9, bytearray(who[:2].tobytes()))]
+    found = jaccard.members_once(spark.createDataFrame(rows, "gid long, who binary").repartition(3)).collect()
+    assert sorted(map(tuple, found)) == [(7, -4), (7, 3), (7, 5), (9, -4), (9, 3)]
+    assert jaccard.members_once(spark.createDataFrame([], "gid long, who binary")).count() == 0
+
+
 def test_similarity_of_odd_rows(spark, odd, empty):
     found = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similarity_components(odd).collect()]
     assert Counter(found) == Counter([(0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 1, 4), (4, 1, 4), (5, 1, 5), (6, 1, 6), (7, 1, 7), (8, 1, 7)])
