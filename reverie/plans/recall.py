@@ -74,9 +74,8 @@ _GONE = f"(SELECT id FROM {MEMORY} WHERE key = 'src3' OR created_at < {BORN + 36
 
 def semantic_neighbours(s, d):
     """For every vector, the three most cosine-similar others with its label."""
-    rows = table(s, d, "embeddings").select("label", F.col("vec_id").alias("id"), "embedding")
-    asked = rows.select("label", F.col("id").alias("q"), F.col("embedding").alias("e"))
-    pairs = rows.join(asked, "label").where("id <> q").select("q", "id", F.round(r.cosine(F.col("embedding"), F.col("e")), 6).alias("score"))
+    rows = table(s, d, "embeddings").select(F.col("label").alias("group"), F.col("vec_id").alias("id"), "embedding")
+    pairs = r.best_matches(rows.withColumnRenamed("id", "q"), rows, 3, 6, others=True).select("q", "id", "score")
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "id"))).where("rank <= 3")
 
 
