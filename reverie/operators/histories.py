@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reverie.functions.scalars import cosine, glob_match, json_equal, set_json_field
+from reverie.functions.scalars import glob_match, json_equal, set_json_field
+from reverie.operators.retrieval import best_matches
 from reverie.sources.scratch import cut
 
 # --- traces: trace_id, span_id, parent_id, thread_id, name, kind, start, end, status, attributes, seq ---
@@ -300,8 +301,10 @@ def cache_lookup(cache: DataFrame, lookups: DataFrame, now: float, least: float
     same = lookups.join(usable.select("tool", "args_hash", F.struct("result").alias("hit")), ["tool", "args_hash"], "left")
     exact = same.where("hit is not null").select("lookup_id", F.lit("exact").alias("outcome"), F.lit(1.0).alias("similarity"), "hit.result")
     rest = same.where("hit is null").select("lookup_id", "tool", "embedding")
-    entries = usable.select("tool", F.col("args_hash").alias("hash"), F.col("embedding").alias("vec"), "result")
-    scored = rest.join(entries, "tool").select("lookup_id", F.round(cosine(F.col("embedding"), F.col("vec")), 9).alias("similarity"), "hash", "result").where(F.col("similarity") >= least)
+    entries = usable.select(F.col("tool").alias("group"), F.col("args_hash").alias("id"), "embedding")
+    found = best_matches(rest.select(F.col("tool").alias("group"), F.col("lookup_id").alias("q"), "embedding"), entries, 1, 9, least=least)
+    results = usable.select("tool", F.col("args_hash").alias("hash"), "result")
+    scored = found.join(results, (F.col("group") == F.col("tool")) & F.col("id").eqNullSafe(F.col("hash"))).select(F.col("q").alias("lookup_id"), F.col("score").alias("similarity"), "hash", "result")
     best = scored.groupBy("lookup_id").agg(F.max_by(F.struct("similarity", "result"), F.struct("similarity", -F.col("hash"))).alias("b"))
     near = rest.select("lookup_id").join(best, "lookup_id", "left")
     return exact.unionByName(near.select("lookup_id", F.when(F.col("b").isNull(), "miss").otherwise("near").alias("outcome"), "b.similarity", "b.result"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reverie.functions.scalars import cosine
+from reverie.operators import histories as h
 from reverie.operators.retrieval import best_matches
 
 
@@ -36,3 +37,20 @@ def test_pairs_of_a_group_do_not_leave_their_block(spark):
         s = np.round(unit @ unit[q], 6)
         s[q] = -2
         assert [v.id for v in found.where(f"q = {q}").orderBy(F.col("score").desc(), "id").limit(3).collect()] == np.lexsort((np.arange(3000), -s))[:3].tolist()
+
+
+def test_cache_lookup_of_many_entries_and_copies(spark):
+    x = np.round(np.random.default_rng(10).normal(size=(400, 3)), 1)
+    entries = [("web", i, [float(c) for c in v], f"r{i}", 0, 60) for i, v in enumerate([*x, *x])] + [("web", 900, None, "r900", 0, 60), ("other", 901, [1.0, 0.0, 0.0], "r901", 0, 60)]
+    cache = spark.createDataFrame(entries, "tool string, args_hash long, embedding array<double>, result string, stored_at long, ttl long")
+    asked = [(i, "web", 700 + i if i < 9 else 5000 + i, [float(c) for c in v]) for i, v in enumerate(x)] + [(998, "web", 5000, None), (999, "none", 1, [1.0, 0.0, 0.0])]
+    ask = spark.createDataFrame(asked, "lookup_id int, tool string, args_hash long, embedding array<double>")
+    found = h.cache_lookup(cache, ask, 30)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+    got = {row.lookup_id: (row.outcome, row.result) for row in found.collect()}
+    unit = x / np.maximum(np.linalg.norm(x, axis=1)[:, None], 1e-12)
+    for i in range(400):
+        s = np.round(unit @ unit[i], 9)
+        expected = ("exact", f"r{700 + i}") if i < 9 else ("near", f"r{int(np.argmax(s))}") if s.max() >= 0.95 else ("miss", None)
+        assert got[i] == expected
+    assert got[998] == got[999] == ("miss", None)
