@@ -5,6 +5,8 @@ curves, each with a projection and a shift of its own. Each curve's order is
 cut into blocks at quantiles; a query looks at
 its own block and ``reach`` neighbours on either side, and the blocks' best
 candidates are merged over all curves and ranked by the exact inner product.
+A task walks along a stretch of a curve and merges there what its blocks find, so that
+a query has k + 1 rows for each stretch that its window touches, however many blocks that are.
 
 How many curves there are and how wide the windows are follows from a measurement, at every size: the true
 neighbours of ``check_queries`` queries (a bounded sample by hash) are found by one pass over the table,
@@ -45,6 +47,8 @@ from reverie.llm.common import cut, map_arrow, mix64, table
 
 #: Bits of a place that tell the vectors of one cell apart.
 SPREAD_BITS = 15
+#: Rows of a stretch of a curve, unless one window has more; found rows that are held before they are reduced, and at most.
+STRETCH_ROWS, REDUCE_ROWS, HELD_ROWS = 1 << 18, 1 << 18, 1 << 20
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -158,6 +162,20 @@ def true_neighbours(rows: DataFrame, who: np.ndarray, q: np.ndarray, dim: int, k
     return [(r[0], r[1]) for r in found.withColumn("_n", place).where(F.col("_n") <= k).select("q", "vec_id").collect()]
 
 
+def best_of(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``keep`` best rows (query, id, score) of each query, the best of those with one id; ties to smaller ids."""
+    who, ids, scores = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((-scores, ids, who))
+    who, ids, scores = who[order], ids[order], scores[order]
+    new = np.r_[True, (who[1:] != who[:-1]) | (ids[1:] != ids[:-1])]
+    who, ids, scores = who[new], ids[new], scores[new]
+    order = np.lexsort((ids, -scores, who))
+    who, ids, scores = who[order], ids[order], scores[order]
+    starts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+    nth = np.arange(len(who)) - np.repeat(starts, np.diff(np.r_[starts, len(who)]))
+    return who[nth < keep], ids[nth < keep], scores[nth < keep]
+
+
 def cheapest(apart: np.ndarray, counts: tuple[int, ...], rows: int, queries: int, target: float, *, deal: float = 100.0) -> tuple[int, float]:
     """Number of curves and half a window's share of the order: the least work by which ``target`` of the neighbours are seen.
 
@@ -251,12 +269,17 @@ def nearest(base: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "
     first = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("query_id"))
     ask = asked.withColumn("_n", first).where("_n = 1").select("query_id", "v")
     dealt = map_arrow(rows.select("vec_id", "v"), deal(False), kind).unionByName(map_arrow(ask, deal(True), kind))
-    dealt = dealt.repartition("block").sortWithinPartitions("block", "query")
+    window = 2 * reach + 1
+    stretch = max(window, min(4 * window, STRETCH_ROWS * blocks // total))
+    along = F.pmod("block", F.lit(blocks))
+    dealt = dealt.withColumn("stretch", F.floor((F.col("block") - along) / blocks) * (blocks // stretch + 1) + F.floor(along / stretch))
+    dealt = dealt.repartition("stretch").sortWithinPartitions("stretch", "block", "query")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids, held, base_rows = None, [], [], None
+        at_stretch, parts = None, []
 
-        def search(q_ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        def search(q_ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             out_q, out_v, out_s = [], [], []
             x_ids, x = base_rows
             keep, step = min(k + 1, len(x)), max(1, (1 << 21) // len(x))
@@ -271,21 +294,34 @@ def nearest(base: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "
                     out_q.append(np.full(len(order), who))
                     out_v.append(x_ids[at[order]])
                     out_s.append(exact[order])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], names=["query_id", "vec_id", "score"])
+            return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
+
+        def given(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
-            of, is_query, who = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            of, is_query, who, stretches = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
             edges = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (is_query[1:] != is_query[:-1])]) if len(of) else []
             for i, j in zip(edges, np.r_[edges[1:], len(of)], strict=True):
                 if of[i] != block:
                     block, ids, held, base_rows = of[i], [], [], None
+                if stretches[i] != at_stretch:
+                    if parts:
+                        yield given(best_of(parts, k + 1))
+                    at_stretch, parts = stretches[i], []
                 vectors = np.frombuffer(b"".join(batch.column(3).slice(i, j - i).to_pylist()), dtype=packing).reshape(-1, dim).astype(np.float64)
                 if not is_query[i]:
                     ids.append(who[i:j])
                     held.append(vectors)
                 elif held:
                     base_rows = base_rows or (np.concatenate(ids), np.concatenate(held))
-                    yield search(who[i:j], vectors)
+                    parts.append(search(who[i:j], vectors))
+                    if sum(len(x[0]) for x in parts[1:]) > max(REDUCE_ROWS, len(parts[0][0])):
+                        parts = [best_of(parts, k + 1)]
+                        if len(parts[0][0]) > HELD_ROWS:
+                            yield given(parts.pop())
+        if parts:
+            yield given(best_of(parts, k + 1))
 
     found = map_arrow(dealt, best, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumnRenamed("query_id", "class")

@@ -709,6 +709,25 @@ def test_recall_on_uniform_vectors_of_many_blocks(spark, least_rows):
     assert recall_of(spark, x, 100, 20, least_rows=least_rows) >= 0.9
 
 
+def test_blocks_of_a_stretch_are_merged_in_their_task(spark, monkeypatch):
+    made, map_arrow = [], hilbert.map_arrow
+    monkeypatch.setattr(hilbert, "map_arrow", lambda *a: made.append(map_arrow(*a)) or made[-1])
+    x = np.random.default_rng(7).normal(size=(6000, 24))
+    assert recall_of(spark, x, 60, 10, least_rows=100, curves=(8,)) >= 0.9
+    assert made[-1].count() <= 100 * 8 * 2 * 11  # k + 1 for each stretch that a window touches
+    # a bounded number is held; nothing that was found is lost by it
+    whole = made[-1].count()
+    monkeypatch.setattr(hilbert, "REDUCE_ROWS", 500)
+    monkeypatch.setattr(hilbert, "HELD_ROWS", 1000)
+    assert recall_of(spark, x, 60, 10, least_rows=100, curves=(8,)) >= 0.9
+    assert made[-1].count() >= whole
+
+
+def test_best_of_keeps_the_best_of_an_id():
+    parts = [tuple(map(np.array, p)) for p in (([1, 1, 1, 2], [5, 6, 7, 5], [0.5, 0.9, 0.5, 0.1]), ([1, 1, 2], [5, 8, 5], [0.7, 0.5, 0.2]))]
+    assert [x.tolist() for x in hilbert.best_of(parts, 3)] == [[1, 1, 1, 2], [6, 5, 7, 5], [0.9, 0.7, 0.5, 0.2]]
+
+
 def test_recall_in_one_crowded_cell(spark):
     r = np.random.default_rng(6)
     x = np.ones(16) + 1e-3 * r.normal(size=(4000, 16))
